@@ -218,7 +218,7 @@ def annotated_modes(spark, d):
 
 def exact_quantiles(spark, d):
     li = ad.table(spark, d, "lineitem")
-    out = slices.exact_percentiles(li, ["l_returnflag"], "l_extendedprice", {"p10": 0.1, "p50": 0.5, "p99": 0.99}, limit=1000)
+    out = slices.exact_percentiles(li, ["l_returnflag"], "l_extendedprice", {"p10": 0.1, "p50": 0.5, "p99": 0.99})
     return rounded_all(out)
 
 

@@ -116,110 +116,46 @@ def previous(df: DataFrame, keys, slice_col: str, order, values: dict) -> DataFr
     return out.select("*", *[F.col(f"_prev.{k}").alias(k) for k in values]).drop("_prev", "_carry")
 
 
-_BINS = 4096
+#: Bins per unit of asinh(value): a value near 100 falls into a bin 0.0015 wide.
+_BINS_PER_UNIT = 65536
 
-#: Groups with more distinct values than this are searched by bins instead of
-#: being ordered in one task.
-GROUP_LIMIT = 2_000_000
 
-
-def _counted(df, keys, value):
-    return (
-        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-        .groupBy(*keys, F.col(value).cast("double").alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_w"))
-    )
-
-
-def _holds_rank():
-    return (F.col("_left") <= F.col("_upto")) & (F.col("_left") > F.col("_upto") - F.col("_w"))
-
-
-def _ordered_ranks(counted, group, targets, out):
-    """Resolve (group, rank, _left) against counted values ordered inside each group."""
-    upto = Window.partitionBy(*group).orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        counted.withColumn("_upto", F.sum("_w").over(upto))
-        .join(targets, group)
-        .where(_holds_rank())
-        .select(*out, "rank", F.col("_value").alias("value"))
-    )
-
-
-def _binned(v, lo, hi):
-    scaled = F.floor((v - lo) / (hi - lo) * F.lit(_BINS)).cast("int")
-    return F.when(hi > lo, F.least(scaled, F.lit(_BINS - 1))).otherwise(F.lit(0))
-
-
-def _locate_bins(rows, group, targets):
-    """Ranks resolved to a bin, its value range, and the rank left inside the bin."""
-    sums = rows.groupBy(*group, "_bin").agg(
-        F.sum("_w").alias("_w"), F.min("_value").alias("_blo"), F.max("_value").alias("_bhi")
-    )
-    upto = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        sums.withColumn("_upto", F.sum("_w").over(upto))
-        .join(targets, group)
-        .where(_holds_rank())
-        .withColumn("_left", F.col("_left") - (F.col("_upto") - F.col("_w")))
-        .drop("_upto", "_w")
-    )
-
-
-def order_statistics(df: DataFrame, keys, value: str, ranks, limit=None) -> DataFrame:
-    """Exact order statistics per group: (keys, rank, value).
+def order_statistics(df: DataFrame, keys, value: str, ranks) -> DataFrame:
+    """Exact order statistics per group: (keys, n, rank, value).
 
     ``ranks`` builds an array column of 1-based ranks from the group-size
-    column. Values are first counted by (group, value). Groups of ordinary size
-    are then ordered by a window. A group with more than ``limit`` distinct
-    values is cut into equal-width bins twice, which needs only bin totals, and
-    just the values of the small bin holding each rank are ordered.
+    column. Values are counted by (group, value), and the counts summed into
+    narrow bins on a fixed monotone scale, so the ordered pass over a group sees
+    its bins and never its rows. Only the values of the bins that hold a wanted
+    rank are then ordered.
     """
     keys = _cols(keys)
-    limit = GROUP_LIMIT if limit is None else limit
-    counted = _counted(df, keys, value)
-    span = counted.groupBy(*keys).agg(
-        F.min("_value").alias("_lo"), F.max("_value").alias("_hi"),
-        F.sum("_w").alias("_n"), F.count(F.lit(1)).alias("_d"),
-    )
-    upto = Window.partitionBy(*keys).orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    held = F.filter(
-        F.array_distinct(ranks(F.col("_n"))),
-        lambda r: (r >= 1) & (r <= F.col("_upto")) & (r > F.col("_upto") - F.col("_w")),
-    )
-    small = (
-        counted.join(span.where(F.col("_d") <= limit).select(*keys, "_n"), keys)
-        .withColumn("_upto", F.sum("_w").over(upto))
-        .select(*keys, F.explode(held).alias("rank"), F.col("_value").alias("value"))
-    )
-
-    huge = span.where(F.col("_d") > limit)
-    coarse = counted.join(huge.select(*keys, "_lo", "_hi"), keys).withColumn(
-        "_bin", _binned(F.col("_value"), F.col("_lo"), F.col("_hi"))
-    ).drop("_lo", "_hi")
-    wanted = (
-        huge.select(*keys, "_n", F.explode(F.array_distinct(ranks(F.col("_n")))).alias("rank"))
-        .where((F.col("rank") >= 1) & (F.col("rank") <= F.col("_n")))
-        .select(*keys, "rank", F.col("rank").alias("_left"))
-    )
-    first = _locate_bins(coarse, keys, wanted)
-    hit = first.select(*keys, "_bin", "_blo", "_bhi").distinct()
-    fine = (
-        coarse.join(hit, keys + ["_bin"])
-        .withColumnRenamed("_bin", "_bin1")
-        .withColumn("_bin", _binned(F.col("_value"), F.col("_blo"), F.col("_bhi")))
-        .drop("_blo", "_bhi")
-    )
-    outer = keys + ["_bin1"]
-    second = _locate_bins(
-        fine, outer, first.select(*keys, F.col("_bin").alias("_bin1"), "rank", "_left")
-    ).select(*outer, "_bin", "rank", "_left")
-    narrow = fine.join(second.select(*outer, "_bin").distinct(), outer + ["_bin"])
-    large = _ordered_ranks(narrow, outer + ["_bin"], second, keys)
-    return small.unionByName(large)
-
-
-def exact_percentiles(df: DataFrame, keys, value: str, probs: dict, limit=None) -> DataFrame:
+    v = F.col(value).cast("double")
+    counted = (
+        df.where(F.col(value).isNotNull() & ~F.isnan(v))
+        .groupBy(*keys, (v + F.lit(0.0)).alias("_value"))
+        .agg(F.count(F.lit(1)).alias("_w"))
+        .withColumn("_bin", F.floor(F.asinh("_value") * F.lit(_BINS_PER_UNIT)).cast("long"))
+    )
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    totals = counted.groupBy(*keys, "_bin").agg(F.sum("_w").alias("_w")).select(
+        *keys, "_bin", "_w", F.sum("_w").over(upto).alias("_upto"), F.sum("_w").over(group).alias("n")
+    )
+    before = F.col("_upto") - F.col("_w")
+    hits = totals.select(
+        *keys, "_bin", "n", before.alias("_before"),
+        F.filter(
+            F.array_distinct(ranks(F.col("n"))), lambda r: (r >= 1) & (r > before) & (r <= F.col("_upto"))
+        ).alias("_ranks"),
+    ).where(F.size("_ranks") > 0)
+    inside = Window.partitionBy(*keys, "_bin").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.join(hits, keys + ["_bin"]).withColumn("_upto", F.col("_before") + F.sum("_w").over(inside))
+    held = F.filter("_ranks", lambda r: (r <= F.col("_upto")) & (r > F.col("_upto") - F.col("_w")))
+    return placed.select(*keys, "n", F.explode(held).alias("rank"), F.col("_value").alias("value"))
+
+
+def exact_percentiles(df: DataFrame, keys, value: str, probs: dict) -> DataFrame:
     """Linear-interpolation percentiles per group, exact at any group size.
 
     ``probs`` maps output names to probabilities. Same definition as the
@@ -233,11 +169,11 @@ def exact_percentiles(df: DataFrame, keys, value: str, probs: dict, limit=None)
 
     def ranks(n):
         spots = [F.lit(float(p)) * (n - 1) for p in probs.values()]
-        return F.array(n, *[f(s).cast("long") + 1 for s in spots for f in (F.floor, F.ceil)])
+        return F.array(*[f(s).cast("long") + 1 for s in spots for f in (F.floor, F.ceil)])
 
-    table = order_statistics(df, grouped, value, ranks, limit).groupBy(*grouped).agg(
+    table = order_statistics(df, grouped, value, ranks).groupBy(*grouped).agg(
         F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_m"),
-        F.max("rank").alias("n_values"),
+        F.max("n").alias("n_values"),
     )
     out = []
     for name, p in probs.items():
@@ -249,6 +185,6 @@ def exact_percentiles(df: DataFrame, keys, value: str, probs: dict, limit=None)
     return table.select(*keys, "n_values", *out)
 
 
-def exact_median(df: DataFrame, keys, value: str, name="median", limit=None) -> DataFrame:
+def exact_median(df: DataFrame, keys, value: str, name="median") -> DataFrame:
     """Median per group, exact at any group size."""
-    return exact_percentiles(df, keys, value, {name: 0.5}, limit).drop("n_values")
+    return exact_percentiles(df, keys, value, {name: 0.5}).drop("n_values")
