@@ -3,7 +3,7 @@
 from importlib import import_module
 
 _SECTIONS = (
-    "laps", "cleaning", "sources",
+    "laps", "cleaning", "sources", "forecasts", "intervals",
 )
 
 

@@ -162,7 +162,7 @@ ORACLES = {
 SELECT session_id, year, round_number, n_laps FROM manifest WHERE session = 'R' AND year IN (2021, 2022) AND n_laps >= 300
 ORDER BY year DESC, round_number, session_id LIMIT 8"""),
     "selected_laps": sql(LAPS + """,
-pick AS (SELECT session_id FROM laps GROUP BY ALL HAVING count(*) >= 10
+pick AS (SELECT session_id FROM laps GROUP BY session_id HAVING count(*) >= 10
          ORDER BY session_id % 3 DESC, session_id // 3, session_id LIMIT 4)""",
                          "SELECT session_id, event_id, run_id, age FROM laps WHERE session_id IN (FROM pick)"),
     "catalogue_from_names": sql(MANIFEST + """,
