@@ -3,7 +3,7 @@
 from importlib import import_module
 
 _SECTIONS = (
-    "laps", "cleaning", "sources", "forecasts", "intervals",
+    "laps", "cleaning", "sources", "forecasts", "intervals", "statistics", "shapes",
 )
 
 
