@@ -38,7 +38,11 @@ def regime_census(spark, d):
 
 
 def cliff_census(spark, d):
-    return rounded_all(sh.cliff_census(_shapes(spark, d), min_n=1))
+    """On a perf with a known bend past age 9, so that cliffs occur."""
+    laps = ad.laps_from_events(spark, d).withColumn(
+        "corrected", 0.01 * F.col("perf") + 0.3 * F.greatest(F.col("age") - 9, F.lit(0.0)))
+    modes = laps.groupBy("session_id", "asset", "run_id").agg(F.first("mode").alias("mode"))
+    return rounded_all(sh.cliff_census(stage(sh.curve_shapes(laps).join(modes, ["session_id", "asset", "run_id"]))))
 
 
 def forecast_census(spark, d):
@@ -106,10 +110,10 @@ ORACLES = {
 SELECT regime, count(*) AS n, round(count(*) / (SELECT count(*) FROM shapes), 6) AS share, round(median(slope), 6) AS median_slope,
        round(median(delta), 6) AS median_delta, round(median(changepoint), 6) AS median_changepoint, round(median(position), 6) AS median_position
 FROM shapes GROUP BY regime"""),
-    "cliff_census": sql(SHAPES + ", md AS (SELECT DISTINCT session_id, asset, run_id, mode FROM src)", """
+    "cliff_census": sql(SHAPES.replace("perf + 0.081 * elapsed AS y", "0.01 * perf + 0.3 * greatest(age - 9, 0) AS y") + ", md AS (SELECT DISTINCT session_id, asset, run_id, mode FROM src)", """
 SELECT mode, count(*) AS n, round(median(changepoint), 6) AS median_changepoint,
        round(quantile_cont(changepoint, 0.75) - quantile_cont(changepoint, 0.25), 6) AS iqr, round(median(delta), 6) AS median_delta
-FROM shapes JOIN md USING (session_id, asset, run_id) WHERE regime = 'cliff' GROUP BY mode"""),
+FROM shapes JOIN md USING (session_id, asset, run_id) WHERE regime = 'cliff' GROUP BY mode HAVING count(*) >= 8"""),
     "curvature_share": sql(LAPS + """,
 c AS (SELECT session_id, run_id, count(*) AS n, regr_syy(perf, age) AS syy, regr_sxy(perf, age) AS sxy, regr_sxx(perf, age) AS sxx FROM laps
       GROUP BY ALL HAVING count(*) >= 5 AND max(age) - min(age) >= 2)""", """

@@ -36,7 +36,7 @@ est AS (SELECT session_id * 10 + week AS event, mode AS label, rate, n_laps,
 """
 
 _WX = """
-wd_{k} AS (SELECT {a} - {b} AS d FROM {t} WHERE {a} - {b} <> 0),
+wd_{k} AS (SELECT round({a} - {b}, 12) AS d FROM {t} WHERE round({a} - {b}, 12) <> 0),
 wr_{k} AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY abs(d)) AS t FROM wd_{k}),
 ws_{k} AS (SELECT CAST(count(*) AS DOUBLE) AS n, least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0)) AS s,
            sum(t * t - 1.0) AS ties FROM wr_{k}),

@@ -256,7 +256,12 @@ def _fit_rows(key, lay: Layout, hyper: Hyper, priors: Priors):
     coefs = pd.DataFrame({
         "kind": ["coef"] * 3 + ["mode"] * len(lay.mode_at), "mode": [n for n, _ in named],
         "coef": [last_a[i] for _, i in named], "coef_sd": [sd(last_P[i, i]) for _, i in named]})
-    out = pd.concat([laps, coefs, pd.DataFrame({"kind": ["fit"]})], ignore_index=True)
+    # mode rates as they stood three quarters through, before the rest was seen
+    cut = kept[max(int((len(lay.seqs) + 1) * 0.75) - 1, 1) - 1]
+    live = pd.DataFrame({
+        "kind": "live", "mode": list(lay.mode_at), "coef": [cut[2][i] for i in lay.mode_at.values()],
+        "coef_sd": [sd(cut[3][i, i]) for i in lay.mode_at.values()]})
+    out = pd.concat([laps, coefs, live, pd.DataFrame({"kind": ["fit"]})], ignore_index=True)
     return out.assign(
         session_id=key[0], batch=key[1], variant=key[2], loglik=loglik, n_obs=m, n_states=lay.n, reference=lay.reference,
         q_level=math.exp(hyper.log_q_level), q_rate=math.exp(hyper.log_q_rate), noise_sd=math.exp(hyper.log_noise_sd), error=None)
@@ -456,22 +461,23 @@ def forecast_rung(laps: DataFrame, folds: DataFrame, hyper: Hyper | None = None,
 
 #: Prior variants of the sensitivity sweep; fixed values.
 PRIOR_VARIANTS = {
-    "default": {},
+    "baseline": {},
     "load +1sd": {"load_mean": 0.097},
     "load -1sd": {"load_mean": 0.065},
-    "load wide": {"load_sd": 0.048},
-    "drift none": {"drift_mean": 0.0},
-    "drift wide": {"drift_sd": 1.35},
+    "drift +1sd": {"drift_mean": 1.35},
+    "drift -1sd": {"drift_mean": 0.45},
+    "wide priors": {"load_sd": 0.032, "drift_sd": 0.90},
 }
 
 
 def prior_sweep(laps: DataFrame, variants=None) -> DataFrame:
-    """Mode rates under each prior variant, on half the assets, and on the first three quarters."""
+    """Mode rates under each prior variant, on half the assets, and as known live three quarters through."""
     from wearframe.operators.rates import half_field
+    from wearframe.operators.staging import stage
 
-    all_variants = mode_rates(fit_sessions(laps, variants or PRIOR_VARIANTS))
+    fit = stage(fit_sessions(laps, variants or PRIOR_VARIANTS))
     half = mode_rates(fit_sessions(half_field(laps))).withColumn("variant", F.lit("half field"))
-    bounds = laps.groupBy("session_id").agg(F.min("seq").alias("_a"), F.max("seq").alias("_b"))
-    early = laps.join(bounds, "session_id").where(F.col("seq") <= F.col("_a") + 0.75 * (F.col("_b") - F.col("_a"))).drop("_a", "_b")
-    online = mode_rates(fit_sessions(early)).withColumn("variant", F.lit("first 75%"))
-    return all_variants.unionByName(half).unionByName(online)
+    live = fit.where("kind = 'live' AND variant = 'baseline'").select(
+        "session_id", "batch", F.lit("live at 75%").alias("variant"), "mode", F.col("coef").alias("rate"), F.col("coef_sd").alias("rate_sd")
+    )
+    return mode_rates(fit).unionByName(half).unionByName(live)

@@ -29,7 +29,8 @@ def average_ranks(df: DataFrame, keys, value: str, name="rank") -> DataFrame:
 def wilcoxon(df: DataFrame, a: str, b: str, by=()) -> DataFrame:
     """Signed-rank test of a - b by the normal approximation with tie correction; zeros dropped."""
     df, keys, out = _keyed(df, by)
-    diffs = df.select(*keys, (F.col(a) - F.col(b)).alias("_d")).where("_d <> 0").withColumn("_abs", F.abs("_d"))
+    # differences of equal sums may be a last bit apart; twelve digits decide what is a zero or a tie
+    diffs = df.select(*keys, F.round(F.col(a) - F.col(b), 12).alias("_d")).where("_d <> 0").withColumn("_abs", F.abs("_d"))
     ranks = average_ranks(diffs, keys, "_abs", "_rank")
     signs = diffs.groupBy(*keys, "_abs").agg(F.count_if(F.col("_d") > 0).alias("_pos"))
     sums = ranks.join(signs, [*keys, "_abs"]).groupBy(*keys).agg(
