@@ -3,7 +3,7 @@
 from importlib import import_module
 
 _SECTIONS = (
-    "laps", "cleaning", "sources", "forecasts", "intervals", "statistics", "shapes", "decisions", "model", "telemetry", "fleet",
+    "laps", "cleaning", "sources", "forecasts", "intervals", "statistics", "shapes", "decisions", "model", "telemetry", "fleet", "search",
 )
 
 

@@ -203,14 +203,10 @@ def fisher(laps: DataFrame, sigma=0.25, prior_sd=0.016, by=("session_id",), run=
 
 def half_field(laps: DataFrame, session="session_id", asset="asset") -> DataFrame:
     """Laps of the first half of each session's assets by name, at least two."""
-    from pyspark.sql import Window
-
-    assets = laps.select(session, asset).distinct()
-    w = Window.partitionBy(session)
-    ranked = assets.select(
-        session, asset, F.row_number().over(w.orderBy(asset)).alias("_r"), F.count(F.lit(1)).over(w).alias("_n")
-    ).where(F.col("_r") <= F.greatest(F.floor(F.col("_n") / 2), F.lit(2)))
-    return laps.join(ranked.select(session, asset), [session, asset], "left_semi")
+    names = laps.select(session, asset).distinct().withColumn("_s", F.floor(F.col(asset) / 1024))
+    ranked = slices.positions(names, [session], "_s", [asset], name="_r", extra={"_n": (F.count(F.lit(1)), F.sum)})
+    kept = ranked.where(F.col("_r") <= F.greatest(F.floor(F.col("_n") / 2), F.lit(2)))
+    return laps.join(kept.select(session, asset), [session, asset], "left_semi")
 
 
 def min_evidence(df: DataFrame, keys, n: int, spread: str | None = None, min_spread=0.0) -> DataFrame:

@@ -17,9 +17,11 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wearframe.operators import slices
+
 _LOG_2PI = math.log(2 * math.pi)
 _DIFFUSE = 1.0e4
 
@@ -269,9 +271,9 @@ def _fit_rows(key, lay: Layout, hyper: Hyper, priors: Priors):
 
 def batched(laps: DataFrame, max_assets=25, max_steps=2000) -> DataFrame:
     """Add the fit batch: assets in name order, seqs in blocks; one batch for a session of ordinary size."""
-    assets = laps.select("session_id", "asset").distinct().select(
-        "session_id", "asset",
-        F.floor((F.row_number().over(Window.partitionBy("session_id").orderBy("asset")) - 1) / max_assets).alias("_ab"),
+    names = laps.select("session_id", "asset").distinct().withColumn("_s", F.floor(F.col("asset") / 1024))
+    assets = slices.positions(names, ["session_id"], "_s", ["asset"], name="_k").select(
+        "session_id", "asset", F.floor((F.col("_k") - 1) / max_assets).alias("_ab")
     )
     span = laps.groupBy("session_id").agg(F.min("seq").alias("_first"))
     return (
