@@ -45,7 +45,7 @@ lb AS (SELECT a.lap, max(b.start) AS before FROM kept a JOIN kept b ON a.session
          AND (b.start < a.start OR (b.start = a.start AND (b.asset, b.lap) < (a.asset, a.lap))) GROUP BY a.lap),
 cleaned AS (SELECT g3.session_id, asset, lap AS seq, run_id, age,
       age - min(age) OVER (PARTITION BY session_id, asset, run_id) AS elapsed, perf, mode,
-      coalesce(greatest(0.0, least(1.0, (600.0 - (start - before)) / 540.0)), 0.0) AS interference
+      CASE WHEN before IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, (600.0 - (start - before)) / 540.0)) END AS interference
   FROM g3 LEFT JOIN lb USING (lap))
 """
 RAW2 = RAW2.replace("{k}", "1.0")

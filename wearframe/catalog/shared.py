@@ -34,7 +34,7 @@ lookback AS (
    AND (b.start < a.start OR (b.start = a.start AND b.event_id < a.event_id))
   GROUP BY a.event_id),
 ilaps AS (
-  SELECT l.*, coalesce(greatest(0.0, least(1.0, (600.0 - (l.start - b.before)) / 540.0)), 0.0) AS interference
+  SELECT l.*, CASE WHEN b.before IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, (600.0 - (l.start - b.before)) / 540.0)) END AS interference
   FROM laps l LEFT JOIN lookback b USING (event_id))
 """
 

@@ -133,7 +133,8 @@ def competitive_life(states: DataFrame, horizon=20, threshold=THRESHOLD, levels=
 
 def health(level: str = "level"):
     """0-100 rescaling of the level: 100 fresh, 0 at a loss of 1.5."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 * (1.0 - F.col(level) / 1.5)))
+    scaled = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 * (1.0 - F.col(level) / 1.5)))
+    return F.when(F.col(level).isNotNull(), scaled)
 
 
 def health_timeline(states: DataFrame) -> DataFrame:

@@ -11,14 +11,16 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+_own_folder = {}
+
+
 def shared_folder(spark) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    folder = tempfile.mkdtemp(prefix="wearframe-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The cluster's checkpoint folder; one of our own only where none is named, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = _own_folder.setdefault("path", None) or tempfile.mkdtemp(prefix="wearframe-")
+        _own_folder["path"] = folder
+    return folder.rstrip("/")
 
 
 def stage(df: DataFrame) -> DataFrame:

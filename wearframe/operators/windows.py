@@ -67,8 +67,9 @@ def lookback_interference(
         out = out.drop(slice_col)
     out = out.unionByName(unknown.withColumn("gap", F.lit(None).cast("double")))
     scaled = (F.lit(clear) - F.col("gap")) / F.lit(clear - full)
+    # least and greatest skip nulls, so a missing gap has to be told apart first
     return out.withColumn(
-        "interference", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)), F.lit(0.0))
+        "interference", F.when(F.col("gap").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)))
     )
 
 

@@ -261,7 +261,7 @@ def load_calibration(spark: SparkSession, path: str) -> DataFrame:
 
 def read_results(spark: SparkSession, directory: str) -> DataFrame:
     """Recorded result files as (name, body); files that do not parse are skipped."""
-    text = spark.read.option("wholetext", True).text(directory, pathGlobFilter="*.json").select(
+    text = spark.read.text(directory, wholetext=True, pathGlobFilter="*.json").select(
         _stem().alias("name"), F.col("value").alias("body")
     )
     return text.where(F.try_parse_json("body").isNotNull())
@@ -331,7 +331,7 @@ def read_rul(spark: SparkSession, path: str, test: DataFrame) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    lines = spark.read.option("wholetext", True).text(path).select(
+    lines = spark.read.text(path, wholetext=True).select(
         F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")).alias("_k", "_line")
     ).select((F.col("_k") + 1).alias("_k"), F.element_at(F.split(F.trim("_line"), r"\s+"), 1).cast("double").alias("rul"))
     units = test.select("unit").distinct().withColumn("_k", F.row_number().over(Window.orderBy("unit")))
