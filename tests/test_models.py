@@ -222,3 +222,35 @@ def test_partition_count_does_not_matter(spark, data):
         return rows
 
     assert run(1) == run(50)
+
+
+def test_draws_are_uniform_and_independent(spark):
+    from wearframe.operators import decide as de
+
+    df = spark.range(400).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumn(
+        "h", F.expr(de.mix(f"(({de.mix('id', 11)} + draw * 104729) % 2147483647)", 12)))
+    got = df.select(*[de.uniform("h", k).alias(f"u{k}") for k in range(4)], de.normal("h", 0).alias("z"), de.normal("h", 2).alias("w")).toPandas()
+    assert np.allclose(got[["u0", "u1", "u2", "u3"]].mean(), 0.5, atol=0.01) and np.allclose(got[["u0", "u1", "u2", "u3"]].var(), 1 / 12, atol=0.003)
+    corr = got[["u0", "u1", "u2", "u3"]].corr().to_numpy() - np.eye(4)
+    assert np.abs(corr).max() < 0.02 and abs(got["z"].corr(got["w"])) < 0.02
+    assert abs(got["z"].std() - 1) < 0.02 and abs((got["z"] ** 4).mean() - 3) < 0.3
+    hist = np.histogram2d(got["u0"], got["u1"], bins=10)[0]
+    assert ((hist - 400) ** 2 / 400).sum() < 160
+
+
+def test_stop_cost_is_paid_and_regret_is_not_negative(spark):
+    from wearframe.operators import decide as de
+
+    case = [(1, "M", 18.0, 0.113, 0.023, 0.0, 22.0, 30, 53, 84.0, 21.0, 3.0, 0.074, 0.018, 0.45, 32.0)]
+    cases = spark.createDataFrame(case, "case_id long, mode string, age double, rate double, rate_sd double, base_pace double, cliff_age double, now long, "
+                                        "total long, base double, stop_loss double, gap_ahead double, new_rate double, new_rate_sd double, new_base_pace double, new_cliff_age double")
+    opts = de.default_options(cases)
+    base = {r.option: r.expected for r in de.outcomes(de.evaluate_options(cases, opts, 400)).collect()}
+    dear = {r.option: r.expected for r in de.outcomes(de.evaluate_options(cases.withColumn("stop_loss", F.lit(41.0)), opts, 400)).collect()}
+    assert dear["Stay out"] == pytest.approx(base["Stay out"])
+    assert dear["Box now"] == pytest.approx(base["Box now"] + 20, abs=0.5)
+    again = {r.option: r.expected for r in de.outcomes(de.evaluate_options(cases, opts, 400)).collect()}
+    assert again == pytest.approx(base)
+    table = de.outcomes(de.evaluate_options(cases, opts, 400))
+    ch = spark.createDataFrame([(1, "Box now", "Stay out"), (1, "Stay out", "Box now")], "case_id long, recommended string, actual string")
+    assert all(r.regret >= 0 for r in de.regret(table, ch).collect())

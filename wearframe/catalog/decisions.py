@@ -32,7 +32,8 @@ def _cases(spark, d):
     ))
 
 
-_u = lambda h, k: f"((CAST(('0x' || substr({h}, {8 * k + 1}, 8)) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE))"
+_M = 2147483647
+_u = lambda h, k: f"(({de.mix(h, k + 1)} + 0.5) / CAST({_M} AS DOUBLE))"
 _n = lambda h, k: f"(sqrt(-2 * ln({_u(h, k)})) * cos(2 * pi() * {_u(h, k + 1)}))"
 CASES = LAPS + """,
 fit AS (SELECT session_id, mode, CASE WHEN count(*) >= 3 AND regr_sxx(perf, age) > 0 THEN regr_slope(perf, age) ELSE 0 END AS rate,
@@ -50,9 +51,10 @@ cases AS (SELECT run_id AS case_id, l.mode, l.age, mm.rate, mm.rate_sd, mm.base_
 """
 EVAL = CASES + f""",
 opts AS ({{opts}}),
-dr AS (SELECT c.*, d AS draw, md5(case_id || '|' || d || '|rate') AS hd FROM cases c, (SELECT unnest(range(0, {DRAWS})) AS d)),
+sd AS (SELECT *, CAST(case_id % {_M} AS BIGINT) AS s FROM cases),
+dr AS (SELECT c.*, d AS draw, {de.mix(f"(({de.mix('s', 11)} + d * 104729) % {_M})", 12)} AS hd FROM sd c, (SELECT unnest(range(0, {DRAWS})) AS d)),
 rr AS (SELECT *, rate + rate_sd * {_n('hd', 0)} AS r0, new_rate + new_rate_sd * {_n('hd', 2)} AS r1 FROM dr),
-ks AS (SELECT *, md5(case_id || '|' || draw || '|' || k) AS h FROM rr, (SELECT unnest(range(1, 21)) AS k)),
+ks AS (SELECT *, {de.mix(f"((hd + k * 15485863) % {_M})", 13)} AS h FROM rr, (SELECT unnest(range(1, 21)) AS k)),
 kn AS (SELECT *, {_u('h', 0)} < CAST(0.009 AS DOUBLE) AS ev, 0.25 * {_n('h', 1)} AS noise, now + k AS lap FROM ks),
 ko AS (SELECT kn.*, o.option, o.stop_at, coalesce(lap >= stop_at, false) AS st FROM kn JOIN opts o USING (case_id)),
 kc AS (SELECT *, CASE WHEN st THEN lap - stop_at + 1 ELSE age + k END AS ag, CASE WHEN st THEN new_cliff_age ELSE cliff_age END AS cl,

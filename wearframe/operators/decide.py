@@ -17,19 +17,40 @@ NOISE_SD = 0.25
 TRAFFIC_GAP = 1.2
 CLIFF_SEVERITY = 0.004
 
-#: SQL for the k-th of four uniforms in (0, 1) held by a 128-bit digest column.
-_UNIFORM = "((CAST(conv(substr({h}, {p}, 8), 16, 10) AS BIGINT) + 0.5D) / 4294967296D)"
+_M = 2147483647
+
+
+def mix(x: str, salt: int) -> str:
+    """SQL that scrambles an integer expression in [0, 2^31 - 1) into another one.
+
+    An affine step that differs by salt, then two quadratic ones; every product
+    stays below 2^48, so any engine's 64-bit integers give the same numbers.
+    """
+    a = (48271 * (2 * salt + 1) ** 3 + 69621) % 99991 + 10007
+    b = (7919 * (salt + 3) ** 4 + 12345) % _M
+    y = f"((({x}) * {a} + {b}) % {_M})"
+    for _ in range(2):
+        y = f"(({y} * ({y} % 65521 + 48271) + {salt + 1}) % {_M})"
+    return y
 
 
 def uniform(h: str, k: int):
-    return F.expr(_UNIFORM.format(h=h, p=8 * k + 1))
+    """The k-th uniform in (0, 1) of a seed column."""
+    return F.expr(f"(({mix(h, k + 1)} + 0.5D) / {_M}D)")
 
 
 def normal(h: str, k: int):
-    """Standard normal from uniforms k and k + 1 of a digest."""
+    """Standard normal from uniforms k and k + 1 of a seed."""
     return F.sqrt(-2 * F.log(uniform(h, k))) * F.cos(2 * F.pi() * uniform(h, k + 1))
 
 
+def _seed(cases: DataFrame):
+    """Integer in [0, 2^31 - 1) standing for a case."""
+    if dict(cases.dtypes)["case_id"] in ("bigint", "int", "smallint"):
+        return F.pmod(F.col("case_id").cast("long"), F.lit(_M))
+    return F.pmod(F.xxhash64("case_id"), F.lit(_M))
+
+
 def default_options(cases: DataFrame, waits=(0, 2, 5, 8)) -> DataFrame:
     """Stay out, or stop after each wait that still lies inside the distance: (case_id, option, stop_at)."""
     plans = [F.struct(F.lit("Stay out").alias("option"), F.lit(None).cast("long").alias("stop_at"))]
@@ -59,14 +80,14 @@ def evaluate_options(cases: DataFrame, options: DataFrame, n=5000, noise_sd=NOIS
     """
     steps = F.when(F.col("total") > F.col("now"), F.sequence(F.lit(1), (F.col("total") - F.col("now")).cast("int")))
     plans = options.groupBy("case_id").agg(F.collect_list(F.struct("option", "stop_at")).alias("_options"))
-    draws = cases.join(plans, "case_id").withColumn("_steps", steps).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    draws = draws.withColumn("_hd", F.md5(F.concat_ws("|", "case_id", "draw", F.lit("rate"))))
+    draws = cases.withColumn("_s", _seed(cases)).join(plans, "case_id").withColumn("_steps", steps).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    draws = draws.withColumn("_hd", F.expr(mix(f"(({mix('_s', 11)} + draw * 104729) % {_M})", 12)))
     draws = draws.withColumn("_r0", F.col("rate") + F.col("rate_sd") * normal("_hd", 0)).withColumn(
         "_r1", F.col("new_rate") + F.col("new_rate_sd") * normal("_hd", 2)
     )
-    rows = draws.withColumn("_k", F.explode("_steps")).withColumn("_h", F.md5(F.concat_ws("|", "case_id", "draw", "_k")))
+    rows = draws.withColumn("_k", F.explode("_steps")).withColumn("_h", F.expr(mix(f"((_hd + _k * 15485863) % {_M})", 13)))
     rows = rows.withColumn("_event", uniform("_h", 0) < event_rate).withColumn("_noise", F.lit(noise_sd) * normal("_h", 1))
-    rows = rows.withColumn("_o", F.explode("_options")).drop("_options", "_steps", "_h", "_hd")
+    rows = rows.withColumn("_o", F.explode("_options")).drop("_options", "_steps", "_h", "_hd", "_s")
     lap = F.col("now") + F.col("_k")
     stopped = F.coalesce(lap >= F.col("_o.stop_at"), F.lit(False))
     age = F.when(stopped, (lap - F.col("_o.stop_at") + 1).cast("double")).otherwise(F.col("age") + F.col("_k"))

@@ -199,7 +199,14 @@ def run_filter(lay: Layout, hyper: Hyper, priors: Priors, keep=True):
 
 
 def run_smoother(lay: Layout, kept):
-    """Backward pass in information form (r, N): no inverse of a state covariance is needed."""
+    """Backward pass in information form (r, N): no inverse of a state covariance is needed.
+
+    Returns per step the mean of every state, the states whose covariance is
+    read (shared ones, the assets seen there, mode rates at the end) and that
+    block of the covariance.
+    """
+    shared = np.arange(4)
+    last = len(kept) - 1
     r, N = np.zeros((lay.n, 1)), np.zeros((lay.n, lay.n))
     out = [None] * len(kept)
     for step in range(len(kept) - 1, -1, -1):
@@ -211,8 +218,11 @@ def run_smoother(lay: Layout, kept):
         N = A - (A @ PZt) @ SZ + Z.T @ SZ
         N = 0.5 * (N + N.T)
         mean = prior_a + prior_P @ r[:, 0]
-        cov = prior_P - prior_P @ N @ prior_P
-        out[step] = (mean, cov)
+        levels = np.array(list(lay.level_at.values())) if step == last else lay.level[lay.by_step[step][0]]
+        modes = np.array(list(lay.mode_at.values()), dtype=int) if step == last else shared[:0]
+        sel = np.concatenate([shared, levels, levels + 1, modes])
+        side = prior_P[sel]
+        out[step] = (mean, sel, prior_P[np.ix_(sel, sel)] - side @ N @ side.T)
         r = _back(lay, step, r)
         N = _back(lay, step, _back(lay, step, N).T)
     return out
@@ -245,19 +255,22 @@ def _fit_rows(key, lay: Layout, hyper: Hyper, priors: Priors):
     for j in range(m):
         i = lv[j]
         _, _, fa, fP, *_ = kept[lay.step[j]]
-        sa, sP = smooth[lay.step[j]]
-        values = (fa[i], sd(fP[i, i]), fa[i + 1], sd(fP[i + 1, i + 1]), sa[i], sd(sP[i, i]), sa[i + 1], sd(sP[i + 1, i + 1]),
-                  sP[i, i + 1], sa[1], sa[2], sd(sP[2, 2]), sa[3], sd(sP[3, 3]), sa[0], sd(sP[0, 0]))
+        sa, sel, sP = smooth[lay.step[j]]
+        at = np.flatnonzero(sel == i)[0]
+        up = np.flatnonzero(sel == i + 1)[0]
+        values = (fa[i], sd(fP[i, i]), fa[i + 1], sd(fP[i + 1, i + 1]), sa[i], sd(sP[at, at]), sa[i + 1], sd(sP[up, up]),
+                  sP[at, up], sa[1], sa[2], sd(sP[2, 2]), sa[3], sd(sP[3, 3]), sa[0], sd(sP[0, 0]))
         for c, v in zip(get, values):
             get[c][j] = v
     laps = rows[["seq", "asset", "run_id", "event_id", "mode", "age", "elapsed", "perf", "interference"]].assign(
         **get, innovation=resid, innovation_sd=np.sqrt(rvar), drift_basis=basis, kind="lap",
         drift=basis * get["amplitude"] + get["drift_resid"], drift_sd=np.abs(basis) * get["amplitude_sd"])
-    last_a, last_P = smooth[-1]
+    last_a, sel, last_P = smooth[-1]
+    spot = {int(s): k for k, s in enumerate(sel)}
     named = [("load", 2), ("interference", 3), ("drift", 0)] + list(lay.mode_at.items())
     coefs = pd.DataFrame({
         "kind": ["coef"] * 3 + ["mode"] * len(lay.mode_at), "mode": [n for n, _ in named],
-        "coef": [last_a[i] for _, i in named], "coef_sd": [sd(last_P[i, i]) for _, i in named]})
+        "coef": [last_a[i] for _, i in named], "coef_sd": [sd(last_P[spot[i], spot[i]]) for _, i in named]})
     # mode rates as they stood three quarters through, before the rest was seen
     cut = kept[max(int((len(lay.seqs) + 1) * 0.75) - 1, 1) - 1]
     live = pd.DataFrame({
@@ -431,7 +444,8 @@ def forecast_rung(laps: DataFrame, folds: DataFrame, hyper: Hyper | None = None,
             return base.assign(mean=[], sd=[])[[c.split()[0] for c in _PREDICTED.split(", ")]]
         try:
             lay = Layout(seen)
-            a, P = run_smoother(lay, run_filter(lay, hyper, Priors())[3])[-1]
+            # at the last step the smoothed state is the filtered one
+            _, _, a, P, *_ = run_filter(lay, hyper, Priors())[3][-1]
         except (np.linalg.LinAlgError, FloatingPointError, ValueError) as exc:
             return base.assign(mean=np.nan, sd=np.nan, failed=f"{type(exc).__name__}: {exc}")[[c.split()[0] for c in _PREDICTED.split(", ")]]
         oldest = seen.groupby(["asset", "run_id"])["age"].max().to_dict()
