@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wearframe.functions import gaussian
 from wearframe.operators import rates
 from wearframe.operators.rates import LOAD_SLOPE
+from wearframe.operators.staging import spread
 
 STREAM = ("session_id", "fold", "seq", "asset", "event_id", "actual", "mean", "sd")
 
@@ -137,7 +138,7 @@ def ridge_fit(train: DataFrame, ridge=1.0) -> DataFrame:
     def solve(key, pdf):
         return _solve_ridge(key, pdf, ridge)
 
-    return sums.groupBy("session_id", "fold").applyInPandas(solve, _RIDGE_OUT)
+    return spread(sums, "session_id", "fold").groupBy("session_id", "fold").applyInPandas(solve, _RIDGE_OUT)
 
 
 def ridge_rung(laps: DataFrame, folds: DataFrame, ridge=1.0) -> DataFrame:

@@ -29,3 +29,12 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/wearframe/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows hashed by ``keys`` over all shuffle partitions, for work that is heavy per row.
+
+    Adaptive execution merges partitions by their bytes, which would put many
+    small but slow groups into one task; a fixed partition count is left alone.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wearframe.operators import slices
+from wearframe.operators.staging import spread
 
 _LOG_2PI = math.log(2 * math.pi)
 _DIFFUSE = 1.0e4
@@ -343,7 +344,7 @@ def fit_sessions(laps: DataFrame, variants=None, hyper: DataFrame | None = None,
                                  "error": f"{type(exc).__name__}: {exc}"}])
         return out.reindex(columns=_COLUMNS)
 
-    return rows.select(*_INPUT, *_SETTINGS).groupBy(*FIT_KEYS).applyInPandas(fit, STATE_SCHEMA)
+    return spread(rows.select(*_INPUT, *_SETTINGS), *FIT_KEYS).groupBy(*FIT_KEYS).applyInPandas(fit, STATE_SCHEMA)
 
 
 def lap_states(fit: DataFrame) -> DataFrame:
@@ -417,7 +418,7 @@ def tune(laps: DataFrame, priors: Priors | None = None, rounds=3, step=1.5, max_
         return pd.DataFrame([{"session_id": key[0], "batch": key[1], "loglik": top, "start_loglik": start, "evaluated": tried,
                               **dict(zip(HYPER_NAMES, best))}])
 
-    return rows.select(*_INPUT).groupBy("session_id", "batch").applyInPandas(search, _TUNED)
+    return spread(rows.select(*_INPUT), "session_id", "batch").groupBy("session_id", "batch").applyInPandas(search, _TUNED)
 
 
 _PREDICTED = ("session_id long, fold int, seq long, asset long, event_id long, actual double, mean double, sd double, model string, failed string")
@@ -472,7 +473,7 @@ def forecast_rung(laps: DataFrame, folds: DataFrame, hyper: Hyper | None = None,
             sds.append(max(math.sqrt(var + noise), 1e-3))
         return base.assign(mean=means, sd=sds)[[c.split()[0] for c in _PREDICTED.split(", ")]]
 
-    return rows.groupBy("session_id", "fold", "batch").applyInPandas(predict, _PREDICTED)
+    return spread(rows, "session_id", "fold", "batch").groupBy("session_id", "fold", "batch").applyInPandas(predict, _PREDICTED)
 
 
 #: Prior variants of the sensitivity sweep; fixed values.

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wearframe.functions import vehicle as ve
 from wearframe.operators import slices
+from wearframe.operators.staging import spread
 
 LAP = ("session_id", "asset", "lap")
 _REACH = 8
@@ -282,7 +283,7 @@ def thermal_features(dyn: DataFrame, stint=("session_id", "asset"), model: Therm
     rows = dyn.where(F.col("n_samples") >= min_n).select(
         *keys, "i", "n_samples", "t", "speed", "power", ve.mode_factor(F.col("mode") if "mode" in dyn.columns else F.lit("")).alias("factor")
     )
-    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "i")
+    ordered = spread(rows, *keys).sortWithinPartitions(*keys, "i")
 
     def line(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = (model.low + model.high) / 2
@@ -319,7 +320,7 @@ def thermal_features(dyn: DataFrame, stint=("session_id", "asset"), model: Therm
         head = next(frames)
         yield pd.DataFrame([_walk(itertools.chain([head], frames), key, model, float(head["start_bulk"].iloc[0]), edge)])
 
-    seeded = rows.join(starts, keys).repartition(*keys).sortWithinPartitions(*keys, "i")
+    seeded = spread(rows.join(starts, keys), *keys).sortWithinPartitions(*keys, "i")
     out = seeded.groupBy(*keys).applyInPandas(expose, _EXPOSURE)
     mean = F.col("mean_surface")
     return out.withColumn(

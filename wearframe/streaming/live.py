@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wearframe.operators.attribute import health
 from wearframe.operators.intervals import AdaptiveInterval
+from wearframe.operators.staging import spread
 from wearframe.operators.statespace import Hyper, Priors
 
 OUTPUT = (
@@ -144,7 +145,7 @@ def replay_batch(laps: DataFrame, hyper: Hyper | None = None, priors: Priors | N
         for pdf in batches:
             yield _fold(estimator, pdf)
 
-    ordered = laps.select(*_LAP).repartition("session_id").sortWithinPartitions("session_id", "seq", "asset")
+    ordered = spread(laps.select(*_LAP), "session_id").sortWithinPartitions("session_id", "seq", "asset")
     return ordered.groupBy("session_id").applyInPandas(run, OUTPUT)
 
 
