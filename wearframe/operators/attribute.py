@@ -20,7 +20,7 @@ def curvature_share(levels: DataFrame, by=("session_id",), run="run_id", min_lap
     ).where((F.col("n") >= min_laps) & (F.col("span") >= min_span))
     left = F.sum((F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")) / F.col("n"))
     return runs.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_runs"), (left / F.sum(F.col("syy") / F.col("n"))).alias("nonlinear_share")
+        F.count(F.lit(1)).alias("n_runs"), F.try_divide(left, F.sum(F.col("syy") / F.col("n"))).alias("nonlinear_share")
     ).withColumn("linear_share", 1 - F.col("nonlinear_share"))
 
 

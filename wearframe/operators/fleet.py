@@ -49,22 +49,22 @@ def health_index(frame: DataFrame, sensors, reference: DataFrame | None = None,
     facts = []
     for s in sensors:
         facts += [F.avg(F.when(early, F.col(s))).alias(f"{s}_m"), F.stddev_samp(s).alias(f"{s}_s"), F.avg(F.when(late, F.col(s))).alias(f"{s}_l")]
-    ref = reference.agg(*facts).select(F.struct("*").alias("r")).scalar()
+    # three numbers per sensor; as constants they keep the scoring a plain projection
+    ref = reference.agg(*facts).first()
 
     def damaged(df):
-        df = df.withColumn("_r", ref)
         parts = []
         for s in sensors:
-            m, sd, l = (F.col(f"_r.{s}_{k}") for k in ("m", "s", "l"))
-            parts.append(F.when(sd >= 1e-9, (F.col(s) - m) / sd * F.when(l < m, -1.0).otherwise(1.0)).otherwise(0.0))
-        return df.withColumn("damage", sum(parts[1:], parts[0]) / len(parts)).drop("_r")
+            m, sd, l = (ref[f"{s}_{k}"] for k in ("m", "s", "l"))
+            flat = sd is None or sd < 1e-9
+            parts.append(F.lit(0.0) if flat else (F.col(s) - F.lit(m)) / F.lit(sd) * F.lit(-1.0 if l < m else 1.0))
+        return df.withColumn("damage", sum(parts[1:], parts[0]) / len(parts))
 
     scored = damaged(frame)
     base = scored if scale_from == "frame" else damaged(reference)
-    scale = slices.exact_percentiles(base.withColumn("_a", F.abs("damage")), [], "_a", {"p": 0.98}).select("p").scalar()
-    return scored.withColumn("_p", F.coalesce(F.nullif(scale, F.lit(0.0)), F.lit(1.0))).withColumn(
-        "health", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.col("damage") / (2.0 * F.col("_p"))))
-    ).drop("_p")
+    row = slices.exact_percentiles(base.withColumn("_a", F.abs("damage")), [], "_a", {"p": 0.98}).first()
+    scale = (row.p if row else None) or 1.0
+    return scored.withColumn("health", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.col("damage") / F.lit(2.0 * scale))))
 
 
 def failure_level(health: DataFrame, head=5, tail=3) -> DataFrame:

@@ -43,8 +43,8 @@ def naive_failures(rates: DataFrame, session="session_id") -> DataFrame:
         F.sum("n_negative").alias("n_negative_mode_stints"),
     ).select(
         "*",
-        (F.col("n_sessions_negative") / F.col("n_sessions")).alias("session_failure_rate"),
-        (F.col("n_negative_mode_stints") / F.col("n_mode_stints")).alias("stint_failure_rate"),
+        F.try_divide("n_sessions_negative", "n_sessions").alias("session_failure_rate"),
+        F.try_divide("n_negative_mode_stints", "n_mode_stints").alias("stint_failure_rate"),
     )
 
 
@@ -64,16 +64,16 @@ def ols_by_mode(laps: DataFrame, by=("session_id",), y="perf", x="age") -> DataF
         F.regr_sxy(y, x).alias("_sxy"),
     )
     usable = (F.col("n") >= 3) & (F.col("_sxx") > 0)
-    rss = F.greatest(F.col("_syy") - F.col("_sxy") * F.col("_sxy") / F.col("_sxx"), F.lit(0.0))
+    rss = F.greatest(F.col("_syy") - F.try_divide(F.col("_sxy") * F.col("_sxy"), "_sxx"), F.lit(0.0))
     per_mode = sums.select(
         *by, "mode", "n",
         F.when(usable, F.col("_b")).otherwise(0.0).alias("slope"),
         F.when(usable, F.col("_a")).otherwise(F.col("mean_y")).alias("intercept"),
-        F.when(usable, F.sqrt(rss / F.greatest(F.col("n") - 2, F.lit(1)) / F.col("_sxx"))).alias("slope_se"),
+        F.when(usable, F.sqrt(F.try_divide(rss / F.greatest(F.col("n") - 2, F.lit(1)), "_sxx"))).alias("slope_se"),
         F.when(usable, rss).alias("_rss"),
         F.when(usable, F.col("n")).alias("_m"),
     )
-    pooled = per_mode.groupBy(*by).agg((F.sum("_rss") / F.sum("_m")).alias("_var"))
+    pooled = per_mode.groupBy(*by).agg(F.try_divide(F.sum("_rss"), F.sum("_m")).alias("_var"))
     return per_mode.join(pooled, list(by)).select(
         *by, "mode", "n", "slope", "intercept", "slope_se",
         F.coalesce(F.sqrt("_var"), F.lit(1.0)).alias("sd"),
@@ -195,9 +195,9 @@ def fisher(laps: DataFrame, sigma=0.25, prior_sd=0.016, by=("session_id",), run=
         top.alias("eig_max"),
         F.when(singular, F.lit(0.0)).otherwise(low).alias("eig_min"),
         F.when(singular, F.lit(1)).otherwise(F.lit(2)).alias("rank"),
-        F.when(~singular, a / det).alias("var_free"),
-        ((a + prior) / ((a + prior) * c - b * b)).alias("var_prior"),
-        F.sqrt((a + prior) / ((a + prior) * c - b * b)).alias("sd_prior"),
+        F.when(~singular, F.try_divide(a, det)).alias("var_free"),
+        F.try_divide(a + prior, (a + prior) * c - b * b).alias("var_prior"),
+        F.sqrt(F.try_divide(a + prior, (a + prior) * c - b * b)).alias("sd_prior"),
     )
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wearframe.operators import slices
+from wearframe.operators.staging import stage
 from wearframe.operators.stats import wilcoxon
 
 MIN_SEGMENT = 4
@@ -45,9 +46,11 @@ def fit_sticks(rows: DataFrame, keys, x="age", y="corrected", width=1024) -> Dat
         F.count(F.lit(1)).alias("n"), F.min(x).alias("x0"), F.max(x).alias("x1"), F.avg(y).alias("ybar"),
         F.avg(x).alias("xbar"), F.regr_sxx(y, x).alias("sxx"), F.regr_sxy(y, x).alias("sxy"), F.regr_syy(y, x).alias("syy"),
     )
-    line = line.withColumn("lin_slope", F.col("sxy") / F.col("sxx")).withColumn(
-        "lin_rss", F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0))
+    line = line.withColumn("lin_slope", F.try_divide("sxy", "sxx")).withColumn(
+        "lin_rss", F.greatest(F.col("syy") - F.try_divide(F.col("sxy") * F.col("sxy"), "sxx"), F.lit(0.0))
     )
+    # one row per group, read three times below
+    line = stage(line)
     ages = good.groupBy(*keys, F.col(x).alias("_x")).agg(F.count(F.lit(1)).cast("double").alias("_m"), F.sum(y).alias("_y"))
     u = F.col("_x") - F.col("x0")
     dev = F.col("_y") - F.col("_m") * F.col("ybar")
@@ -72,8 +75,8 @@ def fit_sticks(rows: DataFrame, keys, x="age", y="corrected", width=1024) -> Dat
     shy = F.col("t_y1") - k * F.col("t_y0")
     tries = tries.withColumn("_sah", sah).withColumn("_shh", shh).withColumn("_shy", shy).withColumn(
         "_det", F.col("sxx") * F.col("_shh") - F.col("_sah") * F.col("_sah")
-    ).withColumn("b", (F.col("sxy") * F.col("_shh") - F.col("_shy") * F.col("_sah")) / F.col("_det")).withColumn(
-        "d", (F.col("_shy") * F.col("sxx") - F.col("sxy") * F.col("_sah")) / F.col("_det")
+    ).withColumn("b", F.try_divide(F.col("sxy") * F.col("_shh") - F.col("_shy") * F.col("_sah"), "_det")).withColumn(
+        "d", F.try_divide(F.col("_shy") * F.col("sxx") - F.col("sxy") * F.col("_sah"), "_det")
     ).withColumn("rss", F.greatest(F.col("syy") - F.col("b") * F.col("sxy") - F.col("d") * F.col("_shy"), F.lit(0.0))).withColumn(
         "c", F.col("ybar") - F.col("b") * F.col("xbar") - F.col("d") * h1 / n
     )

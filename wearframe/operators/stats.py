@@ -58,7 +58,7 @@ def paired_t(df: DataFrame, a: str, b: str, by=()) -> DataFrame:
     d = F.col(a) - F.col(b)
     stats = df.groupBy(*keys).agg(
         F.count(d).alias("n"), F.avg(d).alias("mean_difference"), F.stddev_samp(d).alias("_s")
-    ).withColumn("t", F.col("mean_difference") / (F.col("_s") / F.sqrt(F.col("n"))))
+    ).withColumn("t", F.try_divide("mean_difference", F.col("_s") / F.sqrt(F.col("n"))))
     dof = "CAST(n - 1 AS DOUBLE)"
     return stats.withColumn("p_value", F.expr(student_p("t", dof))).select(*out, "n", "mean_difference", "t", "p_value")
 
@@ -106,7 +106,7 @@ def variance_decomposition(estimates: DataFrame, value="rate", groupings=("label
         pick("k", 0).alias("n_label_groups"), pick("k", 1).alias("n_mode_groups"),
     ).select(
         overall.alias("overall_sd"), "*",
-        (100 * (F.col("within_label_sd") - F.col("within_mode_sd")) / F.col("within_label_sd")).alias("reduction_pct"),
+        F.try_divide(100 * (F.col("within_label_sd") - F.col("within_mode_sd")), "within_label_sd").alias("reduction_pct"),
     )
 
 
@@ -230,7 +230,7 @@ def loco_scores(cases: DataFrame, predictors, actual="rate", baseline="label_mea
     ])).alias("r")).select("r.*")
     scores = long.groupBy("predictor").agg(
         F.avg("e").alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"),
-        (100 * (F.avg("b") - F.avg("e")) / F.avg("b")).alias("vs_baseline_pct"),
+        F.try_divide(100 * (F.avg("b") - F.avg("e")), F.avg("b")).alias("vs_baseline_pct"),
     )
     test = wilcoxon(long, "e", "b", ["predictor"]).select("predictor", F.col("p_value").alias("wilcoxon_p"))
     return scores.join(test, "predictor", "left")
@@ -312,7 +312,7 @@ def history_summary(cases: DataFrame) -> DataFrame:
     return cases.agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("asset").alias("n_assets"),
         F.avg("history_error").alias("history_mae"), F.avg("null_error").alias("null_mae"),
-    ).withColumn("improvement_pct", 100 * (F.col("null_mae") - F.col("history_mae")) / F.col("null_mae")).withColumn(
+    ).withColumn("improvement_pct", F.try_divide(100 * (F.col("null_mae") - F.col("history_mae")), "null_mae")).withColumn(
         "wilcoxon_p", test
     )
 
@@ -325,7 +325,7 @@ def trait_summary(dev: DataFrame, key="asset", value="deviation", min_sessions=5
     within = dev.agg(F.stddev_samp(value)).scalar()
     return per.agg(F.count(F.lit(1)).alias("n_keys"), F.stddev_samp("m").alias("trait_sd")).withColumn(
         "observation_sd", within
-    ).withColumn("signal_to_noise", F.col("trait_sd") / F.col("observation_sd"))
+    ).withColumn("signal_to_noise", F.try_divide("trait_sd", "observation_sd"))
 
 
 # ---- comparing two sessions ----------------------------------------------------
@@ -384,8 +384,8 @@ def depth_summary(rows: DataFrame) -> DataFrame:
         F.avg("depth_gap").alias("mean_depth_gap"),
     )
     b, m = F.abs("baseline_bias"), F.abs("matched_bias")
-    return out.withColumn("bias_reduction_pct", 100 * (b - m) / b).withColumn(
-        "mae_change_pct", 100 * (F.col("matched_mae") - F.col("baseline_mae")) / F.col("baseline_mae")
+    return out.withColumn("bias_reduction_pct", F.try_divide(100 * (b - m), b)).withColumn(
+        "mae_change_pct", F.try_divide(100 * (F.col("matched_mae") - F.col("baseline_mae")), "baseline_mae")
     ).withColumn("_t", t).select("*", F.col("_t.t").alias("paired_t"), F.col("_t.p_value").alias("paired_p")).drop("_t").withColumn(
         "wilcoxon_p", w
     )

@@ -57,9 +57,9 @@ def dynamics(samples: DataFrame, vehicle: ve.Vehicle | None = None, width=4096)
     b = b.withColumn("a_lat", F.greatest(F.lit(-limit), F.least(F.lit(limit), lateral)))
     hl, hr = F.col("_t") - F.lag("_t").over(w), F.lead("_t").over(w) - F.col("_t")
     fl, f0, fr = F.lag("speed").over(w), F.col("speed"), F.lead("speed").over(w)
-    inner = (hl * hl * fr + (hr * hr - hl * hl) * f0 - hr * hr * fl) / (hl * hr * (hl + hr))
+    inner = F.try_divide(hl * hl * fr + (hr * hr - hl * hl) * f0 - hr * hr * fl, hl * hr * (hl + hr))
     b = b.withColumn(
-        "a_long", F.when(F.col("n_samples") < 2, 0.0).when(first, (fr - f0) / hr).when(last, (f0 - fl) / hl).otherwise(inner)
+        "a_long", F.when(F.col("n_samples") < 2, 0.0).when(first, F.try_divide(fr - f0, hr)).when(last, F.try_divide(f0 - fl, hl)).otherwise(inner)
     ).withColumn("dt", _gradient("t", w, first, last))
     loads = ve.corner_loads(F.col("speed"), F.col("a_long"), F.col("a_lat"), v)
     for c, load in loads.items():
@@ -98,7 +98,7 @@ def lap_energy(dyn: DataFrame, edge=4, min_n=12) -> DataFrame:
     )
     e = {c: F.col(f"energy_{c}") for c in ve.CORNERS}
     total = e["FL"] + e["FR"] + e["RL"] + e["RR"]
-    share = lambda a, b: F.when(F.col("energy") != 0, (e[a] + e[b]) / F.col("energy"))
+    share = lambda a, b: F.when(F.col("energy") != 0, F.try_divide(e[a] + e[b], "energy"))
     return agg.withColumn("energy", total).withColumn("front_share", share("FL", "FR")).withColumn("left_share", share("FL", "RL"))
 
 
@@ -344,7 +344,7 @@ def energy_clock(wear: DataFrame, stint=("session_id", "asset"), energy="energy"
     mean = F.avg(energy).over(w)
     upto = w.orderBy("lap").rowsBetween(Window.unboundedPreceding, 0)
     return wear.withColumn("_mean", mean).withColumn(
-        "clock", F.when(F.col("_mean") > 0, F.sum(F.col(energy) / F.col("_mean")).over(upto)).otherwise(F.row_number().over(w.orderBy("lap")))
+        "clock", F.when(F.col("_mean") > 0, F.sum(F.try_divide(energy, "_mean")).over(upto)).otherwise(F.row_number().over(w.orderBy("lap")))
     ).drop("_mean")
 
 
