@@ -198,6 +198,16 @@ def transfer_overall(spark, d):
     return rounded_all(st.transfer_overall(compared(spark, d)))
 
 
+def event_validation(spark, d):
+    """Transfer report looked up by names asked in another case or only in part."""
+    from wearframe.plans.reports import event_validation as look_up
+
+    named = compared(spark, d).withColumn("year", F.col("event") % 3).withColumn("event", F.concat(F.lit("Grand Prix "), F.col("event").cast("string")))
+    asked = ad.table(spark, d, "nation").select(
+        (F.col("n_nationkey") % 3).cast("long").alias("year"), F.concat(F.lit("PRIX "), F.col("n_nationkey").cast("string")).alias("asked"))
+    return rounded_all(look_up(named, asked))
+
+
 def depth_summary(spark, d):
     rows = compared(spark, d).where("skipped IS NULL").select(
         F.col("error").alias("baseline_error"), (F.col("error") * 0.7 + F.col("naive_error") * 0.2).alias("matched_error"),
@@ -237,7 +247,7 @@ def value_of_information(spark, d):
 QUERIES = {f.__name__: f for f in (
     variance_decomposition, loo_mean, loeo_modes, loeo_modes_summary, signed_rank, paired_t, bias_screen, leave_one_circuit_out, loco_scores,
     asset_deviations, teammate_gaps, top_gaps, split_half, split_half_summary, loso_history, history_summary, trait_summary,
-    compare_rates, validation_report, transfer_overall, depth_summary, bias_table, consensus, applicability, value_of_information)}
+    compare_rates, validation_report, event_validation, transfer_overall, depth_summary, bias_table, consensus, applicability, value_of_information)}
 
 _T = lambda t, nu: f"(2 * {cdf_sql(f'(-((8 * {nu} + 1) / (8 * {nu} + 3)) * sqrt({nu} * ln(1 + {t} * {t} / {nu})))')})"
 SPLITS = DEV + """,
@@ -315,6 +325,11 @@ SELECT event, mode, round(predicted, 6) AS predicted, round(predicted_sd, 6) AS
        round(actual, 6) AS actual, round(actual_sd, 6) AS actual_sd, race_laps, skipped, round(error, 6) AS error,
        round(naive_error, 6) AS naive_error, covered FROM cm"""),
     "validation_report": sql(CMP, f"SELECT event, {_TR} FROM cm WHERE skipped IS NULL GROUP BY event"),
+    "event_validation": sql(CMP + f""",
+rp AS (SELECT event % 3 AS year, 'Grand Prix ' || event AS recorded, {_TR} FROM cm WHERE skipped IS NULL GROUP BY event),
+ak AS (SELECT CAST(n_nationkey % 3 AS BIGINT) AS year, 'PRIX ' || n_nationkey AS asked FROM nation)""", """
+SELECT year, asked, recorded, n_comparisons, mae, naive_mae, bias, coverage FROM ak JOIN rp USING (year)
+WHERE contains(lower(recorded), lower(asked)) OR contains(lower(asked), lower(recorded))"""),
     "transfer_overall": sql(CMP, f"SELECT {_TR}, count(DISTINCT event) AS n_events FROM cm WHERE skipped IS NULL"),
     "depth_summary": sql(CMP + """,
 dr AS (SELECT error AS be, error * 0.7 + naive_error * 0.2 AS me, race_laps - practice_laps AS g FROM cm WHERE skipped IS NULL),
