@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearframe.llm import chat, decontaminate, exact_dedup, mixing, sharding, tokens
+from wearframe.llm import chat, decontaminate, exact_dedup, mixing, sharding, simhash, tokens
 from wearframe.llm.common import staged, words_in
 
 
@@ -26,6 +26,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(marked).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.mark_near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     slotted = sharding.shard(docs, 8)
@@ -61,7 +65,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_mixing": op1_mixing, "op2_exact_dedup": op2_exact_dedup, "op4_sharding": op4_sharding,
+    "op1_mixing": op1_mixing, "op2_exact_dedup": op2_exact_dedup, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding,
     "op6_token_counts": op6_token_counts, "op8_decontamination": op8_decontamination, "op9_chat_format": op9_chat_format,
 }
 
