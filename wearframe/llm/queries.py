@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearframe.llm import chat, decontaminate, exact_dedup, mixing, sharding, simhash, tokens
+from wearframe.llm import chat, decontaminate, exact_dedup, language, mixing, sharding, simhash, tokens, toxicity
 from wearframe.llm.common import staged, words_in
 
 
@@ -36,6 +36,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slotted.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "vslot")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,6 +48,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(docs, str(public_tokenizers.path("piece_bpe_32k.model"))).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -66,7 +76,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing, "op2_exact_dedup": op2_exact_dedup, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding,
-    "op6_token_counts": op6_token_counts, "op8_decontamination": op8_decontamination, "op9_chat_format": op9_chat_format,
+    "op5_language": op5_language, "op6_token_counts": op6_token_counts, "op7_toxicity": op7_toxicity, "op8_decontamination": op8_decontamination, "op9_chat_format": op9_chat_format,
 }
 
 OP1_SQL = r"""
