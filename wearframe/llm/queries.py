@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearframe.llm import chat, decontaminate, exact_dedup, language, mixing, sharding, simhash, tokens, toxicity
+from wearframe.llm import chat, decontaminate, exact_dedup, language, mixing, personal, sharding, simhash, tokens, toxicity
 from wearframe.llm.common import staged, words_in
 
 
@@ -74,9 +74,21 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(added)))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = staged(personal.with_candidates(docs).drop("text"), "candidates")
+    marked = personal.accept(found, personal.fit(found))
+    base = F.filter("spans", lambda s: s["base"])
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+    counts = [number(kind).alias(f"n_{kind}") for kind in personal.BASE]
+    return marked.select("doc_id", *counts, F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing, "op2_exact_dedup": op2_exact_dedup, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding,
     "op5_language": op5_language, "op6_token_counts": op6_token_counts, "op7_toxicity": op7_toxicity, "op8_decontamination": op8_decontamination, "op9_chat_format": op9_chat_format,
+    "op10_personal_data": op10_personal_data,
 }
 
 OP1_SQL = r"""
