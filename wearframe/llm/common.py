@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,21 @@ def key_of(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit("null"))
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[..., DataFrame]]:
+    """`docs` under names that clash with nothing, where each (lower-case) column went, and a function that takes the columns back and adds others.
+
+    For steps that return the rows of their input as they were, whatever its columns are called.
+    """
+    names = docs.columns
+    hidden = [f"__in_{i}" for i in range(len(names))]
+
+    def back(df: DataFrame, *added: str) -> DataFrame:
+        new = {c.lower() for c in added}
+        return df.select(*[F.col(h).alias(c) for h, c in zip(hidden, names, strict=True) if c.lower() not in new], *added)
+
+    return docs.toDF(*hidden), {c.lower(): h for h, c in zip(reversed(hidden), reversed(names), strict=True)}, back
+
+
 def words_in(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

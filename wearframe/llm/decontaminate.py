@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from wearframe.llm.common import utf8_bytes
+from wearframe.llm.common import aside, utf8_bytes
 
 WINDOW = 10
 #: Bytes of normalised items in one broadcast block.
@@ -141,6 +141,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, t
     return docs.withColumn("leak", leak(F.col(text_col)))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """The documents that hold no window of any item, unchanged."""
-    return find_leaks(docs, benchmark, **options).filter("leak.n_hit = 0").select(*docs.columns)
+    hidden, place, back = aside(docs)
+    return back(find_leaks(hidden, benchmark, text_col=place[text_col.lower()], **options).filter("leak.n_hit = 0"))

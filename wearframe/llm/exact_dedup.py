@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wearframe.llm.common import SPACE, staged, text_of
+from wearframe.llm.common import SPACE, aside, staged, text_of
 
 #: Most digests broadcast: about 100 bytes each.
 HEAVY = 1000
@@ -64,4 +64,5 @@ def mark_copies(marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def drop_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row of each group of equal texts, with the columns of `docs`."""
-    return mark_copies(digests(docs, text_col), id_col).filter("kept").select(*docs.columns)
+    hidden, place, back = aside(docs)
+    return back(mark_copies(digests(hidden, place[text_col.lower()]), place[id_col.lower()]).filter("kept"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from wearframe.llm.common import utf8_bytes
+from wearframe.llm.common import aside, utf8_bytes
 
 #: Bound of the labelled sample: documents of each language, and the longest document (bytes) that is taken.
 FIT_DOCS = 150
@@ -338,9 +338,6 @@ def identify(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
 
 def keep_identified(docs: DataFrame, least: float = 0.4, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """The rows whose language is known with at least `least` mean posterior, with the columns of `docs`."""
-    # renamed, so that columns of the same names as the results survive
-    renamed = docs.select(*[F.col(c).alias(f"__in_{i}") for i, c in enumerate(docs.columns)])
-    place = {c.lower(): f"__in_{i}" for i, c in enumerate(docs.columns)}
-    marked = identify(renamed, text_col=place[text_col.lower()], lang_col=place[lang_col.lower()], id_col=place[id_col.lower()])
-    kept = marked.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.select(*[F.col(f"__in_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    hidden, place, back = aside(docs)
+    marked = identify(hidden, text_col=place[text_col.lower()], lang_col=place[lang_col.lower()], id_col=place[id_col.lower()])
+    return back(marked.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
 
-from wearframe.llm.common import staged, text_of, utf8_bytes
+from wearframe.llm.common import aside, key_of, staged, text_of, utf8_bytes
 from wearframe.llm.components import components
 
 WORDS = 4
@@ -224,11 +224,13 @@ def mark_near_copies(docs: DataFrame, *, text_col: str = "text", id_col: str = "
 
 def drop_near_copies(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """One document of each component, with the columns of `docs`: the one with the smallest id (null last); of repeated rows one stays."""
-    row_key = F.md5(F.concat_ws("\x1f", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text_of(text_col)))
+    docs, place, back = aside(docs)
+    text_col, id_col = place[text_col.lower()], place[id_col.lower()]
+    row_key = F.md5(F.concat_ws("\x1f", key_of(F.col(id_col)), text_of(text_col)))
     marked = staged(docs.select(F.col(id_col), row_key.alias("__row"), fingerprints(text_of(text_col)).alias("fp")), "marked")
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row")))
     groups = near_groups(marked, id_col, radius, blocks)
     stays = marked.groupBy("fp").agg(first.alias("first")).join(groups, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
     one = Window.partitionBy("__row").orderBy("__row")
     kept = docs.withColumn("__row", row_key).join(stays, "__row", "left_semi").withColumn("__n", F.row_number().over(one)).filter("__n = 1")
-    return kept.select(*docs.columns)
+    return back(kept)
