@@ -58,14 +58,16 @@ def first_map(sizes: DataFrame, shards: int) -> DataFrame:
 
 def add_shard(latest: DataFrame, sizes: DataFrame) -> DataFrame:
     """The next version of a map, with one more shard: it takes slots (in slot order, turn by turn from every shard) until it has its
-    share of the bytes; no record moves between old shards."""
+    share of the bytes; a slot larger than that share stays. No record moves between old shards."""
     facts = latest.join(sizes, "vslot").withColumn("__turn", F.row_number().over(Window.partitionBy("shard").orderBy("vslot")))
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     so_far = Window.orderBy("__turn", "shard").rowsBetween(Window.unboundedPreceding, 0)
     new = F.max("shard").over(everything) + 1
     share = F.sum("bytes").over(everything) / (new + 1)
-    ranked = facts.withColumn("__new", new).withColumn("__share", share).withColumn("__sum", F.sum("bytes").over(so_far))
-    return ranked.select((F.col("version") + 1).alias("version"), "vslot", F.when(F.col("__sum") <= F.col("__share"), F.col("__new")).otherwise(F.col("shard")).alias("shard"))
+    ranked = facts.withColumn("__new", new).withColumn("__share", share)
+    fits = F.col("bytes") <= F.col("__share")
+    ranked = ranked.withColumn("__sum", F.sum(F.when(fits, F.col("bytes")).otherwise(0)).over(so_far))
+    return ranked.select((F.col("version") + 1).alias("version"), "vslot", F.when(fits & (F.col("__sum") <= F.col("__share")), F.col("__new")).otherwise(F.col("shard")).alias("shard"))
 
 
 def save_map(versioned: DataFrame, path: str) -> None:
