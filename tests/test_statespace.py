@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from wearframe.operators import attribute as at
@@ -71,11 +72,50 @@ def test_fit_table(laps):
         assert (r.tyre_share is None) == (r.delta <= 0)
 
 
-def test_batches_hold_every_row(laps):
-    fit = ss.fit_sessions(laps, max_assets=2, max_steps=6)
-    states = ss.lap_states(fit)
-    assert states.count() == laps.count()
-    assert states.select("batch").distinct().count() > 2
+def _field(assets, steps, seed=1):
+    rng = np.random.default_rng(seed)
+    rows = [(0, a, s, a, float(s + 1), float(s), 90 + 0.05 * s + 0.1 * (a % 3) + rng.normal(0, 0.1), "AB"[a % 2], float(rng.uniform()), a * steps + s)
+            for s in range(steps) for a in range(assets)]
+    return pd.DataFrame(rows, columns=["session_id", "asset", "seq", "run_id", "age", "elapsed", "perf", "mode", "interference", "event_id"])
+
+
+@pytest.mark.parametrize("assets", [24, 26, 60])
+def test_one_model_whatever_the_field(assets):
+    pdf, hyper, priors = _field(assets, 4), ss.Hyper(), ss.Priors()
+    lay, loglik, mean, cov = _dense(pdf, hyper, priors)
+    out = ss._fit_rows((0, "default"), lay, hyper, priors)
+    laps = out[out.kind == "lap"]
+    assert laps.loglik.iloc[0] == pytest.approx(loglik, rel=1e-8) and len(laps) == len(pdf)
+    level = np.array([mean[lay.step[j]][lay.level[j]] for j in range(len(pdf))])
+    spread = np.array([cov[lay.n * lay.step[j] + lay.level[j], lay.n * lay.step[j] + lay.level[j]] for j in range(len(pdf))])
+    assert np.allclose(laps.level, level, atol=1e-5) and np.allclose(laps.level_sd, np.sqrt(spread), atol=1e-5)
+    modes = out[out.kind == "mode"].set_index("mode").coef
+    assert all(modes[m] == pytest.approx(mean[-1][i], abs=1e-6) for m, i in lay.mode_at.items())
+
+
+def test_blocks_change_nothing_beyond_2000_steps():
+    pdf, hyper, priors = _field(1, 2100), ss.Hyper(), ss.Priors()
+    lay = ss.Layout(pdf)
+    out = ss._fit_rows((0, "default"), lay, hyper, priors)
+    laps = out[out.kind == "lap"].reset_index(drop=True)
+    loglik, _, _, kept = ss.run_filter(lay, hyper, priors)
+    whole = ss.run_smoother(lay, kept)
+    assert laps.loglik[0] == pytest.approx(loglik)
+    assert np.allclose(laps.level, [whole[lay.step[j]][0][lay.level[j]] for j in range(len(pdf))], atol=1e-8)
+    assert np.allclose(laps.level_f, [kept[lay.step[j]][2][lay.level[j]] for j in range(len(pdf))], atol=1e-8)
+
+
+def test_remaining_life_of_known_slopes(spark):
+    from wearframe.operators import fleet
+
+    rng = np.random.default_rng(2)
+    slopes = {u: 0.0008 + 0.0001 * u for u in range(30)}
+    rows = [(u, u, c, float(c), 1.0 - s * c + rng.normal(0, 0.005), "cond", float(c - 1)) for u, s in slopes.items() for c in range(1, 300)]
+    obs = spark.createDataFrame(rows, "asset_id long, unit_id long, sequence long, age double, performance double, mode string, elapsed_in_run double")
+    got = {r.asset: r.predicted for r in fleet.remaining_life(obs, spark.createDataFrame([(0.5,)], "failure_level double"), cap=1e6).collect()}
+    assert len(got) == 30
+    for u, s in slopes.items():
+        assert got[u] == pytest.approx(max(0.5 / s - 299, 0), abs=35)
 
 
 def test_tuning_never_lowers_the_likelihood(laps):

@@ -37,7 +37,7 @@ def failure_level(spark, d):
 
 
 def observations(spark, d):
-    return rounded_all(fl.to_observations(_health(spark, d), max_units=30))
+    return rounded_all(fl.to_observations(_health(spark, d)))
 
 
 def generic_laps(spark, d):
@@ -53,10 +53,10 @@ def rul_scores(spark, d):
 
 
 def remaining_life(spark, d):
-    """Every unit, each fitted on its whole history in batches of a bounded number of cycles."""
+    """Every unit, fitted on its whole history."""
     health = stage(_health(spark, d))
     obs = fl.to_observations(health)
-    return rounded_all(fl.remaining_life(obs, fl.failure_level(health), batch=10, max_steps=200))
+    return rounded_all(fl.remaining_life(obs, fl.failure_level(health)))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -92,7 +92,7 @@ SELECT sensor, round(abs(avg(c)), 6) AS score, count(*) AS n_units FROM lg GROUP
 SELECT round(avg(health) FILTER (WHERE cycle <= 5) - avg(health) FILTER (WHERE cycle > n_cycles - 3), 6) AS failure_level FROM hi"""),
     "observations": sql(HI, f"""
 SELECT unit AS asset_id, unit AS unit_id, cycle AS sequence, CAST(cycle AS DOUBLE) AS age, round(health, 6) AS performance, {_mode} AS mode,
-  CAST(cycle - 1 AS DOUBLE) AS elapsed_in_run FROM hi WHERE unit IN (SELECT DISTINCT unit FROM cyc ORDER BY unit LIMIT 30)"""),
+  CAST(cycle - 1 AS DOUBLE) AS elapsed_in_run FROM hi"""),
     "generic_laps": sql(HI, f"""
 SELECT CAST(0 AS BIGINT) AS session_id, unit AS asset, cycle AS seq, unit AS run_id, CAST(cycle AS DOUBLE) AS age, CAST(cycle - 1 AS DOUBLE) AS elapsed,
   round(-health, 6) AS perf, {_mode} AS mode, 0e0 AS interference, cycle AS event_id FROM hi"""),

@@ -50,7 +50,7 @@ def fit_diagnostics(spark, d):
 
 
 def tuned_hyper(spark, d):
-    return rounded_all(ss.tune(_laps(spark, d), rounds=1))
+    return rounded_all(ss.tune(_laps(spark, d)))
 
 
 def prior_sweep(spark, d):
@@ -150,7 +150,7 @@ def _states(spark, d):
     laps = ad.laps_from_events(spark, d, unique=True)
     e = F.col("event_id")
     return laps.select(
-        "session_id", F.lit(0).alias("batch"), F.lit("f").alias("variant"), "asset", "seq", "run_id", "event_id", "mode", "age", "elapsed", "perf",
+        "session_id", F.lit("f").alias("variant"), "asset", "seq", "run_id", "event_id", "mode", "age", "elapsed", "perf",
         ((e % 10) / 10.0).alias("interference"), (0.03 * F.col("age") + F.col("perf") / 1000).alias("level"),
         (0.05 + 0.001 * F.col("age")).alias("level_sd"), (0.03 + ((e % 7) - 3) / 100.0).alias("rate"), (0.01 + (e % 5) / 1000.0).alias("rate_sd"),
         F.lit(0.0001).alias("level_rate_cov"), F.lit(0.0001).alias("q_level"), F.lit(0.00001).alias("q_rate"),
@@ -161,7 +161,7 @@ def _states(spark, d):
 
 
 STATES = ULAPS + """,
-s AS (SELECT session_id, 0 AS batch, 'f' AS variant, asset, seq, run_id, event_id, mode, age, elapsed, perf, (event_id % 10) / 10.0 AS interference,
+s AS (SELECT session_id, 'f' AS variant, asset, seq, run_id, event_id, mode, age, elapsed, perf, (event_id % 10) / 10.0 AS interference,
    0.03 * age + perf / 1000 AS level, 0.05 + 0.001 * age AS level_sd, 0.03 + ((event_id % 7) - 3) / 100.0 AS rate, 0.01 + (event_id % 5) / 1000.0 AS rate_sd,
    -seq / 720.0 AS drift_basis, (event_id % 11) / 100.0 AS drift_resid FROM ulaps)
 """
@@ -221,7 +221,7 @@ rf AS (SELECT *, first_value(seq) OVER w AS ref_seq, perf - first_value(perf) OV
    FROM s WINDOW w AS (PARTITION BY session_id, asset, run_id ORDER BY seq)),
 dc AS (SELECT *, load + drift + interference_s AS confounders FROM rf)
 """
-_k = "session_id, batch, variant, asset, seq"
+_k = "session_id, variant, asset, seq"
 LIFE = STATES + """,
 old AS (SELECT session_id, mode, max(age) AS oldest FROM s GROUP BY ALL),
 pj AS (SELECT s.*, oldest, h, level + h * rate AS loss,
@@ -263,8 +263,8 @@ SELECT {_k}, run_id, age, round(level, 6) AS level, round(level_sd, 6) AS level_
   round(greatest(0, least(100, 100 * (1 - level / 1.5))), 6) AS health FROM s"""),
     "stint_regimes": sql(STATES + """,
 i AS (SELECT *, row_number() OVER (PARTITION BY session_id, asset, run_id ORDER BY age, seq) AS i FROM s),
-f AS (SELECT session_id, batch, variant, asset, run_id, count(*) AS n, avg(rate) AS r, regr_slope(rate, i) AS t, avg(interference) AS m FROM i GROUP BY ALL)""", """
-SELECT session_id, batch, variant, asset, run_id, n AS laps, round(r, 6) AS mean_rate, round(CASE WHEN n > 1 THEN t END, 6) AS rate_trend, round(m, 6) AS mean_interference,
+f AS (SELECT session_id, variant, asset, run_id, count(*) AS n, avg(rate) AS r, regr_slope(rate, i) AS t, avg(interference) AS m FROM i GROUP BY ALL)""", """
+SELECT session_id, variant, asset, run_id, n AS laps, round(r, 6) AS mean_rate, round(CASE WHEN n > 1 THEN t END, 6) AS rate_trend, round(m, 6) AS mean_interference,
   CASE WHEN n < 4 THEN 'sparse data' WHEN m > 0.35 THEN 'traffic limited' WHEN t > 0.004 THEN 'cliff' WHEN r < -0.01 THEN 'recovering'
        WHEN r > 0.15 THEN 'high degradation' ELSE 'clean running' END AS regime,
   round(CASE WHEN n < 4 THEN 1.0 WHEN m > 0.35 THEN least(m / 0.6, 1) WHEN t > 0.004 THEN least(t / 0.01, 1) WHEN r < -0.01 THEN least(abs(r) / 0.05, 1)

@@ -7,7 +7,7 @@ from wearframe.functions import gaussian
 from wearframe.operators import slices
 from wearframe.operators.rates import with_reference
 
-KEYS = ("session_id", "batch", "variant")
+KEYS = ("session_id", "variant")
 TERMS = ("tyre", "load", "drift", "interference")
 THRESHOLD = 0.8
 

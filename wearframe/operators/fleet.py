@@ -106,9 +106,11 @@ def to_laps(observations: DataFrame, is_cost: bool) -> DataFrame:
 FLEET = {"load_mean": 0.0, "load_sd": 1e-4, "drift_mean": 0.0, "drift_sd": 1e-3, "rate_mean": 0.002, "rate_sd": 0.005, "level_sd": 0.02, "intercept_sd": 1.0}
 
 
-def remaining_life(observations: DataFrame, failure: DataFrame, batch=25, cap=125.0, max_steps=2000) -> DataFrame:
-    """Fit the fleet in batches of assets and extrapolate every unit to the failure level."""
-    fit = stage(ss.fit_sessions(to_laps(observations, is_cost=False), {"fleet": FLEET}, max_assets=batch, max_steps=max_steps))
+def remaining_life(observations: DataFrame, failure: DataFrame, together=25, cap=125.0) -> DataFrame:
+    """Fit the fleet, ``together`` whole units to a model as the method is defined, and extrapolate every unit to the failure level."""
+    units = observations.select("asset_id").distinct().withColumn("_s", F.floor(F.col("asset_id") / 1024)).withColumn("_all", F.lit(0))
+    group = slices.positions(units, ["_all"], "_s", ["asset_id"], name="_k").select("asset_id", F.floor((F.col("_k") - 1) / together).cast("long").alias("session_id"))
+    fit = stage(ss.fit_sessions(to_laps(observations.drop("session_id").join(group, "asset_id"), is_cost=False), {"fleet": FLEET}))
     fleet_rate = ss.mode_rates(fit).agg(F.avg("rate"))
     return _remaining(ss.lap_states(fit), fleet_rate, failure, cap)
 

@@ -7,9 +7,10 @@ The level of an asset integrates its rate over age; a new unit resets the level
 to zero and redraws the rate around the mode's baseline. Constants are states
 without process noise, so their priors carry through exactly.
 
-One fit is one (session, batch, variant) group. A session with more assets than
-``max_assets`` or more distinct seqs than ``max_steps`` is fitted in batches
-that together hold all its rows, so a group stays bounded.
+One fit is one (session, variant) group: one model per session at any size. The
+forward pass stores the state only at the start of each block of about sqrt(steps)
+steps; the backward pass runs a block forward again before it goes back through it,
+so memory grows with the root of a session's length.
 """
 
 import math
@@ -20,7 +21,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearframe.operators import slices
 from wearframe.operators.staging import spread
 
 _LOG_2PI = math.log(2 * math.pi)
@@ -66,7 +66,7 @@ BOUNDS = (
     (math.log(0.005), math.log(0.5)),
 )
 
-FIT_KEYS = ("session_id", "batch", "variant")
+FIT_KEYS = ("session_id", "variant")
 
 
 class Layout:
@@ -171,13 +171,17 @@ def _back(lay: Layout, step: int, X):
     return X
 
 
-def run_filter(lay: Layout, hyper: Hyper, priors: Priors, keep=True):
-    """Forward pass with the exact log-likelihood; ``keep`` stores what smoothing needs."""
+def run_filter(lay: Layout, hyper: Hyper, priors: Priors, keep=True, span=None, state=None, visit=None):
+    """Forward pass with the exact log-likelihood; ``keep`` stores what smoothing needs.
+
+    ``span`` and ``state`` restart it inside a session; ``visit`` sees every step's filtered mean and covariance.
+    """
     z, noise_var = lay.design(hyper), math.exp(2 * hyper.log_noise_sd)
-    a, P = lay.start(priors)
+    a, P = state or lay.start(priors)
     loglik, kept = 0.0, []
     resid, rvar = np.empty(len(lay.y)), np.empty(len(lay.y))
-    for step, (idx, _, _) in enumerate(lay.by_step):
+    for step in range(*(span or (0, len(lay.by_step)))):
+        idx = lay.by_step[step][0]
         a, P = _advance(lay, step, hyper, priors, a, P)
         Z = z[idx]
         v = lay.y[idx] - Z @ a
@@ -196,22 +200,25 @@ def run_filter(lay: Layout, hyper: Hyper, priors: Priors, keep=True):
         P = 0.5 * (P + P.T)
         if keep:
             kept.append((prior_a, prior_P, a, P, Z, np.linalg.solve(L.T, w), np.linalg.solve(L.T, np.linalg.solve(L, Z))))
+        if visit:
+            visit(step, a, P)
     return loglik, resid, rvar, kept
 
 
-def run_smoother(lay: Layout, kept):
+def run_smoother(lay: Layout, kept, first=0, later=None, carry=None):
     """Backward pass in information form (r, N): no inverse of a state covariance is needed.
 
     Returns per step the mean of every state, the states whose covariance is
     read (shared ones, the assets seen there, mode rates at the end) and that
-    block of the covariance.
+    block of the covariance. ``first`` is the step of ``kept[0]``, ``later`` the
+    (r, N) of the block behind it, and ``carry`` receives those of this block.
     """
     shared = np.arange(4)
-    last = len(kept) - 1
-    r, N = np.zeros((lay.n, 1)), np.zeros((lay.n, lay.n))
+    last = len(lay.by_step) - 1
+    r, N = later or (np.zeros((lay.n, 1)), np.zeros((lay.n, lay.n)))
     out = [None] * len(kept)
-    for step in range(len(kept) - 1, -1, -1):
-        prior_a, prior_P, _, _, Z, u, SZ = kept[step]
+    for step in range(first + len(kept) - 1, first - 1, -1):
+        prior_a, prior_P, _, _, Z, u, SZ = kept[step - first]
         # fold this step's observations into (r, N), which describe what follows
         PZt = prior_P @ Z.T
         r = r - SZ.T @ (PZt.T @ r) + Z.T @ u[:, None]
@@ -223,14 +230,16 @@ def run_smoother(lay: Layout, kept):
         modes = np.array(list(lay.mode_at.values()), dtype=int) if step == last else shared[:0]
         sel = np.concatenate([shared, levels, levels + 1, modes])
         side = prior_P[sel]
-        out[step] = (mean, sel, prior_P[np.ix_(sel, sel)] - side @ N @ side.T)
+        out[step - first] = (mean, sel, prior_P[np.ix_(sel, sel)] - side @ N @ side.T)
         r = _back(lay, step, r)
         N = _back(lay, step, _back(lay, step, N).T)
+    if carry is not None:
+        carry[:] = [r, N]
     return out
 
 
 STATE_SCHEMA = (
-    "session_id long, batch long, variant string, kind string, seq long, asset long, run_id long, event_id long, mode string, age double, "
+    "session_id long, variant string, kind string, seq long, asset long, run_id long, event_id long, mode string, age double, "
     "elapsed double, perf double, interference double, "
     "level_f double, level_f_sd double, rate_f double, rate_f_sd double, "
     "level double, level_sd double, rate double, rate_sd double, level_rate_cov double, "
@@ -244,60 +253,65 @@ _COLUMNS = [c.split()[0] for c in STATE_SCHEMA.split(", ")]
 
 
 def _fit_rows(key, lay: Layout, hyper: Hyper, priors: Priors):
-    loglik, resid, rvar, kept = run_filter(lay, hyper, priors)
-    smooth = run_smoother(lay, kept)
-    rows, m = lay.rows, len(lay.y)
-    lv = lay.level
-    basis = -(1.0 - np.exp(-math.exp(hyper.log_drift_shape) * lay.offset))
+    m, steps = len(lay.y), len(lay.by_step)
+    block = max(math.isqrt(steps), 1)
+    live_at = max(int((steps + 1) * 0.75) - 1, 1) - 1
     sd = lambda x: math.sqrt(max(x, 0.0))
+    sds = lambda x: np.sqrt(np.maximum(x, 0.0))
     get = {c: np.empty(m) for c in (
         "level_f", "level_f_sd", "rate_f", "rate_f_sd", "level", "level_sd", "rate", "rate_sd", "level_rate_cov",
         "drift_resid", "load", "load_sd", "coefficient", "coefficient_sd", "amplitude", "amplitude_sd")}
-    for j in range(m):
-        i = lv[j]
-        _, _, fa, fP, *_ = kept[lay.step[j]]
-        sa, sel, sP = smooth[lay.step[j]]
-        at = np.flatnonzero(sel == i)[0]
-        up = np.flatnonzero(sel == i + 1)[0]
-        values = (fa[i], sd(fP[i, i]), fa[i + 1], sd(fP[i + 1, i + 1]), sa[i], sd(sP[at, at]), sa[i + 1], sd(sP[up, up]),
-                  sP[at, up], sa[1], sa[2], sd(sP[2, 2]), sa[3], sd(sP[3, 3]), sa[0], sd(sP[0, 0]))
-        for c, v in zip(get, values):
-            get[c][j] = v
+    starts, known_live = {0: lay.start(priors)}, {}
+
+    def visit(step, a, P):
+        idx = lay.by_step[step][0]
+        i = lay.level[idx]
+        get["level_f"][idx], get["rate_f"][idx] = a[i], a[i + 1]
+        get["level_f_sd"][idx], get["rate_f_sd"][idx] = sds(P[i, i]), sds(P[i + 1, i + 1])
+        if (step + 1) % block == 0:
+            starts[step + 1] = (a, P)
+        if step == live_at:
+            known_live.update({name: (a[i], sd(P[i, i])) for name, i in lay.mode_at.items()})
+
+    loglik, resid, rvar, _ = run_filter(lay, hyper, priors, keep=False, visit=visit)
+    later, last = None, None
+    for first in range((steps - 1) // block * block, -1, -block):
+        *_, kept = run_filter(lay, hyper, priors, span=(first, min(first + block, steps)), state=starts[first])
+        carry = []
+        for at, (mean, sel, P) in enumerate(run_smoother(lay, kept, first, later, carry)):
+            idx = lay.by_step[first + at][0]
+            i = lay.level[idx]
+            spot = {int(x): k for k, x in enumerate(sel)}
+            lv = np.array([spot[int(x)] for x in i])
+            up = np.array([spot[int(x) + 1] for x in i])
+            get["level"][idx], get["rate"][idx] = mean[i], mean[i + 1]
+            get["level_sd"][idx], get["rate_sd"][idx], get["level_rate_cov"][idx] = sds(P[lv, lv]), sds(P[up, up]), P[lv, up]
+            get["amplitude"][idx], get["drift_resid"][idx], get["load"][idx], get["coefficient"][idx] = mean[:4]
+            get["amplitude_sd"][idx], get["load_sd"][idx], get["coefficient_sd"][idx] = sd(P[0, 0]), sd(P[2, 2]), sd(P[3, 3])
+            if first + at == steps - 1:
+                last = (mean, sel, P)
+        later = tuple(carry)
+    rows = lay.rows
+    basis = -(1.0 - np.exp(-math.exp(hyper.log_drift_shape) * lay.offset))
     laps = rows[["seq", "asset", "run_id", "event_id", "mode", "age", "elapsed", "perf", "interference"]].assign(
         **get, innovation=resid, innovation_sd=np.sqrt(rvar), drift_basis=basis, kind="lap",
         drift=basis * get["amplitude"] + get["drift_resid"], drift_sd=np.abs(basis) * get["amplitude_sd"])
-    last_a, sel, last_P = smooth[-1]
+    last_a, sel, last_P = last
     spot = {int(s): k for k, s in enumerate(sel)}
     named = [("load", 2), ("interference", 3), ("drift", 0)] + list(lay.mode_at.items())
     coefs = pd.DataFrame({
         "kind": ["coef"] * 3 + ["mode"] * len(lay.mode_at), "mode": [n for n, _ in named],
         "coef": [last_a[i] for _, i in named], "coef_sd": [sd(last_P[spot[i], spot[i]]) for _, i in named]})
     # mode rates as they stood three quarters through, before the rest was seen
-    cut = kept[max(int((len(lay.seqs) + 1) * 0.75) - 1, 1) - 1]
     live = pd.DataFrame({
-        "kind": "live", "mode": list(lay.mode_at), "coef": [cut[2][i] for i in lay.mode_at.values()],
-        "coef_sd": [sd(cut[3][i, i]) for i in lay.mode_at.values()]})
+        "kind": "live", "mode": list(known_live), "coef": [v[0] for v in known_live.values()], "coef_sd": [v[1] for v in known_live.values()]})
     out = pd.concat([laps, coefs, live, pd.DataFrame({"kind": ["fit"]})], ignore_index=True)
     return out.assign(
-        session_id=key[0], batch=key[1], variant=key[2], loglik=loglik, n_obs=m, n_states=lay.n, reference=lay.reference,
+        session_id=key[0], variant=key[1], loglik=loglik, n_obs=m, n_states=lay.n, reference=lay.reference,
         q_level=math.exp(hyper.log_q_level), q_rate=math.exp(hyper.log_q_rate), noise_sd=math.exp(hyper.log_noise_sd), error=None)
 
 
-def batched(laps: DataFrame, max_assets=25, max_steps=2000) -> DataFrame:
-    """Add the fit batch: assets in name order, seqs in blocks; one batch for a session of ordinary size."""
-    names = laps.select("session_id", "asset").distinct().withColumn("_s", F.floor(F.col("asset") / 1024))
-    assets = slices.positions(names, ["session_id"], "_s", ["asset"], name="_k").select(
-        "session_id", "asset", F.floor((F.col("_k") - 1) / max_assets).alias("_ab")
-    )
-    span = laps.groupBy("session_id").agg(F.min("seq").alias("_first"))
-    return (
-        laps.join(assets, ["session_id", "asset"]).join(span, "session_id")
-        .withColumn("batch", (F.col("_ab") * 1000000 + F.floor((F.col("seq") - F.col("_first")) / max_steps)).cast("long"))
-        .drop("_ab", "_first")
-    )
-
-
-_INPUT = ("session_id", "batch", "variant", "seq", "asset", "run_id", "event_id", "mode", "age", "elapsed", "perf", "interference")
+_INPUT = ("session_id", "variant", "seq", "asset", "run_id", "event_id", "mode", "age", "elapsed", "perf", "interference")
 
 
 def variants_column(variants=None):
@@ -319,19 +333,19 @@ def _settings(pdf):
             Priors(**{f.name: float(first[f.name]) for f in fields(Priors)}))
 
 
-def fit_sessions(laps: DataFrame, variants=None, hyper: DataFrame | None = None, max_assets=25, max_steps=2000) -> DataFrame:
+def fit_sessions(laps: DataFrame, variants=None, hyper: DataFrame | None = None) -> DataFrame:
     """Fit every session under every variant; one long table of lap, coefficient, mode and fit rows.
 
-    ``hyper`` optionally replaces the hyper-parameters per (session_id, batch),
-    as ``tune`` returns them. A group that cannot be fitted becomes one row with
+    ``hyper`` optionally replaces the hyper-parameters per session, as ``tune``
+    returns them. A group that cannot be fitted becomes one row with
     ``error`` set.
     """
     if "interference" not in laps.columns:
         laps = laps.withColumn("interference", F.lit(0.0))
-    rows = batched(laps, max_assets, max_steps).withColumn("_v", F.explode(variants_column(variants))).select("*", "_v.*").drop("_v")
+    rows = laps.withColumn("_v", F.explode(variants_column(variants))).select("*", "_v.*").drop("_v")
     if hyper is not None:
-        tuned = hyper.select("session_id", "batch", *[F.col(n).alias(f"_{n}") for n in HYPER_NAMES])
-        rows = rows.join(tuned, ["session_id", "batch"], "left")
+        tuned = hyper.select("session_id", *[F.col(n).alias(f"_{n}") for n in HYPER_NAMES])
+        rows = rows.join(tuned, "session_id", "left")
         for n in HYPER_NAMES:
             rows = rows.withColumn(n, F.coalesce(f"_{n}", n)).drop(f"_{n}")
 
@@ -340,7 +354,7 @@ def fit_sessions(laps: DataFrame, variants=None, hyper: DataFrame | None = None,
             hyp, pri = _settings(pdf)
             out = _fit_rows(key, Layout(pdf), hyp, pri)
         except (np.linalg.LinAlgError, FloatingPointError, ValueError) as exc:
-            out = pd.DataFrame([{"session_id": key[0], "batch": key[1], "variant": key[2], "kind": "fit",
+            out = pd.DataFrame([{"session_id": key[0], "variant": key[1], "kind": "fit",
                                  "error": f"{type(exc).__name__}: {exc}"}])
         return out.reindex(columns=_COLUMNS)
 
@@ -375,10 +389,10 @@ def diagnostics(fit: DataFrame, n_params=len(HYPER_NAMES)) -> DataFrame:
     )
 
 
-_TUNED = "session_id long, batch long, loglik double, start_loglik double, evaluated int, " + ", ".join(f"{n} double" for n in HYPER_NAMES)
+_TUNED = "session_id long, loglik double, start_loglik double, evaluated int, " + ", ".join(f"{n} double" for n in HYPER_NAMES)
 
 
-def tune(laps: DataFrame, priors: Priors | None = None, rounds=3, step=1.5, max_assets=25, max_steps=2000) -> DataFrame:
+def tune(laps: DataFrame, priors: Priors | None = None, rounds=3, step=1.5) -> DataFrame:
     """Hyper-parameters per session that maximise the marginal likelihood inside fixed bounds.
 
     A coordinate search: every round tries one step up and down in each of the
@@ -388,7 +402,7 @@ def tune(laps: DataFrame, priors: Priors | None = None, rounds=3, step=1.5, max_
     priors = priors or Priors()
     if "interference" not in laps.columns:
         laps = laps.withColumn("interference", F.lit(0.0))
-    rows = batched(laps, max_assets, max_steps).withColumn("variant", F.lit("tune"))
+    rows = laps.withColumn("variant", F.lit("tune"))
 
     def search(key, pdf):
         lay = Layout(pdf)
@@ -415,16 +429,16 @@ def tune(laps: DataFrame, priors: Priors | None = None, rounds=3, step=1.5, max_
                         best, top = trial, value
                         break
             width /= 2
-        return pd.DataFrame([{"session_id": key[0], "batch": key[1], "loglik": top, "start_loglik": start, "evaluated": tried,
+        return pd.DataFrame([{"session_id": key[0], "loglik": top, "start_loglik": start, "evaluated": tried,
                               **dict(zip(HYPER_NAMES, best))}])
 
-    return spread(rows.select(*_INPUT), "session_id", "batch").groupBy("session_id", "batch").applyInPandas(search, _TUNED)
+    return spread(rows.select(*_INPUT), "session_id").groupBy("session_id").applyInPandas(search, _TUNED)
 
 
 _PREDICTED = ("session_id long, fold int, seq long, asset long, event_id long, actual double, mean double, sd double, model string, failed string")
 
 
-def forecast_rung(laps: DataFrame, folds: DataFrame, hyper: Hyper | None = None, max_assets=25) -> DataFrame:
+def forecast_rung(laps: DataFrame, folds: DataFrame, hyper: Hyper | None = None) -> DataFrame:
     """Forecasts of held-out laps: the last smoothed state, the level carried forward over the age gained.
 
     An asset the training laps never saw gets their median and spread.
@@ -434,8 +448,8 @@ def forecast_rung(laps: DataFrame, folds: DataFrame, hyper: Hyper | None = None,
     hyper = hyper or Hyper()
     if "interference" not in laps.columns:
         laps = laps.withColumn("interference", F.lit(0.0))
-    train, test = in_folds(batched(laps, max_assets, 1 << 30), folds)
-    cols = ["session_id", "fold", "batch", "seq", "asset", "run_id", "event_id", "mode", "age", "elapsed", "perf", "interference"]
+    train, test = in_folds(laps, folds)
+    cols = ["session_id", "fold", "seq", "asset", "run_id", "event_id", "mode", "age", "elapsed", "perf", "interference"]
     rows = train.select(*cols, F.lit(True).alias("is_train")).unionByName(test.select(*cols, F.lit(False).alias("is_train")))
 
     def predict(key, pdf):
@@ -446,7 +460,9 @@ def forecast_rung(laps: DataFrame, folds: DataFrame, hyper: Hyper | None = None,
         try:
             lay = Layout(seen)
             # at the last step the smoothed state is the filtered one
-            _, _, a, P, *_ = run_filter(lay, hyper, Priors())[3][-1]
+            end = {}
+            run_filter(lay, hyper, Priors(), keep=False, visit=lambda step, a, P: end.update(a=a, P=P))
+            a, P = end["a"], end["P"]
         except (np.linalg.LinAlgError, FloatingPointError, ValueError) as exc:
             return base.assign(mean=np.nan, sd=np.nan, failed=f"{type(exc).__name__}: {exc}")[[c.split()[0] for c in _PREDICTED.split(", ")]]
         oldest = seen.groupby(["asset", "run_id"])["age"].max().to_dict()
@@ -473,7 +489,7 @@ def forecast_rung(laps: DataFrame, folds: DataFrame, hyper: Hyper | None = None,
             sds.append(max(math.sqrt(var + noise), 1e-3))
         return base.assign(mean=means, sd=sds)[[c.split()[0] for c in _PREDICTED.split(", ")]]
 
-    return spread(rows, "session_id", "fold", "batch").groupBy("session_id", "fold", "batch").applyInPandas(predict, _PREDICTED)
+    return spread(rows, "session_id", "fold").groupBy("session_id", "fold").applyInPandas(predict, _PREDICTED)
 
 
 #: Prior variants of the sensitivity sweep; fixed values.
@@ -495,6 +511,6 @@ def prior_sweep(laps: DataFrame, variants=None) -> DataFrame:
     fit = stage(fit_sessions(laps, variants or PRIOR_VARIANTS))
     half = mode_rates(fit_sessions(half_field(laps))).withColumn("variant", F.lit("half field"))
     live = fit.where("kind = 'live' AND variant = 'baseline'").select(
-        "session_id", "batch", F.lit("live at 75%").alias("variant"), "mode", F.col("coef").alias("rate"), F.col("coef_sd").alias("rate_sd")
+        "session_id", F.lit("live at 75%").alias("variant"), "mode", F.col("coef").alias("rate"), F.col("coef_sd").alias("rate_sd")
     )
     return mode_rates(fit).unionByName(half).unionByName(live)
