@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,18 +12,16 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_OWN: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests, a laptop) a fresh local one for this application."""
+    """The folder in spark.checkpoint.dir; only on one machine where that is unset (tests) a local one of this application."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="run-")
-    return _OWN[app]
+    master = spark.sparkContext.master
+    if not named and master.startswith("local") and not master.startswith("local-cluster"):
+        named = f"/tmp/wearframe/{spark.sparkContext.applicationId}"
+    if not named:
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    return named.rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
