@@ -224,33 +224,56 @@ def test_partition_count_does_not_matter(spark, data):
     assert run(1) == run(50)
 
 
-def test_draws_are_uniform_and_independent(spark):
+_CASE = ("case_id long, mode string, age double, rate double, rate_sd double, base_pace double, cliff_age double, now long, "
+         "total long, base double, stop_loss double, gap_ahead double, new_rate double, new_rate_sd double, new_base_pace double, new_cliff_age double")
+
+
+def test_closed_form_equals_simulation(spark):
     from wearframe.operators import decide as de
 
-    df = spark.range(400).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumn(
-        "h", F.expr(de.mix(f"(({de.mix('id', 11)} + draw * 104729) % 2147483647)", 12)))
-    got = df.select(*[de.uniform("h", k).alias(f"u{k}") for k in range(4)], de.normal("h", 0).alias("z"), de.normal("h", 2).alias("w")).toPandas()
-    assert np.allclose(got[["u0", "u1", "u2", "u3"]].mean(), 0.5, atol=0.01) and np.allclose(got[["u0", "u1", "u2", "u3"]].var(), 1 / 12, atol=0.003)
-    corr = got[["u0", "u1", "u2", "u3"]].corr().to_numpy() - np.eye(4)
-    assert np.abs(corr).max() < 0.02 and abs(got["z"].corr(got["w"])) < 0.02
-    assert abs(got["z"].std() - 1) < 0.02 and abs((got["z"] ** 4).mean() - 3) < 0.3
-    hist = np.histogram2d(got["u0"], got["u1"], bins=10)[0]
-    assert ((hist - 400) ** 2 / 400).sum() < 160
+    rows = [(1, "M", 18.0, 0.113, 0.023, 0.0, 22.0, 30, 53, 84.0, 21.0, 0.9, 0.074, 0.018, 0.45, 12.0), (2, "S", 30.0, 0.2, 0.05, 0.1, 20.0, 0, 25, 84.0, 21.0, 3.0, 0.05, 0.02, 0.3, 30.0)]
+    cases = spark.createDataFrame(rows, _CASE)
+    got = de.outcomes(cases, de.default_options(cases), event_rate=0.05)
+    best = {r.case_id: r for r in de.recommend(cases, got, event_rate=0.05).collect()}
+    table = {(r.case_id, r.option): r for r in got.collect()}
+    rng = np.random.default_rng(0)
+    n = 40_000
+    for case in cases.collect():
+        steps = case.total - case.now
+        r0, r1 = rng.normal(case.rate, case.rate_sd, n), rng.normal(case.new_rate, case.new_rate_sd, n)
+        event, noise = rng.random((n, steps)) < 0.05, rng.normal(0, de.NOISE_SD, (n, steps))
+        totals = {}
+        for (c, option), row in table.items():
+            if c != case.case_id:
+                continue
+            total = np.zeros(n)
+            for k in range(1, steps + 1):
+                lap = case.now + k
+                stopped = row.stop_at is not None and lap >= row.stop_at
+                age = lap - row.stop_at + 1 if stopped else case.age + k
+                cliff, pace, rate = (case.new_cliff_age, case.new_base_pace, r1) if stopped else (case.cliff_age, case.base_pace, r0)
+                cost = case.base + pace + rate * age + de.CLIFF_SEVERITY * max(age - cliff, 0) ** 2 + noise[:, k - 1]
+                cost = cost + (de.TRAFFIC_LOSS if case.gap_ahead < de.TRAFFIC_GAP and not stopped else 0)
+                total += cost * np.where(event[:, k - 1], de.EVENT_SLOWDOWN, 1)
+                if row.stop_at == lap:
+                    total += case.stop_loss * np.where(event[:, k - 1], de.EVENT_DISCOUNT, 1)
+            totals[option] = total
+            assert row.expected == pytest.approx(total.mean(), abs=6 * total.std() / np.sqrt(n))
+            assert row.sd == pytest.approx(total.std(), rel=0.02)
+        b = best[case.case_id]
+        assert b.win_probability == pytest.approx((totals[b.recommended] < totals[b.runner_up]).mean(), abs=0.08)
 
 
 def test_stop_cost_is_paid_and_regret_is_not_negative(spark):
     from wearframe.operators import decide as de
 
-    case = [(1, "M", 18.0, 0.113, 0.023, 0.0, 22.0, 30, 53, 84.0, 21.0, 3.0, 0.074, 0.018, 0.45, 32.0)]
-    cases = spark.createDataFrame(case, "case_id long, mode string, age double, rate double, rate_sd double, base_pace double, cliff_age double, now long, "
-                                        "total long, base double, stop_loss double, gap_ahead double, new_rate double, new_rate_sd double, new_base_pace double, new_cliff_age double")
+    case = [(1, "M", 18.0, 0.113, 0.023, 0.0, 22.0, 30, 53, 84.0, 21.0, 3.0, 0.074, 0.018, 0.45, 32.0), (2, "M", 9.0, 0.1, 0.02, 0.0, 22.0, 5, 9, 84.0, 21.0, 3.0, None, None, None, None)]
+    cases = spark.createDataFrame(case, _CASE)
     opts = de.default_options(cases)
-    base = {r.option: r.expected for r in de.outcomes(de.evaluate_options(cases, opts, 400)).collect()}
-    dear = {r.option: r.expected for r in de.outcomes(de.evaluate_options(cases.withColumn("stop_loss", F.lit(41.0)), opts, 400)).collect()}
-    assert dear["Stay out"] == pytest.approx(base["Stay out"])
-    assert dear["Box now"] == pytest.approx(base["Box now"] + 20, abs=0.5)
-    again = {r.option: r.expected for r in de.outcomes(de.evaluate_options(cases, opts, 400)).collect()}
-    assert again == pytest.approx(base)
-    table = de.outcomes(de.evaluate_options(cases, opts, 400))
+    cost = lambda c: {(r.case_id, r.option): r.expected for r in de.outcomes(c, opts).collect()}
+    base, dear = cost(cases), cost(cases.withColumn("stop_loss", F.lit(41.0)))
+    assert dear[1, "Stay out"] == pytest.approx(base[1, "Stay out"])
+    assert dear[1, "Box now"] == pytest.approx(base[1, "Box now"] + 20 * de.moments()["stop"])
+    assert [k for k in base if k[0] == 2] == [(2, "Stay out")]  # no other mode to go to
     ch = spark.createDataFrame([(1, "Box now", "Stay out"), (1, "Stay out", "Box now")], "case_id long, recommended string, actual string")
-    assert all(r.regret >= 0 for r in de.regret(table, ch).collect())
+    assert all(r.regret >= 0 for r in de.regret(de.outcomes(cases, opts), ch).collect())

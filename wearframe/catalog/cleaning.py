@@ -121,7 +121,7 @@ def session_conditions(spark, d):
 
 
 def dry_laps(spark, d):
-    described = clean.conditions(_weather(spark, d), _raw_wet(spark, d), wet_limit=0.30).where("session_id < 12")
+    described = clean.conditions(_weather(spark, d), _raw_wet(spark, d), wet_limit=0.30)
     laps = ad.event_rows(spark, d)
     return clean.dry_sessions(laps, described).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -132,12 +132,11 @@ def resolve_events(spark, d):
         (F.col("p_partkey") % 3).cast("int").alias("year"),
         F.when(F.col("p_size") == 7, F.lit(" Special One ")).otherwise(F.col("p_name")).alias("requested"),
     )
-    events = part.where("p_partkey < 24").select(
+    events = part.select(
         (F.col("p_partkey") % 3).cast("int").alias("year"),
         F.concat_ws(" ", "p_name", "p_brand").alias("event"), F.col("p_type").alias("location"), F.lit("").alias("country"),
     )
-    aliases = part.where("p_partkey = 3").select(
-        F.lit("special one").alias("alias"), F.concat_ws(" ", "p_name", "p_brand").alias("event"))
+    aliases = part.where("p_size = 7").agg(F.min(F.concat_ws(" ", "p_name", "p_brand")).alias("event")).select(F.lit("special one").alias("alias"), "event")
     return clean.resolve_events(requests, events, aliases)
 
 
@@ -186,15 +185,17 @@ SELECT session_id, round(track_temp, 6) AS track_temp, round(track_temp_min, 6)
        round(wind_speed, 6) AS wind_speed, rainfall, wet_laps, total_laps, round(wet_laps / total_laps, 6) AS wet_fraction,
        rainfall AND wet_laps / total_laps < 0.30 AS rain_advisory, wet_laps / total_laps < 0.30 AS is_dry FROM sky"""),
     "dry_laps": sql(WEATHER, """
-SELECT session_id, total_laps AS n FROM sky WHERE session_id >= 12 OR wet_laps / total_laps < 0.30"""),
+SELECT session_id, total_laps AS n FROM sky WHERE wet_laps / total_laps < 0.30"""),
     "resolve_events": """
-WITH cal AS (SELECT CAST(p_partkey % 3 AS INTEGER) AS year, p_name || ' ' || p_brand AS event, p_type AS location FROM part WHERE p_partkey < 24),
+WITH cal AS (SELECT CAST(p_partkey % 3 AS INTEGER) AS year, p_name || ' ' || p_brand AS event, p_type AS location FROM part),
 asked AS (SELECT DISTINCT CAST(p_partkey % 3 AS INTEGER) AS year, CASE WHEN p_size = 7 THEN ' Special One ' ELSE p_name END AS requested FROM part),
-al AS (SELECT p_name || ' ' || p_brand AS event FROM part WHERE p_partkey = 3),
+al AS (SELECT min(p_name || ' ' || p_brand) AS event FROM part WHERE p_size = 7),
 w AS (SELECT year, requested, unnest(string_split(replace(lower(trim(requested)), '-', ' '), ' ')) AS word FROM asked
       WHERE lower(trim(requested)) <> 'special one'),
-hit AS (SELECT w.year, w.requested, min(cal.event) AS event FROM w JOIN cal ON w.year = cal.year AND length(word) > 3
+uw AS (SELECT DISTINCT year, word FROM w WHERE length(word) > 3),
+hw AS (SELECT uw.year, word, min(cal.event) AS event FROM uw JOIN cal ON uw.year = cal.year
          AND contains(lower(cal.event || ' ' || cal.location || ' '), word) GROUP BY ALL),
+hit AS (SELECT w.year, w.requested, min(hw.event) AS event FROM w JOIN hw USING (year, word) GROUP BY ALL),
 ali AS (SELECT asked.year, requested, al.event FROM asked, al
         WHERE lower(trim(requested)) = 'special one' AND EXISTS (SELECT 1 FROM cal WHERE cal.year = asked.year AND cal.event = al.event))
 SELECT year, requested, coalesce(ali.event, hit.event) AS event,

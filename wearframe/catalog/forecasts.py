@@ -80,7 +80,7 @@ def ridge_rates(spark, d):
 
 def boosted_forecast(spark, d):
     laps, folds = laps_and_folds(spark, d, interference=True)
-    return rounded_all(fo.boosted_rung(laps, folds, fold=3, trees=8, depth=3))
+    return rounded_all(fo.boosted_rung(laps, folds))
 
 
 def rate_recovery(spark, d):

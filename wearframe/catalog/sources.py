@@ -127,7 +127,7 @@ def with_conditions(spark, d):
     est = laps.groupBy(F.col("week").alias("year"), F.col("session_id").alias("round"), "mode").agg(F.avg("perf").alias("rate"))
     cond = laps.groupBy(F.col("week").alias("year"), F.col("session_id").alias("round")).agg(
         F.max("perf").alias("track_temp"), (F.count(F.lit(1)) > 140).alias("is_dry")).withColumn("session", F.lit("R"))
-    both = cond.unionByName(cond.withColumn("session", F.lit("FP2"))).where("round < 10")
+    both = cond.unionByName(cond.withColumn("session", F.lit("FP2"))).where("track_temp > 51")
     return rounded_all(src.with_conditions(est, both))
 
 
@@ -138,16 +138,16 @@ def not_stored(spark, d):
 
 def lookup_circuit(spark, d):
     part = ad.table(spark, d, "part")
-    circuits = part.where("p_partkey < 8").select(F.concat(F.lit("C"), "p_name", F.col("p_partkey").cast("string")).alias("circuit"), F.col("p_retailprice").alias("left_share"))
-    names = part.where("p_partkey < 16").select(F.upper(F.concat(F.lit("c"), "p_name", F.col("p_partkey").cast("string"))).alias("circuit"))
+    circuits = part.where("p_size > 25").select(F.concat(F.lit("C"), "p_name", F.col("p_partkey").cast("string")).alias("circuit"), F.col("p_retailprice").alias("left_share"))
+    names = part.select(F.upper(F.concat(F.lit("c"), "p_name", F.col("p_partkey").cast("string"))).alias("circuit"))
     out = src.lookup_circuit(names, circuits)
-    return out.select("circuit", "measured", "measured_circuit", r6("left_share"), F.concat_ws(";", "available").alias("available"))
+    return out.select("circuit", "measured", "measured_circuit", r6("left_share"), "n_available")
 
 
 def match_events(spark, d):
     part = ad.table(spark, d, "part")
     asked = part.select((F.col("p_size") % 5).alias("year"), F.upper(F.element_at(F.split("p_name", " "), 2)).alias("asked")).distinct()
-    recorded = part.where("p_partkey < 40").select((F.col("p_size") % 5).alias("year"), F.col("p_name").alias("recorded")).distinct()
+    recorded = part.select((F.col("p_size") % 5).alias("year"), F.col("p_name").alias("recorded")).distinct()
     return src.match_events(asked, recorded)
 
 
@@ -200,19 +200,19 @@ SELECT year, event_name FROM manifest WHERE round_number <> 2 GROUP BY ALL HAVIN
     "with_conditions": sql(LAPS + """,
 c AS (SELECT week, session_id, max(perf) AS track_temp, count(*) > 140 AS is_dry FROM laps GROUP BY ALL)""", """
 SELECT l.week AS year, l.session_id AS round, mode, round(avg(perf), 6) AS rate,
-       round(any_value(CASE WHEN l.session_id < 10 THEN track_temp END), 6) AS track_temp,
-       any_value(CASE WHEN l.session_id < 10 THEN is_dry END) AS is_dry
+       round(any_value(CASE WHEN track_temp > 51 THEN track_temp END), 6) AS track_temp,
+       any_value(CASE WHEN track_temp > 51 THEN is_dry END) AS is_dry
 FROM laps l JOIN c USING (week, session_id) GROUP BY l.week, l.session_id, mode"""),
     "not_stored": sql(MANIFEST, "SELECT session_id, n_laps FROM manifest WHERE session <> 'FP2'"),
     "lookup_circuit": """
-WITH c AS (SELECT 'C' || p_name || p_partkey AS circuit, p_retailprice AS left_share FROM part WHERE p_partkey < 8),
-n AS (SELECT upper('c' || p_name || p_partkey) AS circuit FROM part WHERE p_partkey < 16)
+WITH c AS (SELECT 'C' || p_name || p_partkey AS circuit, p_retailprice AS left_share FROM part WHERE p_size > 25),
+n AS (SELECT upper('c' || p_name || p_partkey) AS circuit FROM part)
 SELECT n.circuit, c.circuit IS NOT NULL AS measured, c.circuit AS measured_circuit, round(left_share, 6) AS left_share,
-       CASE WHEN c.circuit IS NULL THEN (SELECT string_agg(circuit, ';' ORDER BY circuit) FROM c) ELSE '' END AS available
+       (SELECT count(DISTINCT circuit) FROM c) AS n_available
 FROM n LEFT JOIN c ON lower(n.circuit) = lower(c.circuit)""",
     "match_events": """
 WITH a AS (SELECT DISTINCT p_size % 5 AS year, upper(string_split(p_name, ' ')[2]) AS asked FROM part),
-r AS (SELECT DISTINCT p_size % 5 AS year, p_name AS recorded FROM part WHERE p_partkey < 40)
+r AS (SELECT DISTINCT p_size % 5 AS year, p_name AS recorded FROM part)
 SELECT year, asked, recorded FROM a JOIN r USING (year)
 WHERE contains(lower(asked), lower(recorded)) OR contains(lower(recorded), lower(asked))""",
 }

@@ -134,11 +134,17 @@ def top_gaps(spark, d):
 
 
 def split_half(spark, d):
-    return rounded_all(st.split_half(deviations(spark, d), n=40))
+    return rounded_all(st.split_half(deviations(spark, d)))
+
+
+def split_half_pairs(spark, d):
+    """Reliability of the gaps between teammates."""
+    gaps = st.teammate_gaps(deviations(spark, d))
+    return rounded_all(st.split_half(gaps, key="pair", value="gap", min_shared=3))
 
 
 def split_half_summary(spark, d):
-    return rounded_all(st.reliability_summary(stage(st.split_half(deviations(spark, d), n=40))))
+    return rounded_all(st.reliability_summary(stage(st.split_half(deviations(spark, d)))))
 
 
 def loso_history(spark, d):
@@ -231,10 +237,10 @@ def consensus(spark, d):
 
 def applicability(spark, d):
     laps = stage(ad.laps_from_events(spark, d, interference=True))
-    asked = laps.where("event_id % 50 = 0").select(
-        "session_id", "event_id", F.when(F.col("event_id") % 200 == 0, "none").otherwise(F.col("mode")).alias("mode"),
+    asked = laps.select(
+        "session_id", "event_id", "mode",
         (F.col("age") * 2).alias("age"), (F.col("interference") * 1.2).alias("interference"))
-    out = st.applicability(laps.where("event_id % 3 = 0"), asked)
+    out = st.applicability(laps.where("week < 1"), asked)
     return rounded_all(out.select("event_id", "coverage", "laps_beyond", "age_score", "interference_score", "applicability", "risk",
                                   F.concat_ws("; ", "reasons").alias("reasons")))
 
@@ -246,15 +252,13 @@ def value_of_information(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     variance_decomposition, loo_mean, loeo_modes, loeo_modes_summary, signed_rank, paired_t, bias_screen, leave_one_circuit_out, loco_scores,
-    asset_deviations, teammate_gaps, top_gaps, split_half, split_half_summary, loso_history, history_summary, trait_summary,
+    asset_deviations, teammate_gaps, top_gaps, split_half, split_half_pairs, split_half_summary, loso_history, history_summary, trait_summary,
     compare_rates, validation_report, event_validation, transfer_overall, depth_summary, bias_table, consensus, applicability, value_of_information)}
 
 _T = lambda t, nu: f"(2 * {cdf_sql(f'(-((8 * {nu} + 1) / (8 * {nu} + 3)) * sqrt({nu} * ln(1 + {t} * {t} / {nu})))')})"
 SPLITS = DEV + """,
-ss AS (SELECT k AS split, session_id, row_number() OVER (PARTITION BY k ORDER BY md5(k || '-' || session_id), session_id) AS r,
-         count(*) OVER (PARTITION BY k) AS m FROM (SELECT DISTINCT session_id FROM dev), (SELECT unnest(range(0, 40)) AS k)),
-hv AS (SELECT split, asset, avg(deviation) FILTER (WHERE r <= m // 2) AS a, avg(deviation) FILTER (WHERE r > m // 2) AS b
-       FROM dev JOIN ss USING (session_id) GROUP BY ALL),
+ss AS (SELECT k AS split, session_id, substr(md5(k || '-' || session_id), 1, 1) < '8' AS l FROM (SELECT DISTINCT session_id FROM dev), (SELECT unnest(range(0, 500)) AS k)),
+hv AS (SELECT split, asset, avg(deviation) FILTER (WHERE l) AS a, avg(deviation) FILTER (WHERE NOT l) AS b FROM dev JOIN ss USING (session_id) GROUP BY ALL),
 sp AS (SELECT CAST(split AS INTEGER) AS split, count(*) AS n_shared, corr(a, b) AS r FROM hv WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL HAVING count(*) >= 8)
 """
 GAPS = DEV + """,
@@ -308,6 +312,10 @@ SELECT session_id, mode, asset, round(slope, 6) AS slope, group_size, round(devi
     "top_gaps": sql(GAPS, """
 SELECT pair, round(abs(avg(gap)), 6) AS size FROM gaps GROUP BY pair ORDER BY abs(avg(gap)) DESC, pair LIMIT 5"""),
     "split_half": sql(SPLITS, "SELECT split, n_shared, round(r, 6) AS r FROM sp"),
+    "split_half_pairs": sql(GAPS + """,
+ss AS (SELECT k AS split, session_id, substr(md5(k || '-' || session_id), 1, 1) < '8' AS l FROM (SELECT DISTINCT session_id FROM gaps), (SELECT unnest(range(0, 500)) AS k)),
+hv AS (SELECT split, pair, avg(gap) FILTER (WHERE l) AS a, avg(gap) FILTER (WHERE NOT l) AS b FROM gaps JOIN ss USING (session_id) GROUP BY ALL)""", """
+SELECT CAST(split AS INTEGER) AS split, count(*) AS n_shared, round(corr(a, b), 6) AS r FROM hv WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY split HAVING count(*) >= 3"""),
     "split_half_summary": sql(SPLITS, """
 SELECT count(*) AS n_splits, round(avg(r), 6) AS mean_r, round(quantile_cont(r, 0.05), 6) AS p05, round(quantile_cont(r, 0.95), 6) AS p95,
        quantile_cont(r, 0.05) > 0 AS is_stable FROM sp WHERE r IS NOT NULL AND NOT isnan(r)"""),
@@ -361,11 +369,10 @@ cs AS (SELECT session_id, mode, count(*) AS n_models, sum(rate / sd ** 2) / sum(
 SELECT session_id, mode, n_models, round(c, 6) AS consensus, round(cs, 6) AS consensus_sd, round(sp, 6) AS spread, highest, lowest,
        round(ag, 6) AS agreement, ag < 0.5 AS is_flagged FROM cs"""),
     "applicability": sql(LAPS + INTERFERENCE + """,
-ob AS (SELECT * FROM ilaps WHERE event_id % 3 = 0),
+ob AS (SELECT * FROM ilaps WHERE week < 1),
 pm AS (SELECT session_id, mode, count(*) AS n, count(DISTINCT run_id) AS runs, max(age) AS ma FROM ob GROUP BY ALL),
 ti AS (SELECT session_id, max(interference) AS mi FROM ob GROUP BY ALL),
-qs AS (SELECT session_id, event_id, CASE WHEN event_id % 200 = 0 THEN 'none' ELSE mode END AS mode, age * 2 AS age, interference * 1.2 AS i
-       FROM ilaps WHERE event_id % 50 = 0),
+qs AS (SELECT session_id, event_id, mode, age * 2 AS age, interference * 1.2 AS i FROM ilaps),
 sc AS (SELECT event_id, coalesce(n, 0) AS n, coalesce(runs, 0) AS runs, least(coalesce(n, 0) / 40, 1) * least(coalesce(runs, 0) / 3, 1) AS cov,
          greatest(age - coalesce(ma, 0), 0) AS over, CASE WHEN i <= mi + 0.05 THEN 1.0 ELSE 0.6 END AS tr
        FROM qs LEFT JOIN pm USING (session_id, mode) LEFT JOIN ti USING (session_id)),

@@ -74,8 +74,8 @@ def decision_text() -> Column:
         " ",
         F.format_string("The %s unit is %.0f laps old and costs about %.2f s a lap.", F.lower("mode"), "age", "loss_now"),
         soft, close,
-        F.format_string("It wins %.0f%% of %d draws.", 100 * F.col("win_probability"), "n_draws"),
-        F.when(F.col("past_cliff") > 0.25, F.format_string("In %.0f%% of them the unit passes its cliff.", 100 * F.col("past_cliff"))),
+        F.format_string("It wins with probability %.0f%%.", 100 * F.col("win_probability")),
+        F.when(F.col("past_cliff") > 0, F.lit("The unit passes its cliff on the way.")),
         F.when(F.col("gap_ahead") < 1.2, F.format_string("The car ahead is %.1f s away, so part of the loss is traffic.", "gap_ahead")),
     )
 

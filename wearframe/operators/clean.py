@@ -168,7 +168,8 @@ def resolve_events(requests: DataFrame, events: DataFrame, aliases: DataFrame) -
 
     requests(year, requested), events(year, event, location, country),
     aliases(alias, event). A request that matches nothing keeps a null event.
-    A calendar has a few dozen rows per season.
+    Words meet events through a run of four letters and are then looked for in
+    full, once per distinct word, so requests and events are never paired.
     """
     asked = requests.select("year", "requested").distinct().withColumn("_key", F.lower(F.trim("requested")))
     named = asked.join(
@@ -179,13 +180,14 @@ def resolve_events(requests: DataFrame, events: DataFrame, aliases: DataFrame) -
     ).select("year", "requested", F.col("_alias_event").alias("event"), F.lit("alias").alias("how"))
     words = F.filter(F.split(F.translate("_key", "-", " "), "\\s+"), lambda w: F.length(w) > 3)
     hay = F.lower(F.concat_ws(" ", "event", "location", "country"))
-    guarded = (
-        named.where("_alias_event IS NULL").withColumn("_words", words)
-        .join(events.withColumn("_hay", hay), "year")
-        .where(F.exists("_words", lambda w: F.instr(F.col("_hay"), w) > 0))
-        .groupBy("year", "requested").agg(F.min("event").alias("event"))
-        .withColumn("how", F.lit("words"))
-    )
+    each = named.where("_alias_event IS NULL").select("year", "requested", F.explode(words).alias("_word"))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_hay") - 3, F.lit(1))), lambda i: F.substring(F.col("_hay"), i, F.lit(4))))
+    spelled = events.select("year", "event", hay.alias("_hay")).select("year", "event", "_hay", F.explode(runs).alias("_run"))
+    found = (
+        each.select("year", "_word").distinct().withColumn("_run", F.substring("_word", 1, 4)).join(spelled, ["year", "_run"])
+        .where(F.instr(F.col("_hay"), F.col("_word")) > 0).groupBy("year", "_word").agg(F.min("event").alias("event"))
+    )
+    guarded = each.join(found, ["year", "_word"]).groupBy("year", "requested").agg(F.min("event").alias("event")).withColumn("how", F.lit("words"))
     return asked.select("year", "requested").join(
         direct.unionByName(guarded), ["year", "requested"], "left"
     ).withColumn("how", F.coalesce("how", F.lit("no match")))

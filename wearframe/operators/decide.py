@@ -1,12 +1,20 @@
-"""Stop-or-continue decisions over posterior draws.
-
-Draws are keyed by hashes of (case, draw, step), so every option of a case sees
-the same noise and events, whatever the partitioning.
+"""Stop-or-continue decisions in closed form.
+
+A step costs base + pace + rate * age + cliff loss (+ traffic) + noise, times the
+slowdown if an event falls on it; the two rates are normal, events are independent
+coin throws, a stop under an event is cheaper. Expected cost and variance of a
+plan are therefore sums over its steps: running sums of staying up to the stop,
+running sums of the next mode after it. A case has one row per remaining step
+and an option is two look-ups, so the work is steps + options and nothing is drawn.
+Quantiles and win probabilities take the cost of a whole plan as normal.
 """
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wearframe.functions import gaussian
+from wearframe.operators import slices
+
 # Fixed default values.
 STOP_LOSS = 21.0
 TRAFFIC_LOSS = 0.45
@@ -17,38 +25,11 @@ NOISE_SD = 0.25
 TRAFFIC_GAP = 1.2
 CLIFF_SEVERITY = 0.004
 
-_M = 2147483647
-
-
-def mix(x: str, salt: int) -> str:
-    """SQL that scrambles an integer expression in [0, 2^31 - 1) into another one.
-
-    An affine step that differs by salt, then two quadratic ones; every product
-    stays below 2^48, so any engine's 64-bit integers give the same numbers.
-    """
-    a = (48271 * (2 * salt + 1) ** 3 + 69621) % 99991 + 10007
-    b = (7919 * (salt + 3) ** 4 + 12345) % _M
-    y = f"((({x}) * {a} + {b}) % {_M})"
-    for _ in range(2):
-        y = f"(({y} * ({y} % 65521 + 48271) + {salt + 1}) % {_M})"
-    return y
-
-
-def uniform(h: str, k: int):
-    """The k-th uniform in (0, 1) of a seed column."""
-    return F.expr(f"(({mix(h, k + 1)} + 0.5D) / {_M}D)")
-
 
-def normal(h: str, k: int):
-    """Standard normal from uniforms k and k + 1 of a seed."""
-    return F.sqrt(-2 * F.log(uniform(h, k))) * F.cos(2 * F.pi() * uniform(h, k + 1))
-
-
-def _seed(cases: DataFrame):
-    """Integer in [0, 2^31 - 1) standing for a case."""
-    if dict(cases.dtypes)["case_id"] in ("bigint", "int", "smallint"):
-        return F.pmod(F.col("case_id").cast("long"), F.lit(_M))
-    return F.pmod(F.xxhash64("case_id"), F.lit(_M))
+def moments(event_rate=EVENT_RATE):
+    """Mean, variance of a step's event factor; mean and variance of a stop's; and their covariance (stop loss 1)."""
+    up, down, spread = EVENT_SLOWDOWN - 1, 1 - EVENT_DISCOUNT, event_rate * (1 - event_rate)
+    return {"mean": 1 + up * event_rate, "var": up * up * spread, "stop": 1 - down * event_rate, "stop_var": down * down * spread, "cov": -up * down * spread}
 
 
 def default_options(cases: DataFrame, waits=(0, 2, 5, 8)) -> DataFrame:
@@ -70,68 +51,112 @@ def sweep_plan(cases: DataFrame) -> DataFrame:
     return cases.withColumn("_p", F.explode(F.concat(stay, stops))).select("case_id", "_p.option", "_p.stop_at")
 
 
-def evaluate_options(cases: DataFrame, options: DataFrame, n=5000, noise_sd=NOISE_SD, traffic=TRAFFIC_LOSS, event_rate=EVENT_RATE) -> DataFrame:
-    """Total cost of every option in every draw: (case_id, option, stop_at, draw, total, past_cliff).
+def _step(k, traffic=TRAFFIC_LOSS):
+    """Mean cost and age of the k-th step ahead on the current unit and of the k-th step of the next mode."""
+    age = F.col("age") + k
+    past = lambda a, limit: F.greatest(a - F.col(limit), F.lit(0.0))
+    slow = F.when(F.col("gap_ahead") < TRAFFIC_GAP, F.lit(float(traffic))).otherwise(0.0)
+    stay = F.col("base") + F.col("base_pace") + F.col("rate") * age + CLIFF_SEVERITY * F.pow(past(age, "cliff_age"), F.lit(2)) + slow
+    new = F.col("base") + F.col("new_base_pace") + F.col("new_rate") * k + CLIFF_SEVERITY * F.pow(past(k, "new_cliff_age"), F.lit(2))
+    return stay, age, new
+
+
+def running_costs(cases: DataFrame) -> DataFrame:
+    """Per case and number of steps k = 0..left: sums of mean costs, ages and expected squares, staying (``0``) and after a stop (``1``)."""
+    left = (F.col("total") - F.col("now")).cast("int")
+    rows = cases.withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(left, F.lit(0)))))
+    stay, age, new = _step(F.col("k").cast("double"))
+    some = lambda x: F.when(F.col("k") > 0, x).otherwise(0.0)
+    w = Window.partitionBy("case_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select(
+        "case_id", "k",
+        F.sum(some(stay)).over(w).alias("m0"), F.sum(some(age)).over(w).alias("a0"),
+        F.sum(some(stay * stay + F.pow("rate_sd", F.lit(2)) * age * age)).over(w).alias("q0"), F.max(some((age > F.col("cliff_age")).cast("double"))).over(w).alias("c0"),
+        F.sum(some(new)).over(w).alias("m1"), F.sum(some(F.col("k").cast("double"))).over(w).alias("a1"),
+        F.sum(some(new * new + F.pow("new_rate_sd", F.lit(2)) * F.col("k") * F.col("k"))).over(w).alias("q1"),
+        F.max(some((F.col("k") > F.col("new_cliff_age")).cast("double"))).over(w).alias("c1"),
+    )
+
+
+def outcomes(cases: DataFrame, options: DataFrame, noise_sd=NOISE_SD, event_rate=EVENT_RATE) -> DataFrame:
+    """Expected cost, spread, 10/90% points and passing of the cliff per option, ranked.
 
     cases: case_id, now, total, age, base, stop_loss, gap_ahead and, for the
     current and the next mode, rate, rate_sd, base_pace, cliff_age (prefixed
-    ``new_``). Each (draw, step) is made once per case and shared by the
-    case's options; a draw's steps are summed before anything is shuffled.
+    ``new_``). options: case_id, option, stop_at (null: never). A stop without a next mode is no option.
     """
-    steps = F.when(F.col("total") > F.col("now"), F.sequence(F.lit(1), (F.col("total") - F.col("now")).cast("int")))
-    plans = options.groupBy("case_id").agg(F.collect_list(F.struct("option", "stop_at")).alias("_options"))
-    draws = cases.withColumn("_s", _seed(cases)).join(plans, "case_id").withColumn("_steps", steps).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    draws = draws.withColumn("_hd", F.expr(mix(f"(({mix('_s', 11)} + draw * 104729) % {_M})", 12)))
-    draws = draws.withColumn("_r0", F.col("rate") + F.col("rate_sd") * normal("_hd", 0)).withColumn(
-        "_r1", F.col("new_rate") + F.col("new_rate_sd") * normal("_hd", 2)
+    e = moments(event_rate)
+    sums = running_costs(cases)
+    left = (F.col("total") - F.col("now")).cast("int")
+    stays = F.col("stop_at").isNull()
+    facts = cases.select("case_id", "now", "total", "rate_sd", "new_rate_sd", "stop_loss", (F.col("new_rate").isNotNull() & F.col("new_base_pace").isNotNull()).alias("_next"))
+    plan = options.join(facts, "case_id").where(stays | F.col("_next")).withColumn("_left", F.greatest(left, F.lit(0))).withColumn(
+        "_on", F.when(stays, F.col("_left")).otherwise((F.col("stop_at") - F.col("now") - 1).cast("int"))
+    ).withColumn("_off", F.col("_left") - F.col("_on"))
+    before = sums.select("case_id", F.col("k").alias("_on"), "m0", "a0", "q0", "c0")
+    after = sums.select("case_id", F.col("k").alias("_off"), "m1", "a1", "q1", "c1")
+    first = sums.where("k = 1").select("case_id", F.col("m1").alias("_first"))
+    j = plan.join(before, ["case_id", "_on"]).join(after, ["case_id", "_off"]).join(first, "case_id", "left")
+    if_stop = lambda x: F.when(stays, 0.0).otherwise(x)
+    none = lambda c: F.when(F.col("_off") == 0, 0.0).otherwise(F.col(c))
+    expected = e["mean"] * (F.col("m0") + none("m1")) + if_stop(e["stop"] * F.col("stop_loss"))
+    variance = (
+        e["mean"] ** 2 * (F.pow(F.col("rate_sd") * F.col("a0"), F.lit(2)) + F.coalesce(F.pow(F.col("new_rate_sd") * none("a1"), F.lit(2)), F.lit(0.0)))
+        + e["var"] * (F.col("q0") + none("q1")) + (e["mean"] ** 2 + e["var"]) * noise_sd**2 * F.col("_left")
+        + if_stop(e["stop_var"] * F.pow("stop_loss", F.lit(2)) + 2 * e["cov"] * F.col("stop_loss") * F.col("_first"))
     )
-    rows = draws.withColumn("_k", F.explode("_steps")).withColumn("_h", F.expr(mix(f"((_hd + _k * 15485863) % {_M})", 13)))
-    rows = rows.withColumn("_event", uniform("_h", 0) < event_rate).withColumn("_noise", F.lit(noise_sd) * normal("_h", 1))
-    rows = rows.withColumn("_o", F.explode("_options")).drop("_options", "_steps", "_h", "_hd", "_s")
-    lap = F.col("now") + F.col("_k")
-    stopped = F.coalesce(lap >= F.col("_o.stop_at"), F.lit(False))
-    age = F.when(stopped, (lap - F.col("_o.stop_at") + 1).cast("double")).otherwise(F.col("age") + F.col("_k"))
-    pick = lambda now, new: F.when(stopped, F.col(new)).otherwise(F.col(now))
-    cliff = pick("cliff_age", "new_cliff_age")
-    past = F.greatest(age - cliff, F.lit(0.0))
-    loss = pick("_r0", "_r1") * age + F.lit(CLIFF_SEVERITY) * past * past
-    in_traffic = (F.col("gap_ahead") < TRAFFIC_GAP) & ~stopped
-    cost = F.col("base") + pick("base_pace", "new_base_pace") + loss + F.when(in_traffic, F.lit(traffic)).otherwise(0.0) + F.col("_noise")
-    cost = F.when(F.col("_event"), cost * EVENT_SLOWDOWN).otherwise(cost)
-    stop = F.when(
-        F.coalesce(lap == F.col("_o.stop_at"), F.lit(False)),
-        F.col("stop_loss") * F.when(F.col("_event"), F.lit(EVENT_DISCOUNT)).otherwise(1.0),
-    ).otherwise(0.0)
-    return rows.select(
-        "case_id", "_o.option", "_o.stop_at", "draw", (cost + stop).alias("_c"), (age > cliff).alias("_past")
-    ).groupBy("case_id", "option", "stop_at", "draw").agg(F.sum("_c").alias("total"), F.bool_or("_past").alias("past_cliff"))
+    z = gaussian.ppf(0.9)
+    table = j.select("case_id", "option", "stop_at", expected.alias("expected"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("sd"),
+                     F.greatest("c0", none("c1")).alias("past_cliff"))
+    table = table.withColumn("p10", F.col("expected") - z * F.col("sd")).withColumn("p90", F.col("expected") + z * F.col("sd"))
+    return table.withColumn("position", F.row_number().over(Window.partitionBy("case_id").orderBy("expected", "option")))
 
 
-def outcomes(totals: DataFrame) -> DataFrame:
-    """Expected cost, spread and 10/90% points per option, ranked. One group holds the n draws asked for."""
-    table = totals.groupBy("case_id", "option", "stop_at").agg(
-        F.count(F.lit(1)).alias("n_draws"), F.avg("total").alias("expected"), F.stddev_pop("total").alias("sd"),
-        F.percentile("total", F.lit(0.1)).alias("p10"), F.percentile("total", F.lit(0.9)).alias("p90"),
-        F.avg(F.col("past_cliff").cast("double")).alias("past_cliff"),
-    )
-    by_cost = Window.partitionBy("case_id").orderBy("expected", "option")
-    return table.withColumn("position", F.row_number().over(by_cost))
-
+def recommend(cases: DataFrame, table: DataFrame, event_rate=EVENT_RATE) -> DataFrame:
+    """Best option per case, its margin over the runner-up, and how likely it wins under the same rates, noise and events.
 
-def recommend(totals: DataFrame, table: DataFrame, cases: DataFrame) -> DataFrame:
-    """Best option per case, its margin over the runner-up and how often it wins in paired draws."""
-    ranked = totals.join(table.where("position <= 2").select("case_id", "option", "position"), ["case_id", "option"])
+    The noise of both is the same and cancels; steps on which both do the same cost the same.
+    """
+    e = moments(event_rate)
     at = lambda c, k: F.max(F.when(F.col("position") == k, F.col(c)))
-    paired = ranked.groupBy("case_id", "draw").agg(at("total", 1).alias("a"), at("total", 2).alias("b"))
-    wins = paired.groupBy("case_id").agg(F.avg(F.when(F.col("b").isNull(), 1.0).otherwise((F.col("a") < F.col("b")).cast("double"))).alias("win_probability"))
-    heads = table.groupBy("case_id").agg(
+    heads = table.where("position <= 2").groupBy("case_id").agg(
         at("option", 1).alias("recommended"), F.coalesce(at("option", 2), at("option", 1)).alias("runner_up"),
         (F.coalesce(at("expected", 2), at("expected", 1)) - at("expected", 1)).alias("margin"),
-        at("past_cliff", 1).alias("past_cliff"), F.max("n_draws").alias("n_draws"),
+        at("past_cliff", 1).alias("past_cliff"), at("stop_at", 1).alias("_s1"), at("stop_at", 2).alias("_s2"), F.count(F.lit(1)).alias("_n"),
+    )
+    j = heads.join(cases, "case_id")
+    steps = F.sequence(F.lit(1), F.greatest((F.col("total") - F.col("now")).cast("int"), F.lit(1)))
+
+    def on(k, stop):
+        """(stopped, step of the next mode) at step k of a plan."""
+        i = (F.col(stop) - F.col("now")).cast("int")
+        return F.coalesce(k >= i, F.lit(False)), (k - i + 1).cast("double")
+
+    def difference(k):
+        stay, age, _ = _step(k.cast("double"))
+        costs, ages, news = [], [], []
+        for stop in ("_s1", "_s2"):
+            stopped, n = on(k, stop)
+            costs.append(F.when(stopped, _step(n)[2]).otherwise(stay))
+            ages.append(F.when(stopped, 0.0).otherwise(age))
+            news.append(F.when(stopped, n).otherwise(0.0))
+        d, a0, a1 = costs[0] - costs[1], ages[0] - ages[1], news[0] - news[1]
+        square = d * d + F.pow(F.col("rate_sd") * a0, F.lit(2)) + F.coalesce(F.pow(F.col("new_rate_sd") * a1, F.lit(2)), F.lit(0.0))
+        # at a stop, the event factor of the difference and the stop's own go together
+        shared = sum((sign * F.when(F.coalesce(k == (F.col(stop) - F.col("now")).cast("int"), F.lit(False)), d).otherwise(0.0) for sign, stop in ((1, "_s1"), (-1, "_s2"))), F.lit(0.0))
+        return F.struct(a0.alias("a0"), a1.alias("a1"), square.alias("q"), shared.alias("s"))
+
+    total = lambda f: F.aggregate(F.transform(steps, difference), F.lit(0.0), lambda x, y: x + F.coalesce(y[f], F.lit(0.0)))
+    n_stops = F.col("_s1").isNotNull().cast("int") + F.col("_s2").isNotNull().cast("int")
+    variance = (
+        e["mean"] ** 2 * (F.pow(F.col("rate_sd") * total("a0"), F.lit(2)) + F.coalesce(F.pow(F.col("new_rate_sd") * total("a1"), F.lit(2)), F.lit(0.0)))
+        + e["var"] * total("q") + n_stops * e["stop_var"] * F.pow("stop_loss", F.lit(2)) + 2 * e["cov"] * F.col("stop_loss") * total("s")
     )
     loss = F.col("rate") * F.col("age") + F.lit(CLIFF_SEVERITY) * F.pow(F.greatest(F.col("age") - F.col("cliff_age"), F.lit(0.0)), F.lit(2))
-    facts = cases.select("case_id", "mode", "age", "rate", "rate_sd", "gap_ahead", loss.alias("loss_now"))
-    return heads.join(wins, "case_id").join(facts, "case_id")
+    out = j.withColumn("_sd", F.sqrt(F.greatest(variance, F.lit(0.0)))).withColumn("_z", F.when(F.col("_sd") > 0, F.col("margin") / F.col("_sd")).otherwise(40.0))
+    return out.withColumn("win_probability", F.when(F.col("_n") < 2, 1.0).otherwise(gaussian.cdf("_z"))).withColumn("loss_now", loss).select(
+        "case_id", "recommended", "runner_up", "margin", "past_cliff", "win_probability", "mode", "age", "rate", "rate_sd", "gap_ahead", "loss_now"
+    )
 
 
 def stop_window(table: DataFrame, within=1.0) -> DataFrame:
@@ -163,13 +188,16 @@ def regret(table: DataFrame, choices: DataFrame) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, by=("case_id", "option"), bins=28) -> DataFrame:
-    """Equal-width bins between each group's extremes: (by, bin, centre, n)."""
+    """Equal-width bins between each group's extremes, with the group's mean and 10/90% points: (by, bin, centre, n, mean, p10, p90)."""
     by = list(by)
     span = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     joined = df.join(span, by)
     lo = F.when(F.col("_hi") > F.col("_lo"), F.col("_lo")).otherwise(F.col("_lo") - 0.5)
     width = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0) / bins
     b = F.least(F.floor((F.col(value) - lo) / width), F.lit(bins - 1)).cast("int")
-    return joined.select(*by, b.alias("bin"), (lo + (b + 0.5) * width).alias("centre")).groupBy(*by, "bin").agg(
-        F.first("centre").alias("centre"), F.count(F.lit(1)).alias("n")
+    counted = joined.select(*by, b.alias("bin"), (lo + (b + 0.5) * width).alias("centre"), F.col(value).alias("_v")).groupBy(*by, "bin").agg(
+        F.first("centre").alias("centre"), F.count(F.lit(1)).alias("n"), F.sum("_v").alias("_sum")
     )
+    mean = counted.groupBy(*by).agg((F.sum("_sum") / F.sum("n")).alias("mean"))
+    points = slices.exact_percentiles(df, by, value, {"p10": 0.1, "p90": 0.9}).drop("n_values")
+    return counted.drop("_sum").join(mean, by).join(points, by)

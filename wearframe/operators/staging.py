@@ -5,21 +5,18 @@ slow to recompute after a lost executor. ``stage`` writes it once to the shared
 folder the cluster names in ``spark.checkpoint.dir`` and reads it back.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 
-_own_folder = {}
-
-
 def shared_folder(spark) -> str:
-    """The cluster's checkpoint folder; one of our own only where none is named, as in tests."""
+    """The folder named in ``spark.checkpoint.dir``, which all executors must share; on one machine without that setting, a folder of this application."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        folder = f"/tmp/wearframe/{spark.sparkContext.applicationId}"
     if not folder:
-        folder = _own_folder.setdefault("path", None) or tempfile.mkdtemp(prefix="wearframe-")
-        _own_folder["path"] = folder
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 

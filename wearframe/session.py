@@ -1,5 +1,8 @@
 """Spark session settings used by the benchmark and the tests."""
 
+import os
+
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
@@ -7,7 +10,8 @@ def build_session(app="wearframe", master=None, shuffle_partitions=None):
     """A session with adaptive execution, UTC time and Arrow transfer.
 
     On a cluster leave ``master`` and ``shuffle_partitions`` unset, so that
-    spark-submit and adaptive coalescing decide them.
+    spark-submit and adaptive coalescing decide them, and set ``spark.checkpoint.dir``
+    to a folder that all executors share.
     """
     builder = (
         SparkSession.builder.appName(app)
@@ -20,7 +24,10 @@ def build_session(app="wearframe", master=None, shuffle_partitions=None):
         .config("spark.ui.enabled", "false")
     )
     if master:
+        # one machine: its own folder serves all executors, unless the defaults or the environment name one
         builder = builder.master(master).config("spark.driver.memory", "12g")
+        if not SparkConf().get("spark.checkpoint.dir", None):
+            builder = builder.config("spark.checkpoint.dir", os.environ.get("WEARFRAME_CHECKPOINTS", "/tmp/wearframe-checkpoints"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()

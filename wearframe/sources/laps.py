@@ -268,23 +268,31 @@ def read_results(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def lookup_circuit(names: DataFrame, circuits: DataFrame) -> DataFrame:
-    """Case-insensitive circuit lookup; an unmeasured name gets the list of available ones."""
-    available = circuits.agg(F.array_sort(F.collect_set("circuit")).alias("_all"))
+    """Case-insensitive circuit lookup, with how many circuits there are; ``circuits`` itself lists what an unmeasured name could have been."""
+    available = circuits.agg(F.count_distinct("circuit"))
     keyed = circuits.withColumn("_key", F.lower("circuit")).withColumnRenamed("circuit", "measured_circuit")
-    out = names.withColumn("_key", F.lower("circuit")).join(keyed, "_key", "left").withColumn("_all", available.scalar())
-    measured = F.col("measured_circuit").isNotNull()
-    return out.withColumn("measured", measured).withColumn(
-        "available", F.when(~measured, F.col("_all"))
-    ).drop("_key", "_all")
+    out = names.withColumn("_key", F.lower("circuit")).join(keyed, "_key", "left").drop("_key")
+    return out.withColumn("measured", F.col("measured_circuit").isNotNull()).withColumn("n_available", available.scalar())
 
 
 def match_events(asked: DataFrame, recorded: DataFrame) -> DataFrame:
     """Asked names contained in a recorded name or the reverse, ignoring case.
 
-    ``recorded`` is a season's worth of event names per year.
+    The shorter name's first three letters (or all it has) must occur in the
+    longer one, so names meet by that key and are then compared in full.
     """
-    a, r = F.lower("asked"), F.lower("recorded")
-    return asked.join(recorded, "year").where(F.contains(a, r) | F.contains(r, a))
+    def held(df, name):
+        text = F.lower(name)
+        cut = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, F.lit(k)))
+        runs = [cut(k) for k in (1, 2, 3)]
+        return df.withColumn("_key", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *runs))))
+
+    def start(df, name):
+        return df.withColumn("_key", F.substring(F.lower(name), 1, 3))
+
+    inside = start(asked, "asked").join(held(recorded, "recorded"), ["year", "_key"]).where(F.contains(F.lower("recorded"), F.lower("asked")))
+    around = held(asked, "asked").join(start(recorded, "recorded"), ["year", "_key"]).where(F.contains(F.lower("asked"), F.lower("recorded")))
+    return inside.drop("_key").unionByName(around.drop("_key")).distinct()
 
 
 def paired_events(manifest: DataFrame, conditions: DataFrame, practice="FP2") -> DataFrame:
