@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-#: Documents whose pre-tokens are counted for the table, and the size of the table.
+#: Documents (about) whose pre-tokens are counted for the table, and the size of the table.
 SAMPLE_DOCS = 2000
 TABLE = 16_384
 #: Most pre-tokens a worker remembers, and the longest one it does.
@@ -26,9 +26,10 @@ PIECE = 1_000_000
 MARK = "▁"
 
 
-def frequent_pretokens(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, table: int = TABLE) -> list[str]:
-    """The most frequent pre-tokens of a bounded sample, taken by hash of the id."""
-    sample = docs.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t")).orderBy("h").limit(sample_docs)
+def frequent_pretokens(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS, table: int = TABLE) -> list[str]:
+    """The most frequent pre-tokens of a random sample of about `sample_docs` documents; they are counted where they lie."""
+    share = min(1.0, sample_docs / max(docs.count(), 1))
+    sample = docs.select(F.col(text_col).alias("t")).filter(F.rand(seed=7) < share)
     counted = sample.select(F.explode(F.split("t", " ")).alias("w")).filter(F.length("w").between(1, LONGEST)).groupBy("w").count()
     return [r.w for r in counted.orderBy(F.desc("count"), "w").limit(table).collect()]
 
@@ -98,7 +99,7 @@ class Counter:
         return total + (1 if tail == " " else len(self.processor.encode(tail[1:])) if tail else 0)
 
 
-def count_tokens(docs: DataFrame, model_file: str, *, text_col: str = "text", id_col: str = "doc_id", limit: int = 4096) -> DataFrame:
+def count_tokens(docs: DataFrame, model_file: str, *, text_col: str = "text", limit: int = 4096) -> DataFrame:
     """Adds `n_bytes` (UTF-8), `n_tokens` and `over_limit` (more than `limit` tokens); columns of these names are replaced.
 
     Null and empty texts have 0 bytes and 0 tokens. Repeated rows are counted each. An empty table gives an empty result. `model_file` must exist
@@ -106,7 +107,7 @@ def count_tokens(docs: DataFrame, model_file: str, *, text_col: str = "text", id
     """
     import sentencepiece
 
-    frequent = frequent_pretokens(docs, text_col, id_col)
+    frequent = frequent_pretokens(docs, text_col)
     lengths = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=model_file).encode(frequent, num_threads=1)] if frequent else []
     shared = docs.sparkSession.sparkContext.broadcast(dict(zip(frequent, lengths, strict=True)))
 
