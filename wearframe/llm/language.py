@@ -23,6 +23,7 @@ from wearframe.llm.common import aside, utf8_bytes
 
 #: Bound of the labelled sample: documents of each language, and the longest document (bytes) that is taken.
 FIT_DOCS = 150
+MOST_LANGUAGES = 500
 FIT_BYTES = 65_536
 #: Words of the spliced training sequences, their length, and the mean run of one language.
 FIT_WORDS = 200_000
@@ -294,15 +295,17 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, most: int = FIT_DOCS) -> list[tuple[str, bytes]]:
-    """At most `most` documents of each language, the first by hash of the id, for learning."""
+    """At most `most` documents of each language, the first by hash of the id, for learning; of rows that share an id and a language one is taken."""
     usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     usable = usable.filter(F.octet_length(text_col) <= FIT_BYTES)
-    counts = usable.groupBy(F.col(lang_col).alias("__lang")).agg(F.count(F.lit(1)).alias("__n"))
+    # the commonest languages are a small table of known size, so texts are thinned out where they lie
+    counts = usable.groupBy(F.col(lang_col).alias("__lang")).agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), "__lang").limit(MOST_LANGUAGES)
     draw = F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) / (1 << 20)
     rows = usable.select(F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"), F.xxhash64(id_col).alias("__h"), draw.alias("__draw"))
     # a draw with twice the wanted number comes before the exact cut, so no task orders a whole language
-    drawn = rows.join(counts, "__lang").filter(F.col("__draw") * F.col("__n") < 2.0 * most + 20)
-    cut = drawn.withColumn("__rank", F.row_number().over(Window.partitionBy("__lang").orderBy("__draw", "__h"))).filter(F.col("__rank") <= most)
+    drawn = rows.join(F.broadcast(counts), "__lang").filter(F.col("__draw") * F.col("__n") < 2.0 * most + 20)
+    single = drawn.groupBy("__lang", "__draw", "__h").agg(F.min("__text").alias("__text"))
+    cut = single.withColumn("__rank", F.row_number().over(Window.partitionBy("__lang").orderBy("__draw", "__h"))).filter(F.col("__rank") <= most)
     chosen = cut.select("__lang", F.lower("__text").cast("binary").alias("t"), "__h").collect()
     return [(r[0], bytes(r.t)) for r in sorted(chosen, key=lambda r: (r[0], r[2], bytes(r.t)))]
 
