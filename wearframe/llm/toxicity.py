@@ -102,7 +102,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text_col: str, id_col: s
     """(`label`, `fold`, `text`) of at most FIT_ROWS rows of each class that are not held out, by hash of the id; ids are a bounded broadcast."""
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"))
     usable = usable.groupBy("__id").agg(F.max("label").alias("label")).withColumn("__h", F.xxhash64("__id"))
-    picked = [usable.filter(F.col("label") == k).orderBy("__h", "__id").limit(FIT_ROWS) for k in (0, 1)]
+    counts = {r.label: r["count"] for r in usable.groupBy("label").count().collect()}
+    # a draw of about the wanted number comes before the exact cut, so that partitions do not each send FIT_ROWS rows to one task
+    wanted = FIT_ROWS + 6 * math.isqrt(FIT_ROWS)
+    draw = F.pmod("__h", F.lit(1 << 30)) / (1 << 30)
+    picked = [usable.filter((F.col("label") == k) & (draw * counts.get(k, 0) < wanted)).orderBy("__h", "__id").limit(FIT_ROWS) for k in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]).withColumn("fold", F.pmod("__h", F.lit(FOLDS)).cast("int")))
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.join(chosen, "__id").select("__id", "label", "fold", "text")
