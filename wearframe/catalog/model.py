@@ -238,6 +238,20 @@ SELECT {_k}, ref_seq, run_id, mode, age, round(delta, 6) AS delta, round(tyre, 6
   CASE greatest(abs(tyre), abs(load), abs(drift), abs(interference_s)) WHEN abs(tyre) THEN 'tyre' WHEN abs(load) THEN 'load' WHEN abs(drift) THEN 'drift' ELSE 'interference' END AS largest,
   round(CASE greatest(abs(tyre), abs(load), abs(drift), abs(interference_s)) WHEN abs(tyre) THEN tyre + 1.96 * tyre_sd WHEN abs(load) THEN load + 1.96 * load_sd
     WHEN abs(drift) THEN drift + 1.96 * drift_sd ELSE interference_s + 1.96 * interference_sd END, 6) AS largest_high FROM dc"""),
+    "decomposition_narration": sql(DEC + """,
+big AS (SELECT *, greatest(abs(tyre), abs(load), abs(drift), abs(interference_s)) AS top FROM dc)""", """
+SELECT session_id, asset, seq, printf('Lap %d of car %s on the %s unit', seq, asset::VARCHAR, lower(mode)) || CASE
+  WHEN delta < -0.05 AND tyre > 0.05 THEN printf(' gained %.2f s over lap %d although the unit lost %.2f s: conditions hid the wear.', (round(round(abs(delta), 9)::DECIMAL(18, 9), 2)::DOUBLE), ref_seq, (round(round(tyre, 9)::DECIMAL(18, 9), 2)::DOUBLE))
+  WHEN delta > 0.05 THEN printf(' lost %.2f s to lap %d; the unit explains %.0f%% (%.2f s), and the main cause is %s (%.2f s).', (round(round(delta, 9)::DECIMAL(18, 9), 2)::DOUBLE), ref_seq, (round(round(100 * tyre / delta, 9)::DECIMAL(18, 9), 0)::DOUBLE), (round(round(tyre, 9)::DECIMAL(18, 9), 2)::DOUBLE),
+    CASE top WHEN abs(tyre) THEN 'tyre degradation' WHEN abs(load) THEN 'fuel burn-off' WHEN abs(drift) THEN 'track evolution' ELSE 'traffic' END, (round(round(top, 9)::DECIMAL(18, 9), 2)::DOUBLE))
+  ELSE printf(' kept the pace of lap %d: unit %.2f s, conditions %.2f s.', ref_seq, (round(round(tyre, 9)::DECIMAL(18, 9), 2)::DOUBLE), (round(round(confounders, 9)::DECIMAL(18, 9), 2)::DOUBLE)) END AS text FROM big"""),
+    "projection_narration": sql(LIFE.format(h=21) + f""",
+lf AS (SELECT {_k}, run_id, mode, age, any_value(oldest) AS oldest,
+  coalesce(min(h) FILTER (WHERE (loss - 0.8) >= {gaussian.ppf(0.2)!r} * greatest(loss_sd, 1e-9)), 20) AS a,
+  coalesce(min(h) FILTER (WHERE (loss - 0.8) >= 0), 20) AS b,
+  coalesce(min(h) FILTER (WHERE (loss - 0.8) >= {gaussian.ppf(0.8)!r} * greatest(loss_sd, 1e-9)), 20) AS c FROM pj GROUP BY ALL)""", """
+SELECT session_id, asset, seq, printf('Car %s, %s unit, age %.0f: expected to pass %.1f s of loss after %.0f laps (likely %.0f to %.0f).', asset::VARCHAR, lower(mode), age::DOUBLE,
+  0.8::DOUBLE, b::DOUBLE, a::DOUBLE, c::DOUBLE) || CASE WHEN exp(-greatest(age + 20 - oldest, 0) / 5) < 0.5 THEN ' No unit seen here was ever that old.' ELSE '' END AS text FROM lf"""),
     "peel_away": sql(DEC, f"""
 SELECT {_k}, round(delta, 6) AS step_0, round(delta - load, 6) AS step_1, round(delta - load - drift, 6) AS step_2,
   round(delta - load - drift - interference_s, 6) AS step_3 FROM dc"""),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from wearframe.catalog.laps import LAPS
 from wearframe.catalog.shared import LINE, r6, rounded_all, sql
 from wearframe.catalog.statistics import _wx
+from wearframe.functions import gaussian
 from wearframe.operators import shapes as sh
 from wearframe.operators.staging import stage
 from wearframe.sources import adapters as ad
@@ -105,6 +106,15 @@ ORACLES = {
     "curve_shapes_lineitem": sql(
         LINE + ", src AS (SELECT session_id, asset, run_id, age AS x, perf / 1000 AS y FROM llaps)," + _FIT.format(k="s", key=KEY, src="src")
         + "," + _SHAPE.format(key=KEY), f"SELECT {KEY}, regime, n_laps, {_cols.replace('round(broken_bic, 6) AS broken_bic, ', '')} FROM shapes"),
+    "forecast_census": sql(SHAPES + FORE + f""",
+fj AS (SELECT fc.*, regime FROM fc JOIN shapes USING ({KEY})),
+wd AS (SELECT regime, round(stick_mae - linear_mae, 12) AS d FROM fj WHERE round(stick_mae - linear_mae, 12) <> 0),
+wr AS (SELECT regime, d, rank() OVER (PARTITION BY regime ORDER BY abs(d)) + (count(*) OVER (PARTITION BY regime, abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY regime, abs(d)) AS t FROM wd),
+ws AS (SELECT regime, CAST(count(*) AS DOUBLE) AS n, least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0)) AS s, sum(t * t - 1.0) AS ties FROM wr GROUP BY regime),
+wz AS (SELECT regime, (s - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM ws)""", f"""
+SELECT fj.regime, count(*) AS n, round(avg(linear_mae), 6) AS linear_mae, round(avg(stick_mae), 6) AS stick_mae, round(avg(linear_bias), 6) AS linear_bias,
+  round(avg(stick_bias), 6) AS stick_bias, round(any_value(2 * {gaussian.cdf_sql("(-abs(z))")}), 6) AS wilcoxon_p
+FROM fj LEFT JOIN wz USING (regime) GROUP BY fj.regime HAVING count(*) >= 10"""),
     "curve_forecast": sql(SRC + FORE, f"SELECT {KEY}, n_forecast, {_fcols} FROM fc"),
     "regime_census": sql(SHAPES, """
 SELECT regime, count(*) AS n, round(count(*) / (SELECT count(*) FROM shapes), 6) AS share, round(median(slope), 6) AS median_slope,

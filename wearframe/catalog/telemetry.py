@@ -59,9 +59,9 @@ def friction_limit(spark, d):
 
 
 def track_line(spark, d):
-    out = te.track_line(_dyn(spark, d), points=24, edge=2, min_n=16)
-    return rounded_all(out.select("session_id", "asset", "lap", F.element_at("x", 1).alias("x_first"), F.element_at("x", 12).alias("x_mid"),
-                                  F.element_at("x", 24).alias("x_last"), F.size("power").alias("n_points"), "peak_lateral_g"))
+    out = te.track_line(_dyn(spark, d), edge=2, min_n=16)
+    spots = [F.element_at("x", k).alias(f"x_{k}") for k in (1, 100, 311, 420)]
+    return rounded_all(out.select("session_id", "asset", "lap", *spots, F.size("power").alias("n_points"), "peak_lateral_g", "peak_braking_g", "track_length_m"))
 
 
 def thermal_features(spark, d):
@@ -73,12 +73,8 @@ def lap_wear(spark, d):
     return rounded_all(te.lap_wear(dyn, te.thermal_features(dyn)))
 
 
-def _clock(spark, d, heat=False):
-    dyn = stage(_dyn(spark, d))
-    wear = te.lap_energy(dyn)
-    if heat:
-        wear = te.lap_wear(dyn, te.thermal_features(dyn))
-    return te.energy_clock(stage(wear))
+def _clock(spark, d):
+    return te.energy_clock(stage(te.lap_energy(_dyn(spark, d))))
 
 
 def energy_clock(spark, d):
@@ -91,7 +87,7 @@ def clock_test(spark, d):
 
 
 def clock_verdict(spark, d):
-    rows = _clock(spark, d, heat=True).withColumn("age", F.col("lap").cast("double")).withColumn("corrected", F.col("mean_speed_kmh") + 0.081 * F.col("lap"))
+    rows = _clock(spark, d).withColumn("age", F.col("lap").cast("double")).withColumn("corrected", F.col("mean_speed_kmh") + 0.081 * F.col("lap"))
     return rounded_all(te.clock_verdict(te.clock_test(rows)))
 
 
@@ -199,6 +195,18 @@ g AS (SELECT session_id, sqrt(a_lat ** 2 + a_long ** 2) / 9.81 AS g FROM dyn),
 r AS (SELECT session_id, g, row_number() OVER (PARTITION BY session_id ORDER BY g) AS r, count(*) OVER (PARTITION BY session_id) AS n FROM g)""", f"""
 SELECT session_id, ceil(g) + 0.5 AS "limit" FROM r WHERE r = floor(n * {_d(0.995)}) + 1"""),
     "energy_clock": sql(ENERGY, "SELECT session_id, asset, lap, round(e, 6) AS energy, round(clock, 6) AS clock FROM clock"),
+    "clock_verdict": sql(ENERGY + """,
+ct AS (SELECT CASE WHEN count(*) >= 4 THEN regr_r2(corrected, clock) - regr_r2(corrected, lap) END AS g, stddev_pop(e) / greatest(avg(e), 1e-9) AS cv FROM clock GROUP BY session_id, asset)""", """
+SELECT count(g) AS n_stints, count(*) FILTER (WHERE g > 0) AS energy_wins, round(avg(g), 6) AS mean_r2_gain, round(avg(cv), 6) AS mean_energy_cv,
+  CASE WHEN avg(g) > 0.01 THEN 'energy clock is better' WHEN avg(g) > -0.01 THEN 'no meaningful difference' ELSE 'lap count is better' END AS verdict FROM ct"""),
+    "track_line": sql(DYN + """,
+tm AS (SELECT session_id, asset, lap, i, CAST(x AS DOUBLE) AS x, a_lat, a_long, sp * dt AS step FROM dyn WHERE n_samples >= 16 AND i > 2 AND i <= n_samples - 2),
+ls AS (SELECT session_id, asset, lap, list(x ORDER BY i) AS xs, count(*) AS m, quantile_cont(abs(a_lat), 0.99) / 9.81 AS pl,
+  quantile_cont(abs(least(a_long, 0)), 0.99) / 9.81 AS pb, sum(step) AS len FROM tm GROUP BY ALL),
+pt AS (SELECT *, list_transform([0, 99, 310, 419], lambda k: k * (m - 1) / 419.0::DOUBLE) AS q FROM ls),
+rs AS (SELECT *, list_transform(q, lambda s: xs[floor(s)::INT + 1] + (s - floor(s)) * (xs[least(floor(s)::INT + 2, m)] - xs[floor(s)::INT + 1])) AS v FROM pt)""", """
+SELECT session_id, asset, lap, round(v[1] * 0.1, 2) AS x_1, round(v[2] * 0.1, 2) AS x_100, round(v[3] * 0.1, 2) AS x_311, round(v[4] * 0.1, 2) AS x_420,
+  420 AS n_points, round(pl, 6) AS peak_lateral_g, round(pb, 6) AS peak_braking_g, round(len, 6) AS track_length_m FROM rs"""),
     "clock_test": sql(ENERGY + """,
 ct AS (SELECT session_id, asset, count(*) AS n, regr_slope(corrected, lap) AS sa, regr_r2(corrected, lap) AS ra, regr_slope(corrected, clock) AS se,
   regr_r2(corrected, clock) AS re, avg(e) AS me, stddev_pop(e) / greatest(avg(e), 1e-9) AS cv FROM clock GROUP BY ALL)""", """

@@ -15,31 +15,26 @@ def _label(key: Column) -> Column:
 
 
 def decomposition_text() -> Column:
-    """Over the columns of ``attribute.decompose``: faster with a worn unit, slower, or level."""
+    """Over the columns of ``attribute.decompose``: what the stopwatch shows, then what the unit did to it."""
     big = F.col("contributions")[0]
-    faster = F.format_string(
-        "Car %s went %.2f s quicker on lap %d than on lap %d, which looks like a healthy unit. "
-        "With the changing conditions taken out, its %s unit gave away %.2f s over the same laps.",
-        F.col("asset").cast("string"), F.abs("delta"), "seq", "ref_seq", F.lower("mode"), "tyre")
+    # a last bit must not decide how a half is rounded
+    v = lambda x: F.round(F.round(x, 9), 2) + 0.0
+    head = F.format_string("Lap %d of car %s on the %s unit", F.col("seq"), F.col("asset").cast("string"), F.lower("mode"))
+    hidden = F.format_string(
+        " gained %.2f s over lap %d although the unit lost %.2f s: conditions hid the wear.", v(F.abs("delta")), "ref_seq", v("tyre"))
     slower = F.format_string(
-        "Car %s dropped %.2f s from lap %d to lap %d. The unit accounts for %.2f s of it, or %.0f%%. "
-        "Largest single cause: %s, %.2f s.",
-        F.col("asset").cast("string"), "delta", "ref_seq", "seq", "tyre", 100 * F.col("tyre") / F.col("delta"),
-        F.lower(_label(big["key"])), F.abs(big["seconds"]))
-    level = F.format_string(
-        "Car %s repeated its time from lap %d. The unit moved it by %.2f s and everything else by %.2f s.",
-        F.col("asset").cast("string"), "ref_seq", "tyre", "confounders")
-    return F.when((F.col("delta") < -0.05) & (F.col("tyre") > 0.05), faster).when(F.col("delta") > 0.05, slower).otherwise(level)
+        " lost %.2f s to lap %d; the unit explains %.0f%% (%.2f s), and the main cause is %s (%.2f s).",
+        v("delta"), "ref_seq", F.round(F.round(100 * F.col("tyre") / F.col("delta"), 9), 0) + 0.0, v("tyre"), F.lower(_label(big["key"])), v(F.abs(big["seconds"])))
+    level = F.format_string(" kept the pace of lap %d: unit %.2f s, conditions %.2f s.", "ref_seq", v("tyre"), v("confounders"))
+    return F.concat(head, F.when((F.col("delta") < -0.05) & (F.col("tyre") > 0.05), hidden).when(F.col("delta") > 0.05, slower).otherwise(level))
 
 
 def projection_text() -> Column:
     """Over the columns of ``attribute.competitive_life``, with a caution when it extrapolates."""
     text = F.format_string(
-        "The %s unit on car %s is %.0f laps old and has about %.0f competitive laps left, between %.0f and %.0f, "
-        "taking a loss above %.1f s as the end.",
-        F.lower("mode"), F.col("asset").cast("string"), "age", "life", "life_low", "life_high", "threshold")
-    caution = F.lit(" The far end lies beyond the oldest unit seen here, so it is an extrapolated trend.")
-    return F.concat(text, F.when(F.col("end_applicability") < 0.5, caution).otherwise(F.lit("")))
+        "Car %s, %s unit, age %.0f: expected to pass %.1f s of loss after %.0f laps (likely %.0f to %.0f).",
+        F.col("asset").cast("string"), F.lower("mode"), "age", "threshold", "life", "life_low", "life_high")
+    return F.concat(text, F.when(F.col("end_applicability") < 0.5, F.lit(" No unit seen here was ever that old.")).otherwise(F.lit("")))
 
 
 def shape_text() -> Column:

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wearframe.operators import slices
 from wearframe.operators.windows import elapsed
 
 #: Relative labels as steps above an event's hardest nominated mode; fixed values.
@@ -83,9 +84,11 @@ def cached(build, spark: SparkSession, path: str, refit=False) -> DataFrame:
 
 def stored_sessions(spark: SparkSession, directory: str) -> DataFrame:
     """Names of the session files or partitions under a directory."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(directory).select("path")
-    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.parquet$", "")
-    return files.select(F.url_decode(name).alias("session_id"))
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    parts = F.split(F.col("path"), "/")
+    partition = F.filter(parts, lambda p: p.startswith("session_id="))
+    name = F.when(F.size(partition) > 0, F.substring_index(F.get(partition, F.lit(0)), "=", -1)).otherwise(F.regexp_replace(F.element_at(parts, -1), r"\.parquet$", ""))
+    return reader.load(directory).select(F.url_decode(name).alias("session_id")).distinct()
 
 
 def read_manifest(spark: SparkSession, directory: str, name="corpus.json") -> DataFrame:
@@ -337,10 +340,9 @@ def read_rul(spark: SparkSession, path: str, test: DataFrame) -> DataFrame:
 
     One line per unit, so both sides are as small as the fleet.
     """
-    from pyspark.sql import Window
-
     lines = spark.read.text(path, wholetext=True).select(
         F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")).alias("_k", "_line")
     ).select((F.col("_k") + 1).alias("_k"), F.element_at(F.split(F.trim("_line"), r"\s+"), 1).cast("double").alias("rul"))
-    units = test.select("unit").distinct().withColumn("_k", F.row_number().over(Window.orderBy("unit")))
+    spread = test.select("unit").distinct().withColumn("_all", F.lit(0)).withColumn("_slice", F.floor(F.col("unit") / 1024))
+    units = slices.positions(spread, ["_all"], "_slice", ["unit"], name="_k").select("unit", "_k")
     return units.join(lines, "_k").select("unit", "rul")

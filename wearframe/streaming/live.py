@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearframe.operators.attribute import health
-from wearframe.operators.intervals import AdaptiveInterval
+from wearframe.operators import intervals
 from wearframe.operators.staging import spread
 from wearframe.operators.statespace import Hyper, Priors
 
@@ -41,7 +41,7 @@ class SessionEstimator:
         self.P = np.diag([p.drift_sd ** 2, 1e-4, p.load_sd ** 2, p.interference_sd ** 2])
         self.modes, self.levels, self.runs, self.open_run, self.age, self.seen, self.n_runs = {}, {}, {}, {}, {}, {}, {}
         self.first = self.clock = self.reference = None
-        self.interval = AdaptiveInterval(alpha)
+        self.alpha, self.interval = alpha, intervals.cold(alpha)
 
     def _grow(self, means, variances):
         n, k = len(self.a), len(means)
@@ -52,6 +52,16 @@ class SessionEstimator:
         self.P = P
         return n
 
+    def _retire(self, asset):
+        """Drop the intercept of the asset's closed run: nothing later depends on it."""
+        gone = self.runs.pop((asset, self.open_run.get(asset)), None)
+        if gone is None:
+            return
+        self.a = np.delete(self.a, gone)
+        self.P = np.delete(np.delete(self.P, gone, 0), gone, 1)
+        for places in (self.modes, self.levels, self.runs):
+            places.update({k: i - (i > gone) for k, i in places.items()})
+
     def refusal(self, lap):
         """Why a lap cannot be folded in, or None."""
         if lap.perf is None or not math.isfinite(lap.perf):
@@ -82,6 +92,9 @@ class SessionEstimator:
         rt = lv + 1
         if self.open_run.get(lap.asset) != lap.run_id:
             self.n_runs[lap.asset] = self.n_runs.get(lap.asset, 0) + 1
+            self._retire(lap.asset)
+            a, P, lv, base = self.a, self.P, self.levels[lap.asset], self.modes[lap.mode]
+            rt = lv + 1
             self.open_run[lap.asset] = lap.run_id
             a[lv], a[rt] = 0.0, a[base]
             P[lv, :] = P[:, lv] = 0.0
@@ -106,7 +119,7 @@ class SessionEstimator:
         var = float(z @ Pz[idx]) + math.exp(2 * h.log_noise_sd)
         forecast = self.reference + float(z @ a[idx])
         v = lap.perf - forecast
-        half, covered = self.interval.update(forecast, math.sqrt(var), lap.perf)
+        half, hit, _, cover = intervals.follow(self.interval, np.array([forecast]), np.array([math.sqrt(var)]), np.array([lap.perf]), self.alpha)
         self.a = a + Pz * (v / var)
         P = P - np.outer(Pz, Pz) / var
         self.P = 0.5 * (P + P.T)
@@ -114,8 +127,8 @@ class SessionEstimator:
         sd = lambda k: math.sqrt(max(self.P[k, k], 0.0))
         return {
             "level": self.a[lv], "level_sd": sd(lv), "rate": self.a[rt], "rate_sd": sd(rt), "laps_observed": self.seen[lap.asset],
-            "innovation": v, "innovation_z": v / math.sqrt(var), "forecast": forecast, "low": forecast - half, "high": forecast + half,
-            "covered": bool(covered), "coverage": 1.0 - self.interval.missed / self.interval.seen,
+            "innovation": v, "innovation_z": v / math.sqrt(var), "forecast": forecast, "low": forecast - half[0], "high": forecast + half[0],
+            "covered": bool(hit[0]), "coverage": float(cover[0]),
             "mode_rate": self.a[base], "mode_rate_sd": sd(base),
         }
 
