@@ -197,6 +197,18 @@ def stint_regimes(spark, d):
     return rounded_all(at.stint_regimes(_states(spark, d)))
 
 
+def trust_regimes(spark, d):
+    return rounded_all(reports.trust_regimes(_states(spark, d)).select("session_id", "asset", "run_id", "laps", "regime", "confidence", "position"))
+
+
+def fitted_regimes(spark, d):
+    return rounded_all(reports.trust_regimes(ss.lap_states(_fit(spark, d))))
+
+
+def measurement_value(spark, d):
+    return rounded_all(reports.measurement_value(ss.mode_rates(_fit(spark, d))))
+
+
 def decomposition_narration(spark, d):
     return at.decompose(_states(spark, d)).select("session_id", "asset", "seq", narrate.decomposition_text().alias("text"))
 
@@ -209,7 +221,8 @@ QUERIES = {f.__name__: f for f in (
     lap_states, coefficients, mode_rates, drift_curve, fit_diagnostics, tuned_hyper, prior_sweep, prior_sensitivity, statespace_forecast, full_ladder,
     fitted_decomposition, fitted_life, fitted_curvature, session_summary, confounder_shift, filtered_laps, runs_with_shape, lap_narration, trust_report,
     transfer_validation, live_replay, live_rate_trace, live_latest, live_feed,
-    decomposition, peel_away, counterfactuals, projection, competitive_life, health_timeline, stint_regimes, decomposition_narration, projection_narration)}
+    decomposition, peel_away, counterfactuals, projection, competitive_life, health_timeline, stint_regimes, trust_regimes, fitted_regimes, measurement_value,
+    decomposition_narration, projection_narration)}
 
 DEC = STATES + """,
 rf AS (SELECT *, first_value(seq) OVER w AS ref_seq, perf - first_value(perf) OVER w AS delta, level - first_value(level) OVER w AS tyre,
@@ -275,6 +288,15 @@ SELECT {_k}, run_id, mode, age, CAST(a AS DOUBLE) AS life_low, CAST(b AS DOUBLE)
     "health_timeline": sql(STATES, f"""
 SELECT {_k}, run_id, age, round(level, 6) AS level, round(level_sd, 6) AS level_sd, round(rate, 6) AS rate, round(rate_sd, 6) AS rate_sd,
   round(greatest(0, least(100, 100 * (1 - level / 1.5))), 6) AS health FROM s"""),
+    "trust_regimes": sql(STATES + """,
+i AS (SELECT *, row_number() OVER (PARTITION BY session_id, asset, run_id ORDER BY age, seq) AS i FROM s),
+f AS (SELECT session_id, asset, run_id, count(*) AS n, avg(rate) AS r, regr_slope(rate, i) AS t, avg(interference) AS m FROM i GROUP BY ALL),
+g AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, asset, run_id) AS position FROM f)""", """
+SELECT session_id, asset, run_id, n AS laps,
+  CASE WHEN n < 4 THEN 'sparse data' WHEN m > 0.35 THEN 'traffic limited' WHEN t > 0.004 THEN 'cliff' WHEN r < -0.01 THEN 'recovering'
+       WHEN r > 0.15 THEN 'high degradation' ELSE 'clean running' END AS regime,
+  round(CASE WHEN n < 4 THEN 1.0 WHEN m > 0.35 THEN least(m / 0.6, 1) WHEN t > 0.004 THEN least(t / 0.01, 1) WHEN r < -0.01 THEN least(abs(r) / 0.05, 1)
+       WHEN r > 0.15 THEN least(r / 0.25, 1) ELSE 0.8 END, 6) AS confidence, position FROM g WHERE position <= 10"""),
     "stint_regimes": sql(STATES + """,
 i AS (SELECT *, row_number() OVER (PARTITION BY session_id, asset, run_id ORDER BY age, seq) AS i FROM s),
 f AS (SELECT session_id, variant, asset, run_id, count(*) AS n, avg(rate) AS r, regr_slope(rate, i) AS t, avg(interference) AS m FROM i GROUP BY ALL)""", """

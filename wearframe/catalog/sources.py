@@ -131,6 +131,19 @@ def with_conditions(spark, d):
     return rounded_all(src.with_conditions(est, both))
 
 
+def with_features(spark, d):
+    laps = ad.laps_from_events(spark, d)
+    est = laps.groupBy(F.col("week").alias("year"), F.col("session_id").alias("round"), "mode").agg(F.avg("perf").alias("rate"))
+    feat = laps.where("age > 3").groupBy(F.col("week").alias("year"), F.col("session_id").alias("round")).agg(
+        F.stddev_samp("perf").alias("roughness"), F.max("age").alias("longest")).where("longest >= 10")
+    return rounded_all(src.with_features(est, feat))
+
+
+def default_catalogue(spark, d):
+    m = _manifest(spark, d)
+    return src.session_catalogue(None, m.where("session = 'R'").select("session_id"))
+
+
 def not_stored(spark, d):
     m = _manifest(spark, d)
     return src.not_stored(m.select("session_id", "n_laps"), m.where("session = 'FP2'"))
@@ -154,7 +167,7 @@ def match_events(spark, d):
 QUERIES = {f.__name__: f for f in (
     manifest_records, select_sessions, selected_laps, catalogue_from_names, ingest_plan, session_entries, corpus_totals,
     lineups, with_team, upsert_features, session_catalogue, catalogue_health, nomination_coverage, paired_events,
-    with_conditions, not_stored, lookup_circuit, match_events)}
+    with_conditions, with_features, default_catalogue, not_stored, lookup_circuit, match_events)}
 
 ORACLES = {
     "manifest_records": sql(MANIFEST, "SELECT * FROM manifest"),
@@ -203,6 +216,12 @@ SELECT l.week AS year, l.session_id AS round, mode, round(avg(perf), 6) AS rate,
        round(any_value(CASE WHEN track_temp > 51 THEN track_temp END), 6) AS track_temp,
        any_value(CASE WHEN track_temp > 51 THEN is_dry END) AS is_dry
 FROM laps l JOIN c USING (week, session_id) GROUP BY l.week, l.session_id, mode"""),
+    "with_features": sql(LAPS + """,
+e AS (SELECT week AS year, session_id AS round, mode, avg(perf) AS rate FROM laps GROUP BY ALL),
+f AS (SELECT week AS year, session_id AS round, stddev_samp(perf) AS roughness, max(age) AS longest FROM laps WHERE age > 3 GROUP BY ALL HAVING max(age) >= 10)""", """
+SELECT year, round, mode, round(rate, 6) AS rate, round(roughness, 6) AS roughness, longest FROM e JOIN f USING (year, round)"""),
+    "default_catalogue": sql(MANIFEST, """
+SELECT session_id, year, 0 AS round_number, session_id AS event_name, session, true AS cached FROM manifest WHERE session = 'R'"""),
     "not_stored": sql(MANIFEST, "SELECT session_id, n_laps FROM manifest WHERE session <> 'FP2'"),
     "lookup_circuit": """
 WITH c AS (SELECT 'C' || p_name || p_partkey AS circuit, p_retailprice AS left_share FROM part WHERE p_size > 25),

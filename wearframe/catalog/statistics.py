@@ -384,6 +384,6 @@ SELECT event_id, round(cov, 6) AS coverage, round(over, 6) AS laps_beyond, round
          CASE WHEN tr < 1 THEN 'more interference than observed' END), ''), 'inside the observed range') AS reasons FROM ap"""),
     "value_of_information": sql(LAPS + f""",
 cu AS (SELECT event AS session_id, avg(sd) AS c FROM ({_OLS.format(w="true")}) GROUP BY ALL),
-sg AS (SELECT * FROM (VALUES ('surface temperature', 0.35), ('load mass', 0.30), ('measured wear depth', 0.20), ('pressure', 0.12)) v(signal, r))""", """
-SELECT session_id, signal, round(c, 6) AS current_uncertainty, CAST(r AS DOUBLE) AS estimated_reduction, round(c * (1 - r), 6) AS projected_uncertainty FROM cu, sg"""),
+sg AS (SELECT * FROM (VALUES ('surface temperature', 0.35, 'tells heat from wear'), ('load mass', 0.30, 'replaces the prior on load'), ('measured wear depth', 0.20, 'ties the estimate to material lost'), ('pressure', 0.12, 'explains part of the noise inside a run')) v(signal, r, rationale))""", """
+SELECT session_id, signal, round(c, 6) AS current_uncertainty, CAST(r AS DOUBLE) AS estimated_reduction, round(c * (1 - r), 6) AS projected_uncertainty, rationale, true AS is_estimate FROM cu, sg"""),
 }

@@ -79,3 +79,9 @@ def finite_or_null(name: str) -> Column:
     """NaN and infinities become null, as strict JSON needs."""
     c = F.col(name)
     return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
+
+
+def payload(df, *names: str) -> Column:
+    """Columns of ``df`` as a JSON object in which no number is NaN or infinite."""
+    kinds = dict(df.dtypes)
+    return F.to_json(F.struct(*[finite_or_null(n).alias(n) if kinds[n] in ("double", "float") else F.col(n) for n in names]))

@@ -90,6 +90,19 @@ def trust(laps: DataFrame, fit: DataFrame) -> DataFrame:
     return agreed.join(covered, ["session_id", "mode"])
 
 
+def trust_regimes(states: DataFrame, longest=10) -> DataFrame:
+    """How the longest runs of every session were operated."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(*KEYS).orderBy(F.desc("laps"), "asset", "run_id")
+    return at.stint_regimes(states).withColumn("position", F.row_number().over(order)).where(F.col("position") <= longest)
+
+
+def measurement_value(rates_: DataFrame) -> DataFrame:
+    """What else to measure, per session, from the uncertainty of its mode rates."""
+    return st.value_of_information(rates_, ("session_id",))
+
+
 def event_validation(compared: DataFrame, asked: DataFrame) -> DataFrame:
     """Transfer report of the events whose recorded name matches the asked one."""
     from wearframe.sources.laps import match_events

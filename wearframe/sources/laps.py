@@ -236,8 +236,9 @@ def upsert_features(existing: DataFrame, new: DataFrame, key=("year", "circuit")
     return untouched.unionByName(added)
 
 
-def session_catalogue(manifest: DataFrame, stored: DataFrame) -> DataFrame:
-    """Manifest entries with a ``cached`` flag, cached ones first."""
+def session_catalogue(manifest: DataFrame | None, stored: DataFrame) -> DataFrame:
+    """Manifest entries with a ``cached`` flag, cached ones first; without a manifest, what the stored names say."""
+    manifest = catalogue_from_names(stored) if manifest is None else manifest
     files = stored.select("session_id").distinct().withColumn("_here", F.lit(True))
     return manifest.join(files, "session_id", "left").withColumn(
         "cached", F.coalesce("_here", F.lit(False))
@@ -307,6 +308,11 @@ def paired_events(manifest: DataFrame, conditions: DataFrame, practice="FP2") ->
     return both.join(wet, ["year", "event_name"], "left_anti")
 
 
+def with_features(estimates: DataFrame, features: DataFrame, keys=("year", "round")) -> DataFrame:
+    """Estimates with the features of their round; an estimate without features is left out."""
+    return estimates.join(features, list(keys))
+
+
 def with_conditions(estimates: DataFrame, conditions: DataFrame) -> DataFrame:
     """Race conditions attached to estimates. Practice rows are left out first, and a
     key that still repeats is an error, so no estimate can be duplicated."""

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearframe.operators.attribute import health
+from wearframe.functions import narrate
 from wearframe.operators import intervals
 from wearframe.operators.staging import spread
 from wearframe.operators.statespace import Hyper, Priors
@@ -210,11 +211,10 @@ def latest_states(states: DataFrame) -> DataFrame:
 
 def live_feed(states: DataFrame) -> DataFrame:
     """Start, lap and complete frames per session as (session_id, seq, type, payload JSON)."""
-    good = states.where("reason IS NULL")
+    good = states.where("reason IS NULL").withColumn("health", health())
     lap = good.select(
         "session_id", F.col("seq"), F.col("asset"), F.lit("lap").alias("type"),
-        F.to_json(F.struct("asset", "seq", "mode", "age", "level", "level_sd", "rate", "rate_sd", "forecast", "low", "high", "covered",
-                           F.when(~F.isnan("coverage"), F.col("coverage")).alias("coverage"), health().alias("health"))).alias("payload"),
+        narrate.payload(good, "asset", "seq", "mode", "age", "level", "level_sd", "rate", "rate_sd", "forecast", "low", "high", "covered", "coverage", "health").alias("payload"),
     )
     ends = good.groupBy("session_id").agg(
         F.min("seq").alias("first"), F.max("seq").alias("last"), F.count(F.lit(1)).alias("total_laps"), F.count_distinct("asset").alias("assets"),
