@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from wearframe.llm.common import staged, utf8_bytes
+from wearframe.llm.common import staged
 from wearframe.llm.language import held_out
 
 #: Bound of the labelled sample: rows of each class.
 FIT_ROWS = 3000
 FOLDS = 5
+#: Documents whose terms are Python objects at the same time.
+DOCS = 32
 #: Most lexicon entries; a term counts if it is in so many toxic documents and so much likelier there.
 LEXICON = 2000
 LEAST_DOCUMENTS = 3
@@ -115,8 +117,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text_col: str, id_col: s
 def learn_lexicons(sample: DataFrame) -> list[dict[str, float]]:
     @arrow_udf("array<string>")
     def terms_of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.string())
         for column in texts:
-            yield pa.array([sorted(terms(t)) for t in column.to_pylist()], pa.list_(pa.string()))
+            # a few documents at a time, so that their terms do not all live as Python objects
+            parts = [pa.array([sorted(terms(t.as_py())) for t in column[at : at + DOCS]], kind) for at in range(0, len(column), DOCS)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     totals = {r.fold: (r.toxic, r.clean) for r in sample.groupBy("fold").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).collect()}
     counted = sample.select("fold", "label", F.explode(terms_of("text")).alias("term")).groupBy("term").agg(
@@ -139,8 +144,8 @@ def with_features(docs: DataFrame, text_col: str, fold_col: str | None, words: l
     def compute(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         known = [(x, {term[:SHORTEST] for term in x}) for x in shared.value]
         for texts, folds in batches:
-            rows = zip(texts.to_pylist(), utf8_bytes(texts), folds.to_pylist(), strict=True)
-            yield pa.array([features(t, raw, *known[f]) for t, raw, f in rows], pa.list_(pa.float64()))
+            rows = ((t.as_py(), f.as_py()) for t, f in zip(texts, folds, strict=True))
+            yield pa.array([features(t, t.encode() if t else None, *known[f]) for t, f in rows], pa.list_(pa.float64()))
 
     fold = F.col(fold_col) if fold_col else F.lit(FOLDS)
     return docs.withColumn("__features", array_to_vector(compute(F.col(text_col), fold.cast("int"))))
