@@ -4,6 +4,8 @@ The fits have no SQL counterpart; what is computed from a fit is checked on
 states given by formula.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wearframe.catalog.forecasts import laps_and_folds
@@ -130,6 +132,29 @@ def live_replay(spark, d):
     return rounded_all(live.replay_batch(_laps(spark, d)))
 
 
+def live_stream_agrees(spark, d):
+    """Stored laps replayed as a stream, week by week, against the one-pass replay: rows per session, and how many agree."""
+    from wearframe.operators.staging import shared_folder
+
+    laps = _laps(spark, d)
+    folder = f"{shared_folder(spark)}/wearframe/stream-{uuid.uuid4().hex}"
+    for week in sorted(r.week for r in laps.select("week").distinct().collect()):
+        laps.where(F.col("week") == week).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = live.live_states(live.replay(spark, f"{folder}/in", laps.schema))
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").outputMode("append")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    key = ["session_id", "asset", "seq"]
+    values = ["level", "level_sd", "rate", "forecast", "low", "high", "coverage"]
+    once = live.replay_batch(laps).select(*key, *[F.col(v).alias(f"_{v}") for v in values])
+    both = spark.read.schema(stream.schema).parquet(f"{folder}/out").join(once, key, "full_outer")
+    close = [F.coalesce(F.abs(F.col(v) - F.col(f"_{v}")) <= 1e-9 * (1 + F.abs(v)), F.lit(False)) for v in values]
+    agree = close[0]
+    for c in close[1:]:
+        agree = agree & c
+    return both.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(agree).alias("n_agree"))
+
+
 def live_rate_trace(spark, d):
     states = live.replay_batch(_laps(spark, d)).where("reason IS NULL")
     return rounded_all(reports.mean_rate_trace(states))
@@ -220,7 +245,7 @@ def projection_narration(spark, d):
 QUERIES = {f.__name__: f for f in (
     lap_states, coefficients, mode_rates, drift_curve, fit_diagnostics, tuned_hyper, prior_sweep, prior_sensitivity, statespace_forecast, full_ladder,
     fitted_decomposition, fitted_life, fitted_curvature, session_summary, confounder_shift, filtered_laps, runs_with_shape, lap_narration, trust_report,
-    transfer_validation, live_replay, live_rate_trace, live_latest, live_feed,
+    transfer_validation, live_replay, live_stream_agrees, live_rate_trace, live_latest, live_feed,
     decomposition, peel_away, counterfactuals, projection, competitive_life, health_timeline, stint_regimes, trust_regimes, fitted_regimes, measurement_value,
     decomposition_narration, projection_narration)}
 
@@ -265,6 +290,7 @@ lf AS (SELECT {_k}, run_id, mode, age, any_value(oldest) AS oldest,
   coalesce(min(h) FILTER (WHERE (loss - 0.8) >= {gaussian.ppf(0.8)!r} * greatest(loss_sd, 1e-9)), 20) AS c FROM pj GROUP BY ALL)""", """
 SELECT session_id, asset, seq, printf('Car %s, %s unit, age %.0f: expected to pass %.1f s of loss after %.0f laps (likely %.0f to %.0f).', asset::VARCHAR, lower(mode), age::DOUBLE,
   0.8::DOUBLE, b::DOUBLE, a::DOUBLE, c::DOUBLE) || CASE WHEN exp(-greatest(age + 20 - oldest, 0) / 5) < 0.5 THEN ' No unit seen here was ever that old.' ELSE '' END AS text FROM lf"""),
+    "live_stream_agrees": sql(ULAPS, "SELECT session_id, count(*) AS n, count(*) AS n_agree FROM ulaps GROUP BY session_id"),
     "peel_away": sql(DEC, f"""
 SELECT {_k}, round(delta, 6) AS step_0, round(delta - load, 6) AS step_1, round(delta - load - drift, 6) AS step_2,
   round(delta - load - drift - interference_s, 6) AS step_3 FROM dc"""),

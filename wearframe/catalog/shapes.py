@@ -6,6 +6,7 @@ from wearframe.catalog.laps import LAPS
 from wearframe.catalog.shared import LINE, r6, rounded_all, sql
 from wearframe.catalog.statistics import _wx
 from wearframe.functions import gaussian
+from wearframe.operators import rates
 from wearframe.operators import shapes as sh
 from wearframe.operators.staging import stage
 from wearframe.sources import adapters as ad
@@ -50,6 +51,13 @@ def forecast_census(spark, d):
     return rounded_all(sh.forecast_census(stage(sh.curve_forecast(_laps(spark, d))), _shapes(spark, d)))
 
 
+def longest_bent_runs(spark, d):
+    laps = _laps(spark, d)
+    runs = laps.groupBy("session_id", "mode", "run_id").agg(F.max("age").alias("end_age"))
+    out = rates.overview(rates.naive_rates(laps), runs, _shapes(spark, d))
+    return out.where("longest_bent_run IS NOT NULL").select("session_id", "longest_bent_run")
+
+
 def curvature_share(spark, d):
     from wearframe.operators.attribute import curvature_share as share
 
@@ -57,7 +65,7 @@ def curvature_share(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    curve_shapes, curve_shapes_lineitem, curve_forecast, regime_census, cliff_census, forecast_census, curvature_share)}
+    curve_shapes, curve_shapes_lineitem, curve_forecast, regime_census, cliff_census, forecast_census, longest_bent_runs, curvature_share)}
 
 # brute force: every break against every lap of its run
 _FIT = """
@@ -115,6 +123,9 @@ wz AS (SELECT regime, (s - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 2
 SELECT fj.regime, count(*) AS n, round(avg(linear_mae), 6) AS linear_mae, round(avg(stick_mae), 6) AS stick_mae, round(avg(linear_bias), 6) AS linear_bias,
   round(avg(stick_bias), 6) AS stick_bias, round(any_value(2 * {gaussian.cdf_sql("(-abs(z))")}), 6) AS wilcoxon_p
 FROM fj LEFT JOIN wz USING (regime) GROUP BY fj.regime HAVING count(*) >= 10"""),
+    "longest_bent_runs": sql(SHAPES, """
+SELECT session_id, run_id AS longest_bent_run FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n_laps DESC, run_id) AS r
+FROM shapes WHERE regime <> 'linear') WHERE r = 1"""),
     "curve_forecast": sql(SRC + FORE, f"SELECT {KEY}, n_forecast, {_fcols} FROM fc"),
     "regime_census": sql(SHAPES, """
 SELECT regime, count(*) AS n, round(count(*) / (SELECT count(*) FROM shapes), 6) AS share, round(median(slope), 6) AS median_slope,
