@@ -6,7 +6,8 @@ import pytest
 import __spark_entry__ as entry
 from tools.check_oracle import TABLES, canon
 
-NAMES = ("naive_rates", "interference", "clean_laps", "rolling_folds", "ladder", "split_conformal", "loeo_intervals", "wilcoxon", "curve_shapes",
+NAMES = ("naive_rates", "interference", "clean_laps", "rolling_folds", "ladder", "split_conformal", "loeo_intervals", "signed_rank", "curve_shapes", "stored_laps", "manifest_of_files", "life_labels", "derived_cache",
+         "recommendations", "stop_windows", "match_events", "resolve_events", "live_stream_agrees", "trust_regimes", "result_sentences", "bm25_top", "lexical_ranks",
          "split_half", "decision_outcomes", "decomposition", "competitive_life", "lap_energy", "health_index", "bm25", "number_check")
 
 
@@ -28,7 +29,7 @@ def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", [n for n in NAMES if n in entry.oracle_sql()])
+@pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, con, data, name):
     df = entry.queries()[name](spark, data)
     rows = sorted(tuple(canon(r[c]) for c in sorted(df.columns)) for r in df.collect())
