@@ -145,6 +145,21 @@ def reliability_gap(spark, d):
     return rounded_all(iv.diagonal_gap(iv.reliability_gaussian(stream(spark, d))))
 
 
+# one recursion step per observation: past scores as an ordered list
+ADAPTIVE = "RECURSIVE " + FS.strip() + """,
+lv AS (SELECT unnest({levels}) AS level),
+ob AS MATERIALIZED (SELECT fs.*, row_number() OVER (PARTITION BY model, session_id ORDER BY fold, seq, asset, event_id) AS p, abs(actual - mean) AS score FROM fs),
+ad(model, session_id, level, p, rate, past, missed, half, hit, used) AS (
+  SELECT DISTINCT model, session_id, level, 0::BIGINT, 1.0::DOUBLE - level, []::DOUBLE[], 0, NULL::DOUBLE, NULL::BOOLEAN, NULL::DOUBLE FROM ob, lv
+  UNION ALL
+  SELECT model, session_id, level, p, rate + 0.02::DOUBLE * ((1.0::DOUBLE - level) - CASE WHEN score <= half THEN 0 ELSE 1 END), list_sort(list_append(past, score)),
+    missed + CASE WHEN score <= half THEN 0 ELSE 1 END, half, score <= half, rate
+  FROM (SELECT a.model, a.session_id, a.level, o.p, a.rate, a.past, a.missed, o.score,
+          CASE WHEN len(past) < 19 THEN 1.959964::DOUBLE * o.sd
+               ELSE past[least(ceil((len(past) + 1) * (1.0::DOUBLE - least(greatest(a.rate, 0.001::DOUBLE), 0.999::DOUBLE)))::INT, len(past))] END AS half
+        FROM ad a JOIN ob o ON o.model = a.model AND o.session_id = a.session_id AND o.p = a.p + 1))
+"""
+
 QUERIES = {f.__name__: f for f in (
     conformal_quantile, calibrator, calibrated_rates, loeo_intervals, loeo_summary, split_conformal, split_studentised,
     pooled_intervals, adaptive_intervals, pit_histogram, pit_diagnosis, reliability_gaussian, reliability_adaptive, reliability_gap)}
@@ -210,6 +225,11 @@ SELECT model, n, round(tail, 6) AS tail_mass, round(mid, 6) AS middle_mass, roun
        CASE WHEN n < 100 THEN 'too few observations' WHEN tail > 0.25 AND mid > 0.23 AND 1 - tail - mid < 0.54 THEN 'leptokurtic'
             WHEN tail > 0.25 THEN 'too narrow' WHEN mid > 0.25 THEN 'too wide'
             WHEN bias < -0.05 THEN 'biased high' WHEN bias > 0.05 THEN 'biased low' ELSE 'close to uniform' END AS verdict FROM dg"""),
+    "adaptive_intervals": sql(ADAPTIVE.format(levels="[0.95::DOUBLE]"), """
+SELECT o.model, o.session_id, o.fold, o.seq, o.asset, o.event_id, o.actual, round(o.mean, 6) AS mean, round(o.sd, 6) AS sd, round(half, 6) AS half_width, hit AS covered,
+  round(used, 6) AS working_alpha, round(1.0 - missed / p, 6) AS running_coverage FROM ad JOIN ob o USING (model, session_id, p)"""),
+    "reliability_adaptive": sql(ADAPTIVE.format(levels="[" + ", ".join(f"{v!r}::DOUBLE" for v in iv.LEVELS) + "]"), """
+SELECT model, level, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM ad WHERE p > 0 GROUP BY model, level"""),
     "reliability_gaussian": sql(REL, "SELECT model, level, round(coverage, 6) AS coverage FROM rel"),
     "reliability_gap": sql(REL, "SELECT model, round(avg(abs(coverage - level)), 6) AS gap FROM rel GROUP BY model"),
 }
