@@ -143,6 +143,28 @@ clk AS (SELECT *, avg(e) OVER (PARTITION BY session_id, asset) AS me, sum(e) OVE
    row_number() OVER (PARTITION BY session_id, asset ORDER BY lap) AS k FROM eng),
 clock AS (SELECT *, CASE WHEN me > 0 THEN ce / me ELSE k END AS clock, ms + 0.081 * lap AS corrected FROM clk)
 """
+# heat, one recursion step per sample of a stint; a lap's carcass starts at the mean of the lap before
+HEAT = "RECURSIVE " + ENERGY.strip() + """,
+th AS MATERIALIZED (SELECT session_id, asset, lap, i, n_samples, t, sp, power, row_number() OVER (PARTITION BY session_id, asset ORDER BY lap, i) AS p,
+  lag(t) OVER (PARTITION BY session_id, asset, lap ORDER BY i) AS tp FROM dyn WHERE n_samples >= 12),
+ht(session_id, asset, p, s, b, start, n, peak, ss, sb, inside, stress, wear, rate) AS (
+  SELECT DISTINCT session_id, asset, 0::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, 0, NULL::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM th
+  UNION ALL
+  SELECT session_id, asset, p, s, b, start, CASE WHEN new THEN 1 ELSE n + 1 END, CASE WHEN new THEN s ELSE greatest(peak, s) END, CASE WHEN new THEN s ELSE ss + s END,
+    CASE WHEN new THEN b ELSE sb + b END, CASE WHEN new THEN 0 ELSE inside END + CASE WHEN o = 0 THEN 1 ELSE 0 END, CASE WHEN new THEN 0 ELSE stress END + o * o,
+    CASE WHEN new THEN 0 ELSE wear END + CASE WHEN i > 5 AND i <= n_samples - 4 THEN (1e-8 * (1 + 0.025 * o * o) * greatest(power, 0) + rate) / 2 * (t - tp) ELSE 0 END,
+    1e-8 * (1 + 0.025 * o * o) * greatest(power, 0)
+  FROM (SELECT *, greatest(0, 90 - s, s - 110) AS o FROM (
+    SELECT h.session_id, h.asset, x.p, x.i = 1 AS new, x.i, x.n_samples, x.power, x.t, x.tp, h.n, h.peak, h.ss, h.sb, h.inside, h.stress, h.wear, h.rate,
+      CASE WHEN x.i = 1 THEN coalesce(h.sb / nullif(h.n, 0), 92.0::DOUBLE) ELSE h.start END AS start,
+      CASE WHEN x.i = 1 THEN 100.0::DOUBLE ELSE h.s + (x.power - 55 * (h.s - h.b) - 2.4 * greatest(x.sp, 0) * (h.s - 25) - 30 * (h.s - 35)) / 12000 * least(greatest(x.t - x.tp, 0), 0.5) END AS s,
+      CASE WHEN x.i = 1 THEN coalesce(h.sb / nullif(h.n, 0), 92.0::DOUBLE) ELSE h.b + (55 * (h.s - h.b) - 8 * (h.b - 25)) / 48000 * least(greatest(x.t - x.tp, 0), 0.5) END AS b
+    FROM ht h JOIN th x ON x.session_id = h.session_id AND x.asset = h.asset AND x.p = h.p + 1))),
+heat AS (SELECT x.session_id, x.asset, x.lap, h.n, round(start, 6) AS start_bulk, round(peak, 6) AS peak_surface, round(ss / h.n, 6) AS mean_surface, round(sb / h.n, 6) AS mean_bulk,
+  round(inside / h.n, 6) AS in_window, round(stress / h.n, 6) AS stress, round(wear, 6) AS wear, round(b, 6) AS last_bulk,
+  CASE WHEN ss / h.n < 78 THEN 'underheated' WHEN ss / h.n < 90 THEN 'below window' WHEN ss / h.n > 122 THEN 'overheating' WHEN ss / h.n > 110 THEN 'above window' ELSE 'in window' END AS regime
+  FROM ht h JOIN th x USING (session_id, asset, p) WHERE x.i = x.n_samples)
+"""
 ASYM = DYN + f""",
 am AS (SELECT session_id, asset, lap, {', '.join(f'{_E(6, c)} AS {c}' for c in ('fl', 'fr', 'rl', 'rr'))},
   sum(curvature) FILTER (WHERE i > 6 AND i <= n_samples - 6) AS rot,
@@ -195,6 +217,12 @@ g AS (SELECT session_id, sqrt(a_lat ** 2 + a_long ** 2) / 9.81 AS g FROM dyn),
 r AS (SELECT session_id, g, row_number() OVER (PARTITION BY session_id ORDER BY g) AS r, count(*) OVER (PARTITION BY session_id) AS n FROM g)""", f"""
 SELECT session_id, ceil(g) + 0.5 AS "limit" FROM r WHERE r = floor(n * {_d(0.995)}) + 1"""),
     "energy_clock": sql(ENERGY, "SELECT session_id, asset, lap, round(e, 6) AS energy, round(clock, 6) AS clock FROM clock"),
+    "thermal_features": sql(HEAT, "SELECT * FROM heat"),
+    "lap_wear": sql(HEAT, """
+SELECT session_id, asset, lap, round(fl, 6) AS energy_FL, round(fr, 6) AS energy_FR, round(rl, 6) AS energy_RL, round(rr, 6) AS energy_RR,
+       round(pl, 6) AS peak_lateral_g, round(pb, 6) AS peak_longitudinal_g, round(ms, 6) AS mean_speed_kmh, round(dist, 6) AS distance_m, eng.n AS n_samples,
+       round(e, 6) AS energy, round((fl + fr) / nullif(e, 0), 6) AS front_share, round((fl + rl) / nullif(e, 0), 6) AS left_share, heat.* EXCLUDE (session_id, asset, lap, n)
+FROM eng JOIN heat USING (session_id, asset, lap)"""),
     "clock_verdict": sql(ENERGY + """,
 ct AS (SELECT CASE WHEN count(*) >= 4 THEN regr_r2(corrected, clock) - regr_r2(corrected, lap) END AS g, stddev_pop(e) / greatest(avg(e), 1e-9) AS cv FROM clock GROUP BY session_id, asset)""", """
 SELECT count(g) AS n_stints, count(*) FILTER (WHERE g > 0) AS energy_wins, round(avg(g), 6) AS mean_r2_gain, round(avg(cv), 6) AS mean_energy_cv,
