@@ -234,7 +234,7 @@ class Thermal:
     low, high = 90.0, 110.0
 
     def step(self, s, b, power, speed, dt):
-        ds = (power - self.surface_to_bulk * (s - b) - self.convection_per_speed * max(speed, 0.0) * (s - self.ambient)
+        ds = (power - self.surface_to_bulk * (s - b) - self.convection_per_speed * np.maximum(speed, 0.0) * (s - self.ambient)
               - self.conduction_to_track * (s - self.track)) / self.surface_capacity
         db = (self.surface_to_bulk * (s - b) - self.bulk_convection * (b - self.ambient)) / self.bulk_capacity
         return s + ds * dt, b + db * dt
@@ -244,30 +244,51 @@ _EXPOSURE = (
     "session_id long, asset long, lap long, n long, start_bulk double, peak_surface double, mean_surface double, mean_bulk double, "
     "in_window double, stress double, wear double, last_bulk double"
 )
+#: Samples of whole laps that are stepped together.
+TOGETHER = 200_000
 
 
-def _walk(frames, key, model, start_bulk, edge):
-    """Step one lap's samples in order, holding only running sums."""
-    s, b = (model.low + model.high) / 2, start_bulk
-    t_prev = rate_prev = None
-    n = i = inside = 0
-    peak, sum_s, sum_b, stress, wear = -np.inf, 0.0, 0.0, 0.0, 0.0
+def _whole_laps(frames, keys):
+    """Frames of about TOGETHER rows that end between laps; rows come sorted by lap and sample."""
+    held, rows = [], 0
     for pdf in frames:
-        for row in pdf.itertuples(index=False):
-            i += 1
-            if t_prev is not None:
-                s, b = model.step(s, b, row.power, row.speed, min(max(row.t - t_prev, 0.0), 0.5))
-            out = max(0.0, model.low - s, s - model.high)
-            n += 1
-            peak = max(peak, s)
-            sum_s, sum_b, stress = sum_s + s, sum_b + b, stress + out * out
-            inside += out == 0.0
-            rate = 1e-8 * row.factor * (1 + 0.025 * out * out) * max(row.power, 0.0)
-            if edge + 1 < i <= row.n_samples - edge:
-                wear += (rate + rate_prev) / 2 * (row.t - t_prev)
-            t_prev, rate_prev = row.t, rate
-    return {"session_id": key[0], "asset": key[1], "lap": key[2], "n": n, "start_bulk": start_bulk, "peak_surface": peak,
-            "mean_surface": sum_s / n, "mean_bulk": sum_b / n, "in_window": inside / n, "stress": stress / n, "wear": wear, "last_bulk": b}
+        held.append(pdf)
+        rows += len(pdf)
+        if rows >= TOGETHER:
+            both = pd.concat(held, ignore_index=True)
+            last = (both[keys] == both[keys].iloc[-1]).all(axis=1)
+            cut = int((~last).sum())
+            if cut:
+                yield both.iloc[:cut]
+                both = both.iloc[cut:]
+            held, rows = [both], len(both)
+    if rows:
+        yield pd.concat(held, ignore_index=True)
+
+
+class _Laps:
+    """Whole laps side by side: step k of all laps that have one is a vector; longest laps first."""
+
+    def __init__(self, pdf, keys):
+        pdf = pdf.reset_index(drop=True)
+        change = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
+        first = np.flatnonzero(change)
+        size = np.diff(np.append(first, len(pdf)))
+        order = np.argsort(-size, kind="stable")
+        self.first, self.size = first[order], size[order]
+        self.keys = pdf.loc[self.first, keys].reset_index(drop=True)
+        self.at = lambda name: pdf.loc[self.first, name].to_numpy(float)
+        self.column = {c: pdf[c].to_numpy(float) for c in ("t", "power", "speed", "factor")}
+        if not (np.diff(pdf["i"].to_numpy(float))[~change[1:]] > 0).all():
+            raise ValueError("samples are not in order")
+
+    def steps(self):
+        """(laps with a k-th sample, k, that sample's columns and the time since the one before)."""
+        for k in range(int(self.size[0])):
+            m = int(np.searchsorted(-self.size, -k, side="left"))
+            rows = self.first[:m] + k
+            now = {c: v[rows] for c, v in self.column.items()}
+            yield m, k, now, (now["t"] - self.column["t"][rows - 1] if k else None)
 
 
 def thermal_features(dyn: DataFrame, stint=("session_id", "asset"), model: Thermal | None = None, edge=4, min_n=12) -> DataFrame:
@@ -276,31 +297,31 @@ def thermal_features(dyn: DataFrame, stint=("session_id", "asset"), model: Therm
     The mean carcass temperature of a lap depends on its start only through a
     straight line, so laps are walked twice in parallel (once from 0 and 1 to
     find that line, once for real) and the carry along a stint is a fold over
-    one (slope, offset) pair per lap.
+    one (slope, offset) pair per lap. A walk steps all laps of a batch together.
     """
     model = model or Thermal()
     keys = list(LAP)
     rows = dyn.where(F.col("n_samples") >= min_n).select(
         *keys, "i", "n_samples", "t", "speed", "power", ve.mode_factor(F.col("mode") if "mode" in dyn.columns else F.lit("")).alias("factor")
     )
-    ordered = spread(rows, *keys).sortWithinPartitions(*keys, "i")
+    held = (model.low + model.high) / 2
+
+    def line(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_laps(frames, keys):
+            laps = _Laps(pdf, keys)
+            n = len(laps.size)
+            s, b = np.full((2, n), held), np.repeat([[0.0], [1.0]], n, axis=1)
+            total = np.zeros((2, n))
+            for m, k, now, gap in laps.steps():
+                if k:
+                    s[:, :m], b[:, :m] = model.step(s[:, :m], b[:, :m], now["power"], now["speed"], np.clip(gap, 0.0, 0.5))
+                total[:, :m] += b[:, :m]
+            mean = total / laps.size
+            yield laps.keys.assign(offset=mean[0], slope=mean[1] - mean[0])
 
-    def line(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = (model.low + model.high) / 2
-        state = [[held, 0.0], [held, 1.0]]
-        sums, n, t_prev = [0.0, 0.0], 0, None
-        for pdf in frames:
-            for row in pdf.itertuples(index=False):
-                for k in (0, 1):
-                    if t_prev is not None:
-                        state[k][0], state[k][1] = model.step(*state[k], row.power, row.speed, min(max(row.t - t_prev, 0.0), 0.5))
-                    sums[k] += state[k][1]
-                t_prev = row.t
-                n += 1
-        yield pd.DataFrame([{"session_id": key[0], "asset": key[1], "lap": key[2], "offset": sums[0] / n, "slope": (sums[1] - sums[0]) / n}])
-
-    lines = ordered.groupBy(*keys).applyInPandas(line, "session_id long, asset long, lap long, offset double, slope double")
-    first = (model.low + model.high) / 2 - 8.0
+    ordered = spread(rows, *keys).sortWithinPartitions(*keys, "i")
+    lines = ordered.mapInPandas(line, "session_id long, asset long, lap long, offset double, slope double")
+    first = held - 8.0
     # laps of one stint: tens of rows
     chain = lines.groupBy(*stint).agg(F.array_sort(F.collect_list(F.struct("lap", "offset", "slope"))).alias("_l"))
     walked = F.aggregate(
@@ -314,14 +335,33 @@ def thermal_features(dyn: DataFrame, stint=("session_id", "asset"), model: Therm
     )
     starts = chain.select(*stint, F.explode(walked).alias("_s")).select(*stint, "_s.lap", F.col("_s.start").alias("start_bulk"))
 
-    def expose(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import itertools
-
-        head = next(frames)
-        yield pd.DataFrame([_walk(itertools.chain([head], frames), key, model, float(head["start_bulk"].iloc[0]), edge)])
+    def expose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_laps(frames, keys):
+            laps = _Laps(pdf, keys)
+            n = len(laps.size)
+            start, expected = laps.at("start_bulk"), laps.at("n_samples")
+            s, b, rate = np.full(n, held), start.copy(), np.zeros(n)
+            peak, sum_s, sum_b, inside, stress, wear = np.full(n, -np.inf), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+            for m, k, now, gap in laps.steps():
+                if k:
+                    s[:m], b[:m] = model.step(s[:m], b[:m], now["power"], now["speed"], np.clip(gap, 0.0, 0.5))
+                out = np.maximum(0.0, np.maximum(model.low - s[:m], s[:m] - model.high))
+                peak[:m] = np.maximum(peak[:m], s[:m])
+                sum_s[:m] += s[:m]
+                sum_b[:m] += b[:m]
+                inside[:m] += out == 0.0
+                stress[:m] += out * out
+                fresh = 1e-8 * now["factor"] * (1 + 0.025 * out * out) * np.maximum(now["power"], 0.0)
+                if k > edge:
+                    wear[:m] += np.where(k + 1 <= expected[:m] - edge, (fresh + rate[:m]) / 2 * gap, 0.0)
+                rate[:m] = fresh
+            yield laps.keys.assign(
+                n=laps.size, start_bulk=start, peak_surface=peak, mean_surface=sum_s / laps.size, mean_bulk=sum_b / laps.size,
+                in_window=inside / laps.size, stress=stress / laps.size, wear=wear, last_bulk=b,
+            )
 
     seeded = spread(rows.join(starts, keys), *keys).sortWithinPartitions(*keys, "i")
-    out = seeded.groupBy(*keys).applyInPandas(expose, _EXPOSURE)
+    out = seeded.mapInPandas(expose, _EXPOSURE)
     mean = F.col("mean_surface")
     return out.withColumn(
         "regime",
