@@ -75,7 +75,7 @@ def ridge_forecast(spark, d):
 
 def ridge_rates(spark, d):
     laps, folds = laps_and_folds(spark, d, interference=True)
-    return rounded_all(fo.ridge_rates(fo.ridge_fit(fo.in_folds(laps, folds)[0])))
+    return rounded_all(fo.ridge_rates(fo.ridge_fit(laps, folds)))
 
 
 def boosted_forecast(spark, d):

@@ -17,16 +17,39 @@ from wearframe.operators.staging import spread
 STREAM = ("session_id", "fold", "seq", "asset", "event_id", "actual", "mean", "sd")
 
 
+def _with_edges(laps: DataFrame, folds: DataFrame) -> DataFrame:
+    """Laps with their session's handful of edges as one array, earliest cut first."""
+    edges = folds.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("cut", "fold", "last"))).alias("_folds"))
+    return laps.join(edges, "session_id")
+
+
+def held_out(laps: DataFrame, folds: DataFrame) -> DataFrame:
+    """Held-out rows with their fold; test spans do not overlap, so a row has one fold at most."""
+    mine = F.get(F.filter("_folds", lambda f: (F.col("seq") > f["cut"]) & (F.col("seq") <= f["last"])), F.lit(0))
+    rows = _with_edges(laps, folds).withColumn("_f", mine).where("_f IS NOT NULL")
+    return rows.select("*", F.col("_f.fold").alias("fold")).drop("_f", "_folds")
+
+
+def train_sums(laps: DataFrame, folds: DataFrame, keys, partial, total) -> DataFrame:
+    """Aggregates of every fold's training rows per (session, fold, keys).
+
+    Training sets are nested: rows are summed once per span between two cuts
+    (``partial``), and only those few sums are repeated for the folds that
+    contain the span and combined (``total``).
+    """
+    span = F.size(F.filter("_folds", lambda f: f["cut"] < F.col("seq")))
+    rows = _with_edges(laps, folds).withColumn("_span", span).where(F.col("_span") < F.size("_folds"))
+    cells = rows.groupBy("session_id", "_span", *keys).agg(F.first("_folds").alias("_folds"), *partial)
+    later = F.explode(F.slice("_folds", F.col("_span") + 1, F.size("_folds"))).alias("_f")
+    return cells.select("*", later).withColumn("fold", F.col("_f.fold")).groupBy("session_id", "fold", *keys).agg(*total)
+
+
 def in_folds(laps: DataFrame, folds: DataFrame):
-    """(train, test) rows tagged with their fold. A session's handful of edges travels as one array."""
-    edges = folds.groupBy("session_id").agg(
-        F.collect_list(F.struct("fold", "cut", "last", "n_train", "n_test")).alias("_folds")
-    )
-    rows = laps.join(edges, "session_id").withColumn("_f", F.explode("_folds")).drop("_folds")
-    rows = rows.select("*", F.col("_f.fold").alias("fold"))
-    train = rows.where(F.col("seq") <= F.col("_f.cut"))
-    test = rows.where((F.col("seq") > F.col("_f.cut")) & (F.col("seq") <= F.col("_f.last")))
-    return train.drop("_f"), test.drop("_f")
+    """(train, test) rows tagged with their fold, for rungs that need the training rows themselves."""
+    rows = _with_edges(laps, folds)
+    later = F.filter("_folds", lambda f: f["cut"] >= F.col("seq"))
+    train = rows.withColumn("_f", F.explode(later)).select("*", F.col("_f.fold").alias("fold")).drop("_f", "_folds")
+    return train, held_out(laps, folds)
 
 
 def _stream(df, model, mean, sd):
@@ -43,10 +66,18 @@ def line_rung(laps: DataFrame, folds: DataFrame, model="naive", load=0.0) -> Dat
     ``load`` is the known gain per unit of load used, added back before the
     fit and taken off the forecast.
     """
-    train, test = in_folds(laps, folds)
-    fit = rates.ols_by_mode(
-        train.withColumn("perf", F.col("perf") + F.lit(load) * F.col("elapsed")), ("session_id", "fold")
-    )
+    y = F.col("perf") + F.lit(load) * F.col("elapsed")
+    sum_of = lambda x, name: F.sum(x).alias(name)
+    n, mx, my = F.sum("_n"), F.sum("_x") / F.sum("_n"), F.sum("_y") / F.sum("_n")
+    between = lambda a, b: F.sum(F.col(a) * F.col(b) / F.col("_n")) - F.sum(a) * F.sum(b) / F.sum("_n")
+    sums = train_sums(
+        laps.withColumn("_v", y), folds, ["mode"],
+        [F.count("_v").alias("_n"), sum_of("age", "_x"), sum_of("_v", "_y"), F.regr_sxx("_v", "age").alias("_xx"), F.regr_sxy("_v", "age").alias("_xy"), F.regr_syy("_v", "age").alias("_yy")],
+        [n.alias("n"), mx.alias("_mx"), my.alias("mean_y"), (F.sum("_xx") + between("_x", "_x")).alias("_sxx"), (F.sum("_xy") + between("_x", "_y")).alias("_sxy"),
+         (F.sum("_yy") + between("_y", "_y")).alias("_syy")],
+    ).withColumn("_b", F.try_divide("_sxy", "_sxx")).withColumn("_a", F.col("mean_y") - F.col("_b") * F.col("_mx"))
+    fit = rates.lines(sums, ("session_id", "fold"))
+    test = held_out(laps, folds)
     # one value per mode: a few rows per fold
     fallback = fit.groupBy("session_id", "fold").agg(
         F.median("intercept").alias("_any"), F.first("sd").alias("_sd")
@@ -119,20 +150,22 @@ def _cross(row, u, v):
     return getattr(row, name)
 
 
-def ridge_fit(train: DataFrame, ridge=1.0) -> DataFrame:
+def ridge_fit(laps: DataFrame, folds: DataFrame, ridge=1.0) -> DataFrame:
     """Pooled regression per (session, fold): asset levels, mode levels and slopes, interference, progress, load.
 
     The cross products are plain sums per (session, fold, asset, mode), so they
-    combine before the shuffle; only those few sums reach the solver.
+    combine before the shuffle; only those few sums reach the solver. Every
+    fold trains from the session's first seq, which is the origin of progress.
     """
-    origin = train.groupBy("session_id", "fold").agg(F.min("seq").cast("double").alias("origin"))
-    rows = train.join(origin, ["session_id", "fold"]).select(
-        "session_id", "fold", "origin", "asset", "mode", F.lit(1.0).alias("one"), "age",
+    origin = laps.groupBy("session_id").agg(F.min("seq").cast("double").alias("origin"))
+    rows = laps.join(origin, "session_id").select(
+        "session_id", "seq", "origin", "asset", "mode", F.lit(1.0).alias("one"), "age",
         F.coalesce("interference", F.lit(0.0)).alias("interference"),
         (F.col("seq") - F.col("origin")).alias("progress"), F.col("elapsed").alias("load"), F.col("perf").alias("y"),
     )
-    sums = rows.groupBy("session_id", "fold", "asset", "mode").agg(
-        F.first("origin").alias("origin"), *[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in _PAIRS]
+    sums = train_sums(
+        rows, folds, ["asset", "mode"], [F.first("origin").alias("origin"), *[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in _PAIRS]],
+        [F.first("origin").alias("origin"), *[F.sum(f"{a}_{b}").alias(f"{a}_{b}") for a, b in _PAIRS]],
     )
 
     def solve(key, pdf):
@@ -143,8 +176,8 @@ def ridge_fit(train: DataFrame, ridge=1.0) -> DataFrame:
 
 def ridge_rung(laps: DataFrame, folds: DataFrame, ridge=1.0) -> DataFrame:
     """Forecasts of the pooled regression; an unseen asset or mode takes the reference level."""
-    train, test = in_folds(laps, folds)
-    fit = ridge_fit(train, ridge).withColumnsRenamed({
+    test = held_out(laps, folds)
+    fit = ridge_fit(laps, folds, ridge).withColumnsRenamed({
         "interference": "_b_i", "progress": "_b_p", "load": "_b_l"
     })
     joined = test.join(fit, ["session_id", "fold"])

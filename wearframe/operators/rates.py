@@ -63,6 +63,11 @@ def ols_by_mode(laps: DataFrame, by=("session_id",), y="perf", x="age") -> DataF
         F.regr_syy(y, x).alias("_syy"),
         F.regr_sxy(y, x).alias("_sxy"),
     )
+    return lines(sums, by)
+
+
+def lines(sums: DataFrame, by) -> DataFrame:
+    """Lines from one row of moments per (by, mode): n, mean_y, _a, _b, _sxx, _syy, _sxy."""
     usable = (F.col("n") >= 3) & (F.col("_sxx") > 0)
     rss = F.greatest(F.col("_syy") - F.try_divide(F.col("_sxy") * F.col("_sxy"), "_sxx"), F.lit(0.0))
     per_mode = sums.select(
