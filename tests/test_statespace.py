@@ -79,8 +79,10 @@ def _field(assets, steps, seed=1):
     return pd.DataFrame(rows, columns=["session_id", "asset", "seq", "run_id", "age", "elapsed", "perf", "mode", "interference", "event_id"])
 
 
+@pytest.mark.parametrize("kept", [1, 128 << 20])
 @pytest.mark.parametrize("assets", [24, 26, 60])
-def test_one_model_whatever_the_field(assets):
+def test_one_model_whatever_the_field(assets, kept, monkeypatch):
+    monkeypatch.setattr(ss, "KEPT_BYTES", kept)
     pdf, hyper, priors = _field(assets, 4), ss.Hyper(), ss.Priors()
     lay, loglik, mean, cov = _dense(pdf, hyper, priors)
     out = ss._fit_rows((0, "default"), lay, hyper, priors)
@@ -93,7 +95,9 @@ def test_one_model_whatever_the_field(assets):
     assert all(modes[m] == pytest.approx(mean[-1][i], abs=1e-6) for m, i in lay.mode_at.items())
 
 
-def test_blocks_change_nothing_beyond_2000_steps():
+@pytest.mark.parametrize("kept", [1, 128 << 20])
+def test_blocks_change_nothing_beyond_2000_steps(kept, monkeypatch):
+    monkeypatch.setattr(ss, "KEPT_BYTES", kept)
     pdf, hyper, priors = _field(1, 2100), ss.Hyper(), ss.Priors()
     lay = ss.Layout(pdf)
     out = ss._fit_rows((0, "default"), lay, hyper, priors)

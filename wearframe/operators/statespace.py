@@ -8,9 +8,9 @@ to zero and redraws the rate around the mode's baseline. Constants are states
 without process noise, so their priors carry through exactly.
 
 One fit is one (session, variant) group: one model per session at any size. The
-forward pass stores the state only at the start of each block of about sqrt(steps)
-steps; the backward pass runs a block forward again before it goes back through it,
-so memory grows with the root of a session's length.
+forward pass stores the state only at the start of each block, and the backward pass
+runs a block forward again before it goes back through it. A block has what fits into
+a fixed memory, or sqrt(steps) steps if that is more; a session of one block runs once.
 """
 
 import math
@@ -68,6 +68,9 @@ BOUNDS = (
 
 FIT_KEYS = ("session_id", "variant")
 
+#: Memory for the covariances that one backward pass reads.
+KEPT_BYTES = 128 << 20
+
 
 class Layout:
     """Positions of the states and the step list of one group."""
@@ -254,7 +257,8 @@ _COLUMNS = [c.split()[0] for c in STATE_SCHEMA.split(", ")]
 
 def _fit_rows(key, lay: Layout, hyper: Hyper, priors: Priors):
     m, steps = len(lay.y), len(lay.by_step)
-    block = max(math.isqrt(steps), 1)
+    # as many steps as fit into the bound are kept; the result does not depend on how many
+    block = min(max(math.isqrt(steps), KEPT_BYTES // (16 * lay.n * lay.n), 1), steps)
     live_at = max(int((steps + 1) * 0.75) - 1, 1) - 1
     sd = lambda x: math.sqrt(max(x, 0.0))
     sds = lambda x: np.sqrt(np.maximum(x, 0.0))
@@ -273,10 +277,11 @@ def _fit_rows(key, lay: Layout, hyper: Hyper, priors: Priors):
         if step == live_at:
             known_live.update({name: (a[i], sd(P[i, i])) for name, i in lay.mode_at.items()})
 
-    loglik, resid, rvar, _ = run_filter(lay, hyper, priors, keep=False, visit=visit)
+    loglik, resid, rvar, kept = run_filter(lay, hyper, priors, keep=block == steps, visit=visit)
     later, last = None, None
     for first in range((steps - 1) // block * block, -1, -block):
-        *_, kept = run_filter(lay, hyper, priors, span=(first, min(first + block, steps)), state=starts[first])
+        if block < steps:
+            *_, kept = run_filter(lay, hyper, priors, span=(first, min(first + block, steps)), state=starts[first])
         carry = []
         for at, (mean, sel, P) in enumerate(run_smoother(lay, kept, first, later, carry)):
             idx = lay.by_step[first + at][0]
