@@ -277,3 +277,30 @@ def test_stop_cost_is_paid_and_regret_is_not_negative(spark):
     assert [k for k in base if k[0] == 2] == [(2, "Stay out")]  # no other mode to go to
     ch = spark.createDataFrame([(1, "Box now", "Stay out"), (1, "Stay out", "Box now")], "case_id long, recommended string, actual string")
     assert all(r.regret >= 0 for r in de.regret(de.outcomes(cases, opts), ch).collect())
+
+
+def test_depth_matched_fits_again_inside_the_window(spark):
+    rng = np.random.default_rng(4)
+    rows = [(s, m, side, float(a), 90 + (0.1 + 0.02 * s) * a + (0.004 * a * a if side else 0) + rng.normal(0, 0.05))
+            for s in range(3) for m in "AB" for side, deep in ((0, 12 + s), (1, 25 if m == "A" else 3)) for a in range(1, deep + 1) for _ in range(2)]
+    pdf = pd.DataFrame(rows, columns=["session_id", "mode", "race", "age", "perf"])
+    laps = spark.createDataFrame(pdf)
+    got = st.depth_matched(laps.where("race = 0"), laps.where("race = 1"), min_laps=6).toPandas().set_index(["session_id", "mode"])
+    # the races of mode B are too short for a window
+    assert sorted(got.index) == [(s, "A") for s in range(3)]
+    for s in range(3):
+        p, r = (pdf[(pdf.session_id == s) & (pdf["mode"] == "A") & (pdf.race == side)] for side in (0, 1))
+        window = min(np.percentile(r.age, 90), p.age.max())
+        error = lambda a, b: np.polyfit(a.age, a.perf, 1)[0] - np.polyfit(b.age, b.perf, 1)[0]
+        row = got.loc[(s, "A")]
+        assert row.baseline_error == pytest.approx(error(p, r)) and row.depth_gap == pytest.approx(p.age.max() - np.percentile(r.age, 90))
+        assert row.matched_error == pytest.approx(error(p[p.age <= window], r[r.age <= window]))
+
+
+def test_depth_summary_query_uses_the_refit(spark, data):
+    from wearframe.catalog import statistics as cs
+
+    rows = st.depth_matched(*cs._sides_of(ad.laps_from_events(spark, data)), min_laps=30).toPandas()
+    got = cs.depth_summary(spark, data).first()
+    assert got.n_comparisons == len(rows) > 0
+    assert got.matched_bias == pytest.approx(rows.matched_error.mean(), abs=1e-5) and got.mean_depth_gap == pytest.approx(rows.depth_gap.mean(), abs=1e-5)

@@ -160,12 +160,18 @@ def trait_summary(spark, d):
     return rounded_all(st.trait_summary(deviations(spark, d), min_sessions=3))
 
 
+def _sides_of(laps):
+    """Laps of both sides of the comparison."""
+    return laps.where("week < 1 AND NOT (session_id = 3 AND mode = 'view')"), laps.where("week >= 1 AND NOT (session_id = 4 AND mode = 'click')")
+
+
 def _sides(spark, d):
     laps = ad.laps_from_events(spark, d)
-    line = lambda part: rates.ols_by_mode(laps.where(part)).select(
+    practice, race = _sides_of(laps)
+    line = lambda side: rates.ols_by_mode(side).select(
         F.col("session_id").alias("event"), "mode", F.col("slope").alias("rate"), F.col("slope_se").alias("rate_sd"), F.col("n").alias("n_laps"))
     naive = rates.naive_rates(laps.where("week < 1")).select(F.col("session_id").alias("event"), "mode", F.col("rate").alias("naive"))
-    return line("week < 1 AND NOT (session_id = 3 AND mode = 'view')").join(naive, ["event", "mode"], "left"), line("week >= 1 AND NOT (session_id = 4 AND mode = 'click')")
+    return line(practice).join(naive, ["event", "mode"], "left"), line(race)
 
 
 def compared(spark, d):
@@ -215,10 +221,7 @@ def event_validation(spark, d):
 
 
 def depth_summary(spark, d):
-    rows = compared(spark, d).where("skipped IS NULL").select(
-        F.col("error").alias("baseline_error"), (F.col("error") * 0.7 + F.col("naive_error") * 0.2).alias("matched_error"),
-        (F.col("race_laps") - F.col("practice_laps")).cast("double").alias("depth_gap"))
-    return rounded_all(st.depth_summary(stage(rows)))
+    return rounded_all(st.depth_summary(stage(st.depth_matched(*_sides_of(stage(ad.laps_from_events(spark, d))), min_laps=30))))
 
 
 def bias_table(spark, d):

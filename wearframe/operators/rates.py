@@ -226,14 +226,18 @@ def min_evidence(df: DataFrame, keys, n: int, spread: str | None = None, min_spr
     return df.join(good.select(*keys), keys, "left_semi")
 
 
+def depth_cut(practice: DataFrame, race: DataFrame, keys=("session_id", "mode"), floor=4.0, q=0.9) -> DataFrame:
+    """How deep both sides went per mode: practice_depth (oldest age), race_depth (q-th age) and depth, the lesser of the two, at least ``floor``."""
+    keys = list(keys)
+    deep = slices.exact_percentiles(race, keys, "age", {"race_depth": q}).select(*keys, "race_depth")
+    seen = practice.groupBy(*keys).agg(F.max("age").alias("practice_depth"))
+    return deep.join(seen, keys).withColumn("depth", F.least("race_depth", "practice_depth")).where(F.col("depth") >= floor)
+
+
 def depth_window(practice: DataFrame, race: DataFrame, keys=("session_id", "mode"), floor=4.0, q=0.9) -> DataFrame:
     """Race laps no older than practice went: age <= min(q-th race age, oldest practice age) per mode."""
     keys = list(keys)
-    deep = slices.exact_percentiles(race, keys, "age", {"_race": q}).select(*keys, "_race")
-    seen = practice.groupBy(*keys).agg(F.max("age").alias("_practice"))
-    cut = deep.join(seen, keys).select(*keys, F.least("_race", "_practice").alias("depth")).where(
-        F.col("depth") >= floor
-    )
+    cut = depth_cut(practice, race, keys, floor, q).select(*keys, "depth")
     return race.join(cut, keys).where(F.col("age") <= F.col("depth"))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wearframe.functions import gaussian
-from wearframe.operators import slices
+from wearframe.operators import rates, slices
+from wearframe.operators.staging import stage
 
 
 def _keyed(df, by):
@@ -366,6 +367,28 @@ def transfer_overall(compared: DataFrame, event="event") -> DataFrame:
     return _transfer(used.groupBy()).withColumn("n_events", used.agg(F.count_distinct(event)).scalar())
 
 
+def depth_matched(practice: DataFrame, race: DataFrame, min_laps=8, keys=("session_id", "mode")) -> DataFrame:
+    """Errors of the rates as fitted and of rates fitted again inside the age window both sides share: keys,
+    baseline_error, matched_error, depth_gap (practice depth less race depth).
+
+    A mode without a window, or with a side that has no slope inside it, is left out.
+    """
+    keys = list(keys)
+    cut = stage(rates.depth_cut(practice, race, keys))
+    inside = lambda laps: laps.join(cut.select(*keys, "depth"), keys).where(F.col("age") <= F.col("depth"))
+
+    def error(p, r, least, name):
+        fit = lambda laps: rates.ols_by_mode(laps, keys[:-1]).select(
+            *keys, F.col("slope").alias("rate"), F.col("slope_se").alias("rate_sd"), F.col("n").alias("n_laps"))
+        both = compare_rates(fit(p), fit(r), keys[:-1], min_laps=least).where(
+            "skipped IS NULL AND predicted_sd IS NOT NULL AND actual_sd IS NOT NULL")
+        return both.select(*keys, F.col("error").alias(name))
+
+    return error(practice, race, min_laps, "baseline_error").join(
+        error(inside(practice), inside(race), 3, "matched_error"), keys
+    ).join(cut.select(*keys, (F.col("practice_depth") - F.col("race_depth")).alias("depth_gap")), keys)
+
+
 def depth_summary(rows: DataFrame) -> DataFrame:
     """Depth-matched against baseline errors: biases, absolute errors, changes, tests.
 
