@@ -195,6 +195,27 @@ def test_search_equals_full_scoring(spark):
     assert got[got.query_id == 1].sort_values("position").iloc[0].passage_id == 3
 
 
+def test_search_keeps_queries_without_vector(spark):
+    _, p, q = _fixture(spark)
+    p = p.unionByName(spark.createDataFrame([(8, "slick 1.5 and c-3 used", "h", "s", "doc"), (9, "1.5 1.5", "h", "s", "doc")], p.schema))
+    bare = spark.createDataFrame([(7, "1.5"), (8, "c-3")], "query_id long, query string")
+    for asked in (bare, q.unionByName(bare)):
+        got = se.search(p, asked, k=3, components=5).toPandas()
+        mine = got[got.query_id >= 7]
+        assert sorted(zip(mine.query_id, mine.passage_id)) == [(7, 8), (7, 9), (8, 8)]
+        assert mine.semantic_rank.isna().all() and np.allclose(mine.score, 1 / (60 + mine.lexical_rank))
+        assert set(got.query_id) == {r.query_id for r in asked.collect()}
+
+
+def test_search_blocks_do_not_matter(spark, monkeypatch):
+    _, p, q = _fixture(spark)
+    run = lambda: sorted(map(tuple, se.search(p, q, k=4, components=5).select("query_id", "position", "passage_id", "lexical_rank", "semantic_rank").collect()))
+    whole = run()
+    monkeypatch.setattr(se, "_QUERY_BLOCK", 1)
+    monkeypatch.setattr(se, "_PASSAGE_CHUNK", 2)
+    assert run() == whole and len(whole) >= 6
+
+
 def test_chunker(spark):
     words = " ".join(f"w{i}" for i in range(20))
     doc = f"# First **part**\n{words}\n```\nskip this code entirely please now ok\n```\nshort line\n\n## Second\n| a | [b](http://x) |\n|---|---|\n{words}\n"
