@@ -251,3 +251,8 @@ def test_estimate_trusts_the_reliable_labeler():
     _, table = personal.estimate(patterns, times.astype(float))
     right = [(table[1, i, 2] + table[0, i, 0]) / 2 for i in range(3)]
     assert right[0] > 0.85 and right[1] > 0.8 and right[2] < 0.75
+
+
+def test_upper_case_spelled_addresses_are_candidates():
+    for text in ("JOE (AT) HOST (DOT) ORG", "joe (at) host (dot) org"):
+        assert [(c["kind"], c["start"], c["end"], c["base"]) for c in personal.candidates(text)] == [("email", 0, len(text), False)]

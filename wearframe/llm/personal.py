@@ -145,7 +145,7 @@ def candidates(text: str | None) -> list[dict]:
     if has_digit:
         loose += [(m.start(), m.end(), "phone") for m in LOOSE_PHONE.finditer(text) if len(digits_of(m[0])) >= 9]
         loose += [(m.start(), m.end(), "secret") for m in TOKEN.finditer(text) if DIGIT.search(m[0]) and any(c.isalpha() for c in m[0])]
-    if "at" in text and ("(" in text or "[" in text):
+    if ("at" in text or "AT" in text) and ("(" in text or "[" in text):
         loose += [(m.start(), m.end(), "email") for m in SPELLED_EMAIL.finditer(text)]
     # base spans may overlap each other; their union is a sorted list of stretches
     stretches: list[list[int]] = []
