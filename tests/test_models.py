@@ -325,3 +325,23 @@ def test_depth_summary_query_uses_the_refit(spark, data):
     got = cs.depth_summary(spark, data).first()
     assert got.n_comparisons == len(rows) > 0
     assert got.matched_bias == pytest.approx(rows.matched_error.mean(), abs=1e-5) and got.mean_depth_gap == pytest.approx(rows.depth_gap.mean(), abs=1e-5)
+
+
+def test_boosting_runs_as_many_rounds_as_the_reference(monkeypatch):
+    import inspect
+
+    from wearframe.catalog import model
+
+    assert {inspect.signature(f).parameters["trees"].default for f in (fo.boosted_rung, fo.boosted_fold)} == {200}
+    rungs = {}
+    monkeypatch.setattr(model, "_laps", lambda *a: None)
+    monkeypatch.setattr(model.windows, "rolling_folds", lambda *a: None)
+
+    def seen(laps, folds, named):
+        rungs.update(named)
+        raise InterruptedError
+
+    monkeypatch.setattr(fo, "evaluate", seen)
+    with pytest.raises(InterruptedError):
+        model.full_ladder(None, None)
+    assert rungs["boosted"] is fo.boosted_rung and set(rungs) == {*fo.RUNGS, "boosted", "statespace"}

@@ -75,7 +75,7 @@ def statespace_forecast(spark, d):
 def full_ladder(spark, d):
     laps = _laps(spark, d)
     folds = windows.rolling_folds(laps)
-    stream = stage(fo.evaluate(laps, folds, {**fo.RUNGS, "statespace": lambda a, b: ss.forecast_rung(a, b)}))
+    stream = stage(fo.evaluate(laps, folds, {**fo.RUNGS, "boosted": fo.boosted_rung, "statespace": ss.forecast_rung}))
     return rounded_all(fo.ladder(fo.model_scores(fo.fold_scores(stream), stream)))
 
 

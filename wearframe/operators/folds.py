@@ -205,7 +205,7 @@ def ridge_rates(fit: DataFrame) -> DataFrame:
     )
 
 
-def boosted_rung(laps: DataFrame, folds: DataFrame, trees=20, depth=4) -> DataFrame:
+def boosted_rung(laps: DataFrame, folds: DataFrame, trees=200, depth=4) -> DataFrame:
     """Gradient-boosted trees, one model per fold, pooled over sessions."""
     from functools import reduce
 
@@ -213,7 +213,7 @@ def boosted_rung(laps: DataFrame, folds: DataFrame, trees=20, depth=4) -> DataFr
     return reduce(DataFrame.unionByName, [boosted_fold(laps, folds, k, trees, depth) for k in numbers])
 
 
-def boosted_fold(laps: DataFrame, folds: DataFrame, fold: int, trees=20, depth=4) -> DataFrame:
+def boosted_fold(laps: DataFrame, folds: DataFrame, fold: int, trees=200, depth=4) -> DataFrame:
     """Gradient-boosted trees for one fold, pooled over sessions.
 
     The spread is half the distance between the 16th and 84th percentile of the
