@@ -3,7 +3,7 @@
 SentencePiece marks every space with U+2581, and no piece of the vocabulary has that mark behind another character, so merges never cross the
 start of a marked word: a text has as many tokens as its space-separated pre-tokens together. Frequent pre-tokens (from a bounded sample of documents)
 are encoded once and their lengths broadcast as a small hash table; others are encoded in batches and remembered in a bounded cache of the worker.
-No pre-token of the corpus is shuffled. What the sample holds affects speed only.
+Only pre-tokens of the sample are shuffled, to be counted; no others are. What the sample holds affects speed only.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ MARK = "▁"
 
 
 def frequent_pretokens(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS, table: int = TABLE) -> list[str]:
-    """The most frequent pre-tokens of a random sample of about `sample_docs` documents; they are counted where they lie."""
+    """The most frequent pre-tokens of a random sample of about `sample_docs` documents; these pre-tokens are shuffled by value and sorted."""
     share = min(1.0, sample_docs / max(docs.count(), 1))
     sample = docs.select(F.col(text_col).alias("t")).filter(F.rand(seed=7) < share)
     counted = sample.select(F.explode(F.split("t", " ")).alias("w")).filter(F.length("w").between(1, LONGEST)).groupBy("w").count()
