@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearframe.llm import chat, decontaminate, exact_dedup, language, mixing, personal, sharding, simhash, tokens, toxicity
+from wearframe.llm import chat, decontaminate, exact_dedup, language, mixing, personal, repair, sharding, simhash, tokens, toxicity
 from wearframe.llm.common import staged, words_in
 
 
@@ -85,10 +85,14 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", *counts, F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing, "op2_exact_dedup": op2_exact_dedup, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding,
     "op5_language": op5_language, "op6_token_counts": op6_token_counts, "op7_toxicity": op7_toxicity, "op8_decontamination": op8_decontamination, "op9_chat_format": op9_chat_format,
-    "op10_personal_data": op10_personal_data,
+    "op10_personal_data": op10_personal_data, "op13_repair": op13_repair,
 }
 
 OP1_SQL = r"""
