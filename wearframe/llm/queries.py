@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearframe.llm import chat, decontaminate, exact_dedup, language, mixing, personal, repair, sharding, simhash, tokens, toxicity
+from wearframe.llm import chat, decontaminate, exact_dedup, language, mixing, neighbours, personal, repair, resampling, sharding, simhash, tokens, toxicity
 from wearframe.llm.common import staged, words_in
 
 
@@ -85,6 +85,15 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", *counts, F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_damaged(table(spark, sf_dir, "conversations"))
 
@@ -92,7 +101,7 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing, "op2_exact_dedup": op2_exact_dedup, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding,
     "op5_language": op5_language, "op6_token_counts": op6_token_counts, "op7_toxicity": op7_toxicity, "op8_decontamination": op8_decontamination, "op9_chat_format": op9_chat_format,
-    "op10_personal_data": op10_personal_data, "op13_repair": op13_repair,
+    "op10_personal_data": op10_personal_data, "op11_neighbours": op11_neighbours, "op12_resampling": op12_resampling, "op13_repair": op13_repair,
 }
 
 OP1_SQL = r"""

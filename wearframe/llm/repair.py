@@ -25,6 +25,8 @@ from wearframe.llm.common import staged
 
 #: Rows of a cell: 2 to this power.
 CELL_BITS = 12
+#: Tables of short cells that a worker remembers.
+KNOWN = 1 << 16
 #: What the output ends with: nothing, a system row, a user row, an assistant row.
 NOTHING, SYSTEM, USER, ASSISTANT = range(4)
 STATES = range(4)
@@ -175,17 +177,26 @@ def parse_rows(spec: str) -> list[tuple[str, str, int]]:
     return [(x[0], x[1], int(x[2:])) for x in spec.split(",")]
 
 
+def written_table(spec: str) -> str:
+    rows = []
+    for initial, fault, copies in parse_rows(spec):
+        rows.append((initial, fault))
+        rows += [(initial, "b" if fault == "b" else "d")] * (copies - 1)
+    table = cell_table(rows)
+    return ",".join(f"{q}{e}{table[q][e][0]}:{table[q][e][1]}" for q in STATES for e in STATES if table[q][e])
+
+
 @arrow_udf(T.StringType())
 def cell_tables(specs: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    # short conversations look alike; only those are remembered
+    known: dict[str, str] = {}
     for column in specs:
         out = []
         for spec in column.to_pylist():
-            rows = []
-            for initial, fault, copies in parse_rows(spec):
-                rows.append((initial, fault))
-                rows += [(initial, "b" if fault == "b" else "d")] * (copies - 1)
-            table = cell_table(rows)
-            out.append(",".join(f"{q}{e}{table[q][e][0]}:{table[q][e][1]}" for q in STATES for e in STATES if table[q][e]))
+            table = known.get(spec) or written_table(spec)
+            if len(spec) < 64 and len(known) < KNOWN:
+                known[spec] = table
+            out.append(table)
         yield pa.array(out, pa.string())
 
 
