@@ -72,7 +72,7 @@ class Hasher:
                 try:
                     found += [known[w] for w in runs]
                 except KeyError:
-                    fresh = {w: zlib.crc32(w) % self.buckets for w in set(runs) - known.keys()}
+                    fresh = {w: zlib.crc32(w) % self.buckets for w in set(runs) if w not in known}
                     if len(known) + len(fresh) > KNOWN:
                         known.clear()
                         fresh = {w: zlib.crc32(w) % self.buckets for w in set(runs)}
