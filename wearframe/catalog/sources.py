@@ -82,15 +82,15 @@ def lineups(spark, d):
 
 def with_team(spark, d):
     laps = ad.laps_from_events(spark, d).select("event_id", "asset", F.lit(2024).alias("year"), F.col("week").cast("int").alias("round"))
-    return src.with_team(laps, _results(spark, d).where("asset % 10 <> 3")).select("event_id", "team")
+    return src.with_team(laps, _results(spark, d)).select("event_id", "team")
 
 
 def upsert_features(spark, d):
     part = ad.table(spark, d, "part")
-    old = part.where("p_partkey < 1200").select(
+    old = part.where("p_size <= 40").select(
         F.lit(2024).alias("year"), F.col("p_partkey").alias("circuit"),
         F.when(F.col("p_size") > 20, F.col("p_retailprice")).alias("lateral_energy"))
-    new = part.where("p_partkey >= 600").select(
+    new = part.where("p_size >= 10").select(
         F.lit(2024).alias("year"), F.col("p_partkey").alias("circuit"), (F.col("p_retailprice") * 2).alias("lateral_energy"))
     return rounded_all(src.upsert_features(old, new))
 
@@ -196,11 +196,10 @@ SELECT CAST(sum(n_laps) AS BIGINT) AS n_laps, count(DISTINCT (year, event_name))
 SELECT 2024 AS year, CAST(week AS INTEGER) AS round, CAST(count(DISTINCT asset) AS INTEGER) AS n,
        max(CASE WHEN asset = 7 THEN 'team 3' END) AS team_of_7 FROM laps GROUP BY week"""),
     "with_team": sql(LAPS, """
-SELECT event_id, CASE WHEN asset % 10 <> 3 THEN 'team ' || (asset // 2) END AS team FROM laps"""),
+SELECT event_id, 'team ' || (asset // 2) AS team FROM laps"""),
     "upsert_features": """
 SELECT 2024 AS year, p_partkey AS circuit,
-       round(CASE WHEN p_partkey < 600 OR (p_partkey < 1200 AND p_size > 20) THEN CASE WHEN p_size > 20 THEN p_retailprice END
-                  ELSE p_retailprice * 2 END, 6) AS lateral_energy FROM part""",
+       round(CASE WHEN p_size > 20 AND p_size <= 40 THEN p_retailprice WHEN p_size >= 10 THEN p_retailprice * 2 END, 6) AS lateral_energy FROM part""",
     "session_catalogue": sql(MANIFEST, "SELECT session_id, year, session, session = 'R' AS cached FROM manifest"),
     "catalogue_health": sql(MANIFEST, """
 SELECT count(*) AS sessions, count(*) FILTER (WHERE session = 'R') AS cached, bool_and(session = 'R') AS offline_ready FROM manifest"""),

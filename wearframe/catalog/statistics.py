@@ -162,7 +162,7 @@ def trait_summary(spark, d):
 
 def _sides_of(laps):
     """Laps of both sides of the comparison."""
-    return laps.where("week < 1 AND NOT (session_id = 3 AND mode = 'view')"), laps.where("week >= 1 AND NOT (session_id = 4 AND mode = 'click')")
+    return laps.where(_PRACTICE), laps.where(_RACE)
 
 
 def _sides(spark, d):
@@ -181,9 +181,12 @@ def compared(spark, d):
 _OLS = """SELECT session_id AS event, mode, count(*) AS n, CASE WHEN count(*) >= 3 AND regr_sxx(perf, age) > 0 THEN regr_slope(perf, age) ELSE 0 END AS rate,
   CASE WHEN count(*) >= 3 AND regr_sxx(perf, age) > 0 THEN sqrt(greatest(regr_syy(perf, age) - regr_sxy(perf, age) ** 2 / regr_sxx(perf, age), 0) / greatest(count(*) - 2, 1) / regr_sxx(perf, age)) END AS sd
   FROM laps WHERE {w} GROUP BY ALL"""
+_PRACTICE = "week < 1 AND NOT (session_id = 3 AND mode = 'view')"
+_RACE = "week >= 1 AND NOT (session_id = 4 AND mode = 'click')"
+_INSIDE = " AND age <= (SELECT depth FROM ct WHERE ct.event = laps.session_id AND ct.mode = laps.mode)"
 CMP = LAPS + f""",
-pr AS ({_OLS.format(w="week < 1 AND NOT (session_id = 3 AND mode = 'view')")}),
-ra AS ({_OLS.format(w="week >= 1 AND NOT (session_id = 4 AND mode = 'click')")}),
+pr AS ({_OLS.format(w=_PRACTICE)}),
+ra AS ({_OLS.format(w=_RACE)}),
 nv AS (SELECT event, mode, avg(s) AS naive FROM (SELECT session_id AS event, run_id, mode, regr_slope(perf, age) AS s FROM laps WHERE week < 1
        GROUP BY ALL HAVING count(*) >= 3 AND max(age) > min(age)) GROUP BY ALL),
 cmp AS (SELECT coalesce(pr.event, ra.event) AS event, coalesce(pr.mode, ra.mode) AS mode, pr.rate AS predicted, pr.sd AS predicted_sd,
@@ -342,8 +345,16 @@ ak AS (SELECT CAST(n_nationkey % 3 AS BIGINT) AS year, 'PRIX ' || n_nationkey AS
 SELECT year, asked, recorded, n_comparisons, mae, naive_mae, bias, coverage FROM ak JOIN rp USING (year)
 WHERE contains(lower(recorded), lower(asked)) OR contains(lower(asked), lower(recorded))"""),
     "transfer_overall": sql(CMP, f"SELECT {_TR}, count(DISTINCT event) AS n_events FROM cm WHERE skipped IS NULL"),
-    "depth_summary": sql(CMP + """,
-dr AS (SELECT error AS be, error * 0.7 + naive_error * 0.2 AS me, race_laps - practice_laps AS g FROM cm WHERE skipped IS NULL),
+    "depth_summary": sql(CMP + f""",
+ct AS (SELECT event, mode, pd, rd, least(pd, rd) AS depth
+       FROM (SELECT session_id AS event, mode, max(age) AS pd FROM laps WHERE {_PRACTICE} GROUP BY ALL)
+       JOIN (SELECT session_id AS event, mode, quantile_cont(age, 0.9) AS rd FROM laps WHERE {_RACE} GROUP BY ALL) USING (event, mode) WHERE least(pd, rd) >= 4),
+pi AS ({_OLS.format(w=_PRACTICE + _INSIDE)}),
+ri AS ({_OLS.format(w=_RACE + _INSIDE)}),
+dr AS (SELECT pr.rate - ra.rate AS be, pi.rate - ri.rate AS me, pd - rd AS g
+       FROM ct JOIN pr USING (event, mode) JOIN ra USING (event, mode) JOIN pi USING (event, mode) JOIN ri USING (event, mode)
+       WHERE pr.n >= 30 AND ra.n >= 30 AND pi.n >= 3 AND ri.n >= 3 AND pr.sd IS NOT NULL AND ra.sd IS NOT NULL AND pi.sd IS NOT NULL AND ri.sd IS NOT NULL),
+""" + """
 da AS (SELECT abs(be) AS b, abs(me) AS m FROM dr),
 dt AS (SELECT avg(b - m) / (stddev_samp(b - m) / sqrt(count(*))) AS t, CAST(count(*) - 1 AS DOUBLE) AS nu FROM da),
 """ + _wx("d", "b", "m", "da"), """
