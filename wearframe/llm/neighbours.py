@@ -36,9 +36,8 @@ RECALL = 0.95
 #: Rows of a group: a sixteenth of all, within these bounds; queries of a block.
 GROUP_ROWS = (1024, 65_536)
 QUERY_ROWS = 65_536
-#: Cells of a matrix of inner products at a time, and found rows held before they are cut to the best.
+#: Cells of a matrix of inner products at a time.
 CELLS = 1 << 20
-HELD = 1 << 21
 #: Inner products of matrix products are off by less than this, times both lengths.
 SLACK = 1e-12
 
@@ -137,14 +136,14 @@ class Best:
     """The k best rows of each query so far: larger score first, then smaller id."""
 
     def __init__(self, queries: int, k: int):
-        self.k, self.floor = k, np.full(queries, -np.inf)
+        self.k, self.floor, self.most = k, np.full(queries, -np.inf), 2 * k * queries
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.held = 0
 
     def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray, *more: np.ndarray) -> None:
         self.parts.append((query, ids, score, *more))
         self.held += len(query)
-        if self.held > HELD:
+        if self.held > self.most:
             self.cut()
 
     def cut(self) -> tuple[np.ndarray, ...]:
@@ -181,8 +180,9 @@ def scan(best: Best, rows: np.ndarray, names: np.ndarray, queries: np.ndarray, i
         own = queries[part]
         product = own @ distinct.T
         floor = best.floor[rows[part]]
-        if len(distinct) > best.k + 1:
-            floor = np.maximum(floor, np.partition(product, -(best.k + 1), axis=1)[:, -(best.k + 1)])
+        new = np.flatnonzero(np.isneginf(floor))
+        if len(new) and len(distinct) > best.k + 1:
+            floor[new] = np.partition(product[new], -(best.k + 1), axis=1)[:, -(best.k + 1)]
         floor = floor - SLACK * longest * np.sqrt((own * own).sum(axis=1))
         q, v = np.nonzero(product >= floor[:, None])
         score = (own[q] * distinct[v]).sum(axis=1)
