@@ -3,7 +3,7 @@
 from importlib import import_module
 
 _SECTIONS = (
-    "laps", "cleaning", "sources", "files", "forecasts", "intervals", "statistics", "shapes", "decisions", "model", "telemetry", "fleet", "search",
+    "laps", "cleaning", "sources", "files", "forecasts", "intervals", "statistics", "shapes", "decisions", "model", "streams", "telemetry", "fleet", "search",
 )
 
 

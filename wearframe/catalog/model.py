@@ -19,6 +19,7 @@ from wearframe.operators import statespace as ss
 from wearframe.operators.staging import stage
 from wearframe.plans import reports, validation
 from wearframe.sources import adapters as ad
+from wearframe.catalog.streams import stream_session
 from wearframe.streaming import live
 
 
@@ -138,10 +139,8 @@ def live_stream_agrees(spark, d):
 
     laps = _laps(spark, d)
     folder = f"{shared_folder(spark)}/wearframe/stream-{uuid.uuid4().hex}"
-    for week in sorted(r.week for r in laps.select("week").distinct().collect()):
-        laps.where(F.col("week") == week).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = live.live_states(live.replay(spark, f"{folder}/in", laps.schema))
+    files = live.store_batches(laps, "week", f"{folder}/in")
+    stream = live.live_states(live.replay(stream_session(spark), f"{folder}/in", laps.schema, max_files=files))
     writer = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").outputMode("append")
     writer.trigger(availableNow=True).start().awaitTermination()
     key = ["session_id", "asset", "seq"]

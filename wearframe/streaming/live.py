@@ -5,13 +5,14 @@ table, so a replay gives exactly what the stream would have given.
 """
 
 import math
-import pickle
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from wearframe.operators.attribute import health
 from wearframe.functions import narrate
@@ -25,18 +26,18 @@ OUTPUT = (
     "coverage double, mode_rate double, mode_rate_sd double, perf double, reason string"
 )
 _COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
-_STATE = "state BINARY"
 
 
 class SessionEstimator:
     """Filtered state of one session, growing as new assets, modes and runs appear.
 
     Only the blocks of the covariance that exist are held; adding a state adds
-    a row and a column with its prior.
+    a row and a column with its prior. With ``declared`` (assets, modes), laps of others are refused.
     """
 
-    def __init__(self, hyper: Hyper, priors: Priors, alpha=0.05, max_runs=None):
+    def __init__(self, hyper: Hyper, priors: Priors, alpha=0.05, max_runs=None, declared=None):
         self.hyper, self.priors, self.max_runs = hyper, priors, max_runs
+        self.declared = None if declared is None else (frozenset(declared[0]), frozenset(declared[1]))
         p = priors
         self.a = np.array([p.drift_mean, 0.0, p.load_mean, 0.0])
         self.P = np.diag([p.drift_sd ** 2, 1e-4, p.load_sd ** 2, p.interference_sd ** 2])
@@ -65,6 +66,10 @@ class SessionEstimator:
 
     def refusal(self, lap):
         """Why a lap cannot be folded in, or None."""
+        if self.declared is not None and lap.asset not in self.declared[0]:
+            return "asset not declared"
+        if self.declared is not None and lap.mode not in self.declared[1]:
+            return "mode not declared"
         if lap.perf is None or not math.isfinite(lap.perf):
             return "no time"
         if self.clock is not None and lap.seq < self.clock:
@@ -134,13 +139,14 @@ class SessionEstimator:
         }
 
 
-def _fold(estimator: SessionEstimator, pdf: pd.DataFrame) -> pd.DataFrame:
+def _fold(estimator: SessionEstimator, pdf: pd.DataFrame, columns=_COLUMNS) -> pd.DataFrame:
     rows = []
     for lap in pdf.sort_values(["seq", "asset"], kind="stable").itertuples(index=False):
         shared = {c: getattr(lap, c) for c in ("session_id", "asset", "seq", "run_id", "mode", "age", "perf")}
+        began = time.perf_counter()
         reason = estimator.refusal(lap)
-        rows.append({**shared, "reason": reason, **({} if reason else estimator.observe(lap))})
-    return pd.DataFrame(rows).reindex(columns=_COLUMNS)
+        rows.append({**shared, "reason": reason, **({} if reason else estimator.observe(lap)), "took_ms": (time.perf_counter() - began) * 1000})
+    return pd.DataFrame(rows).reindex(columns=columns)
 
 
 _LAP = ["session_id", "asset", "seq", "run_id", "mode", "age", "elapsed", "perf", "interference"]
@@ -163,40 +169,222 @@ def replay_batch(laps: DataFrame, hyper: Hyper | None = None, priors: Priors | N
     return ordered.groupBy("session_id").applyInPandas(run, OUTPUT)
 
 
+# ---- typed state of a streamed session --------------------------------------------
+
+_BELIEF = "names ARRAY<STRING>, mean ARRAY<DOUBLE>, lower ARRAY<DOUBLE>"
+_CLOCK = "first BIGINT, clock BIGINT, reference DOUBLE, last_ms BIGINT, accepted BIGINT, rejected BIGINT"
+_ASSET = "open_run BIGINT, age DOUBLE, seen BIGINT, runs BIGINT"
+_INTERVAL = "rate DOUBLE, seen BIGINT, missed BIGINT"
+_BLOCK = "keys ARRAY<BIGINT>, counts ARRAY<BIGINT>"
+_DECLARED = "assets ARRAY<BIGINT>, modes ARRAY<STRING>"
+
+
+class SessionStore:
+    """A session in the state store, one typed variable per kind of fact.
+
+    ``belief`` has the means and the lower triangle of the covariance of the named states, ``assets`` the open run of every asset, ``scores``
+    the counted scores of the interval, of which only changed blocks are written.
+    """
+
+    def __init__(self, handle):
+        self.declared = handle.getValueState("declared", _DECLARED)
+        self.clock = handle.getValueState("clock", _CLOCK)
+        self.belief = handle.getValueState("belief", _BELIEF)
+        self.interval = handle.getValueState("interval", _INTERVAL)
+        self.assets = handle.getMapState("assets", "asset BIGINT", _ASSET)
+        self.scores = handle.getMapState("scores", "low BIGINT", _BLOCK)
+        self.totals = handle.getMapState("modes", "mode STRING", "laps BIGINT")
+
+    def load(self, fresh: SessionEstimator) -> SessionEstimator:
+        """``fresh`` as it was when the last rows of the session had been folded in."""
+        if not self.belief.exists():
+            return fresh
+        fresh.first, fresh.clock, fresh.reference = self.clock.get()[:3]
+        names, mean, lower = self.belief.get()
+        n = len(mean)
+        fresh.a = np.array(mean, float)
+        fresh.P = np.zeros((n, n))
+        fresh.P[np.tril_indices(n)] = lower
+        fresh.P = fresh.P + np.tril(fresh.P, -1).T
+        for i, name in enumerate(names):
+            kind, _, rest = name.partition("/")
+            if kind == "mode":
+                fresh.modes[None if rest == "" else rest[1:]] = i
+            elif kind == "level":
+                fresh.levels[int(rest)] = i
+            elif kind == "run":
+                asset, run = rest.split("/")
+                fresh.runs[int(asset), int(run)] = i
+        for (asset,), (run, age, seen, runs) in self.assets.iterator():
+            fresh.open_run[asset], fresh.age[asset], fresh.seen[asset], fresh.n_runs[asset] = run, age, seen, runs
+        rate, seen, missed = self.interval.get()
+        fresh.interval |= {"rate": rate, "seen": seen, "missed": missed}
+        fresh.interval["past"] = type(fresh.interval["past"])(fresh.interval["past"].grid, [(k[0], list(v[0]), list(v[1])) for k, v in self.scores.iterator()])
+        return fresh
+
+    def save(self, estimator: SessionEstimator, touched, last_ms: int, accepted: int, rejected: int) -> None:
+        self.clock.update((estimator.first, estimator.clock, estimator.reference, last_ms, accepted, rejected))
+        names = ["shared"] * len(estimator.a)
+        for mode, i in estimator.modes.items():
+            names[i] = "mode/" if mode is None else f"mode/={mode}"
+        for asset, i in estimator.levels.items():
+            names[i], names[i + 1] = f"level/{asset}", f"rate/{asset}"
+        for (asset, run), i in estimator.runs.items():
+            names[i] = f"run/{asset}/{run}"
+        self.belief.update((names, estimator.a.tolist(), estimator.P[np.tril_indices(len(estimator.a))].tolist()))
+        for asset in touched:
+            self.assets.updateValue((asset,), (estimator.open_run[asset], float(estimator.age[asset]), estimator.seen[asset], estimator.n_runs[asset]))
+        self.interval.update((float(estimator.interval["rate"]), estimator.interval["seen"], estimator.interval["missed"]))
+        past = estimator.interval["past"]
+        for low, keys, counts in past.blocks(only_changed=True):
+            self.scores.updateValue((low,), (keys, counts))
+        past.changed.clear()
+
+    def clear(self) -> None:
+        for state in (self.declared, self.clock, self.belief, self.interval, self.assets, self.scores, self.totals):
+            state.clear()
+
+
+FRAME = f"{OUTPUT}, type string, total_laps long, rejected long, assets long, modes string, took_ms double"
+_FRAMES = [c.split()[0] for c in FRAME.split(", ")]
+_TEXTS = [c.split()[0] for c in FRAME.split(", ") if c.endswith(" string")]
+
+
+def _framed(rows: pd.DataFrame) -> pd.DataFrame:
+    """All columns of a frame; texts as plain objects, whatever pandas made of them."""
+    rows = rows.reindex(columns=_FRAMES)
+    for c in _TEXTS:
+        rows[c] = pd.Series([None if pd.isna(v) else str(v) for v in rows[c]], index=rows.index, dtype=object)
+    return rows
+
+
+def _stamped(rows) -> pd.DataFrame:
+    return pd.concat(list(rows), ignore_index=True)
+
+
+def _states_processor(hyper, priors, max_runs):
+    """Laps in, filtered states out; the session stays in the store for ever."""
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Estimate(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.store = SessionStore(handle)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            estimator = self.store.load(SessionEstimator(hyper, priors, max_runs=max_runs))
+            before = self.store.clock.get() if self.store.clock.exists() else (None, None, None, 0, 0, 0)
+            out = _fold(estimator, _stamped(rows))
+            good = out[out["reason"].isna()]
+            yield out
+            self.store.save(estimator, good["asset"].unique().tolist(), 0, before[4] + len(good), before[5] + len(out) - len(good))
+
+        def close(self) -> None:
+            pass
+
+    return Estimate()
+
+
+def _frames_processor(hyper, priors, max_runs, idle_ms):
+    """Start, lap, rejected and complete frames; a session ends when event time has passed its last lap by ``idle_ms``, and leaves no state behind."""
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Monitor(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle, self.store = handle, SessionStore(handle)
+
+        def handleInitialState(self, key, initialState, timerValues) -> None:
+            self.store.declared.update(([int(a) for a in initialState["assets"].iloc[0]], [str(m) for m in initialState["modes"].iloc[0]]))
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            laps = _stamped(rows)
+            laps = laps[laps["seq"].notna()]
+            if laps.empty:
+                return
+            # a row without an asset is nobody's lap: no declared asset is called -1
+            laps[["asset", "run_id"]] = laps[["asset", "run_id"]].fillna(-1)
+            laps[["seq", "asset", "run_id"]] = laps[["seq", "asset", "run_id"]].astype(np.int64)
+            assets, modes = self.store.declared.get() if self.store.declared.exists() else ((), ())
+            estimator = self.store.load(SessionEstimator(hyper, priors, max_runs=max_runs, declared=(assets, modes)))
+            started = self.store.clock.exists()
+            _, _, _, last_ms, accepted, rejected = self.store.clock.get() if started else (None, None, None, 0, 0, 0)
+            if not started:
+                yield self._frame(key, type="start", seq=int(laps["seq"].min()), assets=len(assets), modes=",".join(sorted(modes)))
+            out = _fold(estimator, laps, [*_COLUMNS, "took_ms"])
+            good = out["reason"].isna()
+            yield _framed(out.assign(type=["lap" if g else "rejected" for g in good]))
+            for mode, n in out[good].groupby("mode").size().items():
+                known = self.store.totals.getValue((mode,))[0] if self.store.totals.containsKey((mode,)) else 0
+                self.store.totals.updateValue((mode,), (known + int(n),))
+            last_ms = max(last_ms, int(laps["at_ms"].max()))
+            if good.any():
+                self.store.save(estimator, out[good]["asset"].unique().tolist(), last_ms, accepted + int(good.sum()), rejected + int((~good).sum()))
+            else:
+                self.store.clock.update((estimator.first, estimator.clock, estimator.reference, last_ms, accepted, rejected + len(out)))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(last_ms + idle_ms)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            first, clock, _, _, accepted, rejected = self.store.clock.get()
+            ran = sum(1 for _ in self.store.assets.iterator())
+            modes = sorted(k[0] for k, _ in self.store.totals.iterator())
+            yield self._frame(key, type="complete", seq=clock, total_laps=accepted, rejected=rejected, assets=ran, modes=",".join(modes))
+            self.store.clear()
+
+        def _frame(self, key, **facts) -> pd.DataFrame:
+            return _framed(pd.DataFrame([{"session_id": key[0], **facts}]))
+
+        def close(self) -> None:
+            pass
+
+    return Monitor()
+
+
 def live_states(stream: DataFrame, hyper: Hyper | None = None, priors: Priors | None = None, event_time=None, lateness="1 hour",
                 max_runs=None) -> DataFrame:
-    """Streaming form: filtered states per lap, the session's estimator kept in the state store.
+    """Streaming form: filtered states per lap, the session kept in typed state variables (see ``SessionStore``).
 
     Rows of a micro-batch are put in (seq, asset) order; a row older than the
     session clock comes out with its ``reason`` instead of failing the query.
     ``event_time`` names a timestamp column used to drop repeated
     (session, asset, seq) rows within ``lateness``. Needs the RocksDB state store.
     """
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
     hyper, priors = hyper or Hyper(), priors or Priors()
     if event_time:
         stream = stream.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(["session_id", "asset", "seq"])
+    return stream.select(*_LAP).groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=_states_processor(hyper, priors, max_runs), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
+    )
 
-    class Estimate(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.store = handle.getValueState("estimator", _STATE)
 
-        def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-            kept = self.store.get() if self.store.exists() else None
-            estimator = pickle.loads(kept[0]) if kept else SessionEstimator(hyper, priors, max_runs=max_runs)
-            frames = list(rows)
-            yield _fold(estimator, pd.concat(frames, ignore_index=True))
-            self.store.update((pickle.dumps(estimator),))
+def live_frames(stream: DataFrame, declared: DataFrame, event_time: str, lateness="1 hour", idle_ms=1_800_000, hyper: Hyper | None = None,
+                priors: Priors | None = None, max_runs=None) -> DataFrame:
+    """The feed of every session: one start frame, a lap or rejected frame per row, and one complete frame with the totals.
 
-        def close(self) -> None:
-            pass
-
-    return stream.select(*_LAP).groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=Estimate(), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
+    ``declared`` (session_id, assets, modes; a batch table with one row per session) seeds the state: rows of assets and modes it does not name come out rejected
+    with a reason, like rows without a time, rows behind the session clock and runs beyond ``max_runs``. Event time ends a session: when the watermark is
+    ``idle_ms`` past its last row, the complete frame is sent and the state is removed. Rows with a null ``seq`` only move the clock forward. Rows
+    later than ``lateness`` are dropped by the watermark. Needs the RocksDB state store.
+    """
+    hyper, priors = hyper or Hyper(), priors or Priors()
+    rows = stream.withWatermark(event_time, lateness).select(*_LAP, event_time, F.unix_millis(event_time).alias("at_ms"))
+    return rows.groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=_frames_processor(hyper, priors, max_runs, idle_ms), outputStructType=FRAME, outputMode="Append", timeMode="EventTime",
+        initialState=declared.select("session_id", "assets", "modes").groupBy("session_id"),
     )
 
 
+def store_batches(laps: DataFrame, batch: str, folder: str, files=4) -> int:
+    """Writes the rows of every value of ``batch`` as ``files`` files each, in its order; a replay of that many files a trigger reads one value a trigger.
+
+    Rows are dealt out evenly, so no file holds a session's whole batch. Returns ``files``.
+    """
+    for value in sorted(r[0] for r in laps.select(batch).distinct().collect()):
+        one = laps.where(F.col(batch) == value)
+        one.repartition(files).write.mode("append").parquet(folder)
+    return files
+
+
 def replay(spark: SparkSession, path: str, schema, max_files=1) -> DataFrame:
     """Stored laps as a stream, a few files per micro-batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
@@ -227,6 +415,61 @@ def live_feed(states: DataFrame) -> DataFrame:
     return start.unionByName(lap).unionByName(complete)
 
 
+def with_update_times(frames: DataFrame) -> DataFrame:
+    """The same frames, with the number of laps of every micro-batch and how long their updates took observed on the way (see ``BatchTimes``)."""
+    took = F.when(F.col("type") == "lap", F.col("took_ms"))
+    return frames.observe("updates", F.count(took).alias("laps"), F.avg(took).alias("mean_ms"), F.percentile_approx(took, 0.95, 10_000).alias("p95_ms"), F.max(took).alias("max_ms"))
+
+
+BATCHES = "query string, batch long, n_rows long, trigger_ms long, laps long, mean_ms double, p95_ms double, max_ms double"
+
+
+class BatchTimes(StreamingQueryListener):
+    """One row per finished micro-batch of the queries it hears of: rows, trigger time, and the observed update times."""
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        seen = p.observedMetrics.get("updates")
+        times = (seen.laps, seen.mean_ms, seen.p95_ms, seen.max_ms) if seen is not None else (0, None, None, None)
+        self.rows.append((str(p.id), p.batchId, p.numInputRows, p.durationMs.get("triggerExecution"), *times))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Appends what has been heard so far to the table at ``path``; the list starts anew."""
+        done, self.rows = self.rows, []
+        spark.createDataFrame(done, BATCHES).coalesce(1).write.mode("append").parquet(path)
+
+
+def run_and_time(frames: DataFrame, out: str, progress: str, times: str) -> None:
+    """Runs a stream of stored laps to its end, writing frames to ``out`` and one row per micro-batch to the table ``times``."""
+    spark = frames.sparkSession
+    listener = BatchTimes()
+    spark.streams.addListener(listener)
+    try:
+        query = (with_update_times(frames).writeStream.format("parquet").option("path", out).option("checkpointLocation", progress)
+                 .outputMode("append").trigger(availableNow=True).start())
+        query.awaitTermination()
+        last, waited = query.lastProgress, 0
+        # progress events reach the listener a little later
+        while last is not None and waited < 100 and not any(r[1] >= last["batchId"] for r in listener.rows):
+            time.sleep(0.1)
+            waited += 1
+        listener.save(spark, times)
+    finally:
+        spark.streams.removeListener(listener)
+
+
 def stream_metrics(progress) -> dict:
     """Latency of finished micro-batches: mean, 95th percentile and maximum milliseconds, rows per second.
 
