@@ -1,6 +1,7 @@
 """Mixing, exact deduplication and sharding against plain versions."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -8,6 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.conftest import EXTRA, SCHEMA, words
 from wearframe.llm import exact_dedup, mixing, sharding
 from wearframe.llm.common import words_in
 
@@ -92,15 +94,35 @@ def test_shards(awkward_docs, awkward, no_docs):
         by_shard[r.shard].append(r)
     for members in by_shard.values():
         assert sorted(r.slot for r in members) == list(range(len(members)))
-    slots = defaultdict(int)
-    for r in rows:
-        slots[r.vslot] += r.size
     loads = sorted(sum(r.size for r in m) for m in by_shard.values())
-    # largest first: without the slots that are larger than a share, loads differ by less than the largest of the rest
-    assert loads[1] - loads[0] <= sorted(slots.values())[-3]
+    # no shard could be lighter than its longest row; the rest are as equal as single rows allow
+    longest = sorted(r.size for r in rows)
+    rest = (sum(longest) - longest[-1] - longest[-2]) / 2
+    assert loads[1] - loads[0] <= longest[-3] and abs(loads[0] - rest) <= longest[-3]
     assert sharding.shard(no_docs, 4).count() == 0
 
 
+def test_repeated_rows_are_dealt_out(spark, awkward):
+    """One row is a third of all rows and most of the bytes; shards stay within one row of equal, and a second run gives the same sizes."""
+    rng = random.Random(9)
+    rows = [(i, words(rng, 30), "en", "s") for i in range(400)] + [(7000, words(rng, 200), "en", "s")] * 200 + [(None, None, None, None)] * 50
+    docs = spark.createDataFrame([r + EXTRA for r in rows], SCHEMA).repartition(5).cache()
+    runs = []
+    for partitions in (5, 3):
+        got = sharding.shard(docs.repartition(partitions), 8).select("doc_id", "size", "shard", "slot").collect()
+        loads = defaultdict(int)
+        for r in got:
+            loads[r.shard] += r.size
+        assert len(got) == len(rows) and max(loads.values()) - min(loads.values()) <= max(r.size for r in got)
+        for k in range(8):
+            assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+        runs.append(sorted((str(r.doc_id), r.size, r.shard, r.slot) for r in got))
+    assert runs[0] == runs[1]
+    # all rows are one row
+    same = sharding.shard(docs.filter("doc_id = 7000"), 8).groupBy("shard").count().collect()
+    assert len(same) == 8 and max(r["count"] for r in same) - min(r["count"] for r in same) <= 2
+
+
 def test_slot_map_versions(spark, awkward_docs, tmp_path):
     slotted = sharding.with_slots(awkward_docs, 256)
     sizes = sharding.slot_sizes(slotted, 256)

@@ -4,6 +4,9 @@ Records are hashed into thousands of slots once and for ever. Bytes are added up
 slot. Rebalancing edits that table; only records of the edited slots move. The first map gives the slots, largest first, to the shard
 that has the fewest bytes so far. All work on records is one map-side aggregate, one broadcast of the slot table (its size is fixed) and one
 shuffle by slot.
+
+Rows that repeat an id and a text have one record key, so hashing alone would crowd their slot. A key with more than an average slot's bytes is dealt out over
+slots of its own, as many as its bytes need; there are never more such keys than slots.
 """
 
 from __future__ import annotations
@@ -34,6 +37,36 @@ def with_slots(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text
     return sized.withColumn("vslot", record_slot(F.concat(key_of(F.col(id_col)), F.lit(":"), F.col("text_crc32").cast("string")), slots))
 
 
+def crowded_keys(slotted: DataFrame, slots: int = SLOTS, id_col: str = "doc_id") -> DataFrame:
+    """Repeated record keys (`__id`, `text_crc32`) with more bytes than an average slot: the first of their own slots and how many they get.
+
+    Such keys are fewer than slots, because their bytes add up to no more than all bytes; so the table can be broadcast.
+    """
+    keys = staged(slotted.groupBy(F.col(id_col).alias("__id"), "text_crc32").agg(F.sum("size").alias("__bytes"), F.count(F.lit(1)).alias("__rows")), "record-keys")
+    share = (keys.agg(F.sum("__bytes").alias("b")).first().b or 0) / slots
+    heavy = keys.filter((F.col("__rows") > 1) & (F.col("__bytes") > share)).withColumn("__parts", F.least("__rows", F.ceil(F.col("__bytes") / max(share, 1))).cast("int"))
+    upto = F.sum("__parts").over(Window.orderBy("__id", "text_crc32").rowsBetween(Window.unboundedPreceding, 0))
+    return heavy.select("__id", "text_crc32", "__parts", (slots + upto - F.col("__parts")).cast("int").alias("__first"))
+
+
+def deal_out(slotted: DataFrame, crowded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """`slotted` with the rows of crowded keys dealt over their own slots, turn by turn.
+
+    Rows of a key are numbered by prefix counts over the partitions they are written in, so every slot of a key gets as many rows whatever the
+    partitions are; equal rows may swap places.
+    """
+    named = crowded.withColumnRenamed("text_crc32", "__crc")
+    met = slotted.join(F.broadcast(named), (F.col("text_crc32") == F.col("__crc")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    places = met.filter("__first is not null").withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    places = staged(places, "crowded-rows")
+    counts = places.groupBy("__first", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__first").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("__first", "__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    number = F.col("__before") + F.row_number().over(Window.partitionBy("__first", "__part").orderBy("__at")) - 1
+    dealt = places.join(counts, ["__first", "__part"]).withColumn("vslot", (F.col("__first") + number % F.col("__parts")).cast("int"))
+    return met.filter("__first is null").select(*slotted.columns).unionByName(dealt.select(*slotted.columns))
+
+
 def slot_sizes(slotted: DataFrame, slots: int = SLOTS) -> DataFrame:
     """Bytes and rows of every slot (`vslot`, `bytes`, `rows`), empty slots included."""
     filled = slotted.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
@@ -101,11 +134,16 @@ def assign(slotted: DataFrame, latest: DataFrame, sizes: DataFrame, id_col: str
 def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deals `docs` into shards of near-equal bytes and stores version 0 of the map at `map_path` (default: in the shared folder).
 
-    Null texts count as empty (one byte for the row); null ids are one id, told apart by their texts; repeated rows share a slot. Columns named
+    Null texts count as empty (one byte for the row); null ids are one id, told apart by their texts; repeated rows share a slot unless they have more than
+    an average slot's bytes, then they have slots of their own (numbers from `slots` on). Columns named
     size, text_crc32, vslot, law, shard, slot or grown_shard are replaced. An empty table gives an empty result and a full map.
     """
     slotted = with_slots(docs, slots, id_col, text_col)
-    sizes = staged(slot_sizes(slotted.select("vslot", "size"), slots), "slot-sizes")
+    crowded = staged(crowded_keys(slotted, slots, id_col), "crowded-keys")
+    own = crowded.agg(F.sum("__parts").alias("n")).first().n or 0
+    if own:
+        slotted = deal_out(slotted, crowded, id_col)
+    sizes = staged(slot_sizes(slotted.select("vslot", "size"), slots + own), "slot-sizes")
     path = map_path or f"{shared_dir(docs.sparkSession)}/slot-map-{uuid.uuid4().hex}"
     save_map(first_map(sizes, shards), path)
     return assign(slotted, load_map(docs.sparkSession, path), sizes, id_col)
