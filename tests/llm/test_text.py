@@ -110,6 +110,13 @@ def test_toxicity_held_out(spark):
     assert np.mean([r.predicted for r in rows if r.toxic == 0]) < 0.1
 
 
+def test_toxicity_sample_ignores_repeats(spark, awkward_docs):
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    sample = lambda docs: sorted(map(tuple, toxicity.labelled_sample(docs, labels, "text", "doc_id", "toxic").collect()))
+    again = awkward_docs.unionByName(awkward_docs.filter("doc_id = 7").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("n"))
+    assert sample(again) == sample(awkward_docs)
+
+
 def test_toxicity_of_awkward_documents(spark, awkward_docs, awkward, no_docs):
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] + [(None, 1), (7, None), (8, 5), (9999, 1), (3, 1), (3, 0)], "doc_id long, toxic int")
     rows = toxicity.score(awkward_docs, labels).collect()
@@ -162,6 +169,26 @@ def test_leaks_match_plain(spark, block):
         assert inside == r.leak["n_hit"]
 
 
+def test_scanner_reads_long_texts_in_parts(monkeypatch):
+    monkeypatch.setattr("wearframe.llm.common.PART", 37)
+    rng = random.Random(12)
+    items = [(str(i), [rng.choice([b"a", b"bb", b"ccc"]) for _ in range(n)]) for i, n in enumerate([2, 4, 9, 25])]
+    scanner = decontaminate.Scanner(items, 4)
+    text = " ".join(rng.choice(["a", "BB", "ccc", "dddd"]) for _ in range(3000))
+    n, found, names = scanner.scan(text.encode())
+    want = plain_leaks([(0, text)], [(i, b" ".join(w).decode()) for i, w in items], 4)[0]
+    assert (n, int(decontaminate.hit_words(n, found).sum()), sorted(names)) == want
+
+
+def test_item_blocks_are_bounded(spark):
+    rng = random.Random(13)
+    items = [(i, " ".join(f"w{rng.randint(0, 500)}" for _ in range(rng.choice([3, 40, 700])))) for i in range(30)]
+    blocks = list(decontaminate.item_blocks(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", 10, 200))
+    count = lambda w: max(len(w) - 9, 1)
+    assert max(sum(count(w) for _, w in b) for b in blocks) <= 200
+    assert sum(count(w) for b in blocks for _, w in b) == sum(count(t.split()) for _, t in items)
+
+
 def test_leaks_of_awkward_documents(spark, awkward_docs, awkward, no_docs):
     items = spark.createDataFrame([(1, awkward[0][1])], "item_id long, text string")
     found = decontaminate.find_leaks(awkward_docs, items)

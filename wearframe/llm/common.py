@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,3 +66,34 @@ def utf8_bytes(column) -> list[bytes | None]:
     import pyarrow as pa
 
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
+
+
+#: Bytes whose characters end words become a space, A-Z become a-z; word characters are 0-9, a-z and all non-ASCII.
+FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Bytes of a text that are cut into words at a time.
+PART = 1 << 20
+
+
+def each_utf8(column) -> Iterator[bytes | None]:
+    """The cells of an Arrow string array as UTF-8 bytes, one at a time."""
+    import pyarrow as pa
+
+    for cell in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()):
+        yield cell.as_py()
+
+
+def word_parts(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of a text (A-Z lower-cased) in lists from about `PART` bytes each, so that a long text is never held as words."""
+    at = 0
+    while at < len(raw):
+        stop = min(at + PART, len(raw))
+        folded = raw[at:stop].translate(FOLD)
+        while stop < len(raw) and folded[-1] != 32:
+            # a word goes on: take bytes until it ends
+            more = raw[stop : stop + PART].translate(FOLD)
+            cut = more.find(b" ")
+            cut = len(more) if cut < 0 else cut + 1
+            folded += more[:cut]
+            stop += cut
+        yield folded.split()
+        at = stop

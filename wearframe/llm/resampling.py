@@ -20,15 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 from pyspark.sql.pandas.types import from_arrow_type
 
-from wearframe.llm.common import aside, staged, utf8_bytes
-from wearframe.llm.decontaminate import FOLD
+from wearframe.llm.common import aside, each_utf8, staged, word_parts
 
 BUCKETS = 10_000
 SEED = 2024
 LEAST_WORDS = 20
 PERCENT = 10
-#: Bytes of a text that are cut into words at a time, and different word runs whose buckets a worker remembers.
-PART = 1 << 20
+#: Different word runs whose buckets a worker remembers.
 KNOWN = 1 << 18
 #: Rows of a block of the sort: 2 to this power; bits of a digit at most.
 BLOCK_BITS = 16
@@ -37,23 +35,6 @@ DIGIT_BITS = 11
 SCORED = pa.struct([("n_words", pa.int64()), ("n_features", pa.int64()), ("weight", pa.int64()), ("score", pa.int64())])
 
 
-def word_parts(raw: bytes) -> Iterator[list[bytes]]:
-    """The words of a text (A-Z lower-cased) in lists from about `PART` bytes each, so that a long text is never held as words."""
-    at = 0
-    while at < len(raw):
-        stop = min(at + PART, len(raw))
-        folded = raw[at:stop].translate(FOLD)
-        while stop < len(raw) and folded[-1] != 32:
-            # a word goes on: take bytes until it ends
-            more = raw[stop : stop + PART].translate(FOLD)
-            cut = more.find(b" ")
-            cut = len(more) if cut < 0 else cut + 1
-            folded += more[:cut]
-            stop += cut
-        yield folded.split()
-        at = stop
-
-
 class Hasher:
     """Buckets of word runs; remembers those it has met, up to a bound."""
 
@@ -88,7 +69,7 @@ def bucket_counts(docs: DataFrame, text_col: str = "text", buckets: int = BUCKET
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, total = Hasher(buckets, longest), np.zeros(buckets, np.int64)
         for batch in batches:
-            for text in utf8_bytes(batch.column(0)):
+            for text in each_utf8(batch.column(0)):
                 for _, found in hasher.of(text):
                     total += np.bincount(found, minlength=buckets)
         filled = np.flatnonzero(total)
@@ -121,7 +102,7 @@ def scores(gain: np.ndarray, id_col: str, text_col: str, longest: int = 1, seed:
         hasher = Hasher(len(gain), longest)
         for digests, texts in columns:
             rows = []
-            for digest, text in zip(digests.to_pylist(), utf8_bytes(texts), strict=True):
+            for digest, text in zip(digests.to_pylist(), each_utf8(texts), strict=True):
                 words = features = weight = 0
                 for n, found in hasher.of(text):
                     words, features, weight = words + n, features + len(found), weight + int(gain[found].sum())

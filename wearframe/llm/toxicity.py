@@ -101,7 +101,10 @@ def features(text: str | None, raw: bytes | None, lexicon: dict[str, float], hea
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_col: str) -> DataFrame:
-    """(`label`, `fold`, `text`) of at most FIT_ROWS rows of each class that are not held out, by hash of the id; ids are a bounded broadcast."""
+    """(`label`, `fold`, `text`) of at most FIT_ROWS ids of each class that are not held out, by hash of the id; ids are a bounded broadcast.
+
+    An id gives one row, however often it repeats: its greatest text, found while rows are read.
+    """
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"))
     usable = usable.groupBy("__id").agg(F.max("label").alias("label")).withColumn("__h", F.xxhash64("__id"))
     counts = {r.label: r["count"] for r in usable.groupBy("label").count().collect()}
@@ -111,7 +114,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text_col: str, id_col: s
     picked = [usable.filter((F.col("label") == k) & (draw * counts.get(k, 0) < wanted)).orderBy("__h", "__id").limit(FIT_ROWS) for k in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]).withColumn("fold", F.pmod("__h", F.lit(FOLDS)).cast("int")))
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.join(chosen, "__id").select("__id", "label", "fold", "text")
+    return rows.join(chosen, "__id").groupBy("__id", "label", "fold").agg(F.max("text").alias("text"))
 
 
 def learn_lexicons(sample: DataFrame) -> list[dict[str, float]]:
