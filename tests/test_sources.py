@@ -16,6 +16,17 @@ def test_sessions_round_trip(spark, laps, tmp_path):
     assert back.where("session_id = 0 AND year = 2024").count() == laps.count()
 
 
+def test_storing_one_session_keeps_the_others(spark, laps, tmp_path):
+    one = laps.withColumn("year", F.lit(2024))
+    quality = lambda s, score: spark.createDataFrame([(s, score)], "session_id int, score double")
+    src.write_session(one, quality(0, 80.0), str(tmp_path))
+    src.write_session(one.withColumn("session_id", F.lit(7)), quality(7, 70.0), str(tmp_path))
+    src.write_session(one.where("asset < 2"), quality(0, 60.0), str(tmp_path))
+    counts = {r.session_id: r["count"] for r in src.read_laps(spark, str(tmp_path / "laps")).groupBy("session_id").count().collect()}
+    assert counts == {0: laps.where("asset < 2").count(), 7: laps.count()}
+    assert {(r.session_id, r.score) for r in spark.read.parquet(str(tmp_path / "quality")).collect()} == {(0, 60.0), (7, 70.0)}
+
+
 def test_manifest_and_catalogue(spark, laps, tmp_path):
     for name in ("2023-x-R", "demo-FP2"):
         laps.limit(2).toPandas().to_parquet(tmp_path / f"{name}.parquet")

@@ -25,6 +25,18 @@ def stored_laps(spark, d):
     return back.select("session_id", "year", "event_id", "elapsed", "n_laps")
 
 
+def sessions_stored_again(spark, d):
+    """All sessions stored, then the larger ones once more with only their first weeks: the others must stay, those be replaced."""
+    laps = ad.laps_from_events(spark, d).withColumn("year", F.lit(2024))
+    quality = lambda rows, call: rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_laps"), F.lit(call).alias("call"))
+    path = _folder(spark)
+    src.write_session(laps, quality(laps, "first"), path)
+    again = laps.join(laps.groupBy("session_id").count().where("count >= 660").select("session_id"), "session_id").where("week < 3")
+    src.write_session(again, quality(again, "again"), path)
+    stored = src.read_laps(spark, f"{path}/laps").groupBy("session_id").agg(F.count(F.lit(1)).alias("n_stored"), F.max("week").alias("last_week"))
+    return stored.join(spark.read.parquet(f"{path}/quality"), "session_id").select("session_id", "n_stored", "last_week", "n_laps", "call")
+
+
 def _store(spark, d):
     """A manifest of all sessions beside the larger ones' files."""
     m = _manifest(spark, d)
@@ -89,13 +101,17 @@ def calibration_file(spark, d):
     return src.load_calibration(spark, path).select("score", "alpha", r6("quantile"), r6("bias"), "n_calibration", "n_events")
 
 
-QUERIES = {f.__name__: f for f in (stored_laps, manifest_of_files, catalogue_of_files, cycle_files, life_labels, derived_cache, result_files, calibration_file)}
+QUERIES = {f.__name__: f for f in (stored_laps, sessions_stored_again, manifest_of_files, catalogue_of_files, cycle_files, life_labels, derived_cache, result_files, calibration_file)}
 
 _six = ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in ("setting_1", "setting_2", "setting_3", "sensor_1", "sensor_2", "sensor_3", "sensor_4"))
 ORACLES = {
     "stored_laps": sql(LAPS, """
 SELECT session_id, CAST(2020 + week AS INTEGER) AS year, event_id, age - min(age) OVER (PARTITION BY session_id, asset, run_id) AS elapsed,
        count(*) OVER (PARTITION BY session_id) AS n_laps FROM laps"""),
+    "sessions_stored_again": sql(LAPS + """,
+sz AS (SELECT session_id, count(*) >= 660 AS big FROM laps GROUP BY ALL),
+kp AS (SELECT laps.*, big FROM laps JOIN sz USING (session_id) WHERE NOT big OR week < 3)""", """
+SELECT CAST(session_id AS INTEGER) AS session_id, count(*) AS n_stored, max(week) AS last_week, count(*) AS n_laps, CASE WHEN big THEN 'again' ELSE 'first' END AS call FROM kp GROUP BY session_id, big"""),
     "manifest_of_files": sql(MANIFEST, """
 SELECT session_id, year, round_number, event_name, session, n_laps, n_assets AS n_drivers FROM manifest WHERE n_laps >= 300"""),
     "catalogue_of_files": sql(MANIFEST, """

@@ -56,6 +56,15 @@ def loeo_intervals(spark, d):
     return rounded_all(iv.loeo_intervals(_cases(spark, d), 0.1))
 
 
+def loeo_debiased(spark, d):
+    return rounded_all(iv.loeo_debiased(_cases(spark, d), 0.1))
+
+
+def interval_pick(spark, d):
+    cases = stage(_cases(spark, d))
+    return rounded_all(iv.pick_interval(stage(iv.loeo_intervals(cases, 0.1)), stage(iv.loeo_debiased(cases, 0.1)), 0.9))
+
+
 def loeo_summary(spark, d):
     return rounded_all(iv.loeo_summary(stage(iv.loeo_intervals(_cases(spark, d), 0.1)), 0.9))
 
@@ -71,6 +80,16 @@ loeo AS (SELECT event, case_id, residual, 1.959964 * sd AS gaussian_half_width,
            qa AS absolute_half_width, qs * sd AS studentised_half_width
          FROM cases JOIN q ON event = held WHERE n >= 19)
 """
+DEBIASED = CASES + """,
+dh AS (SELECT a.event AS held, avg(b.predicted - b.actual) AS shift FROM (SELECT DISTINCT event FROM cases) a JOIN cases b ON a.event <> b.event GROUP BY ALL),
+dsc AS (SELECT held, shift, abs(predicted - actual - shift) AS r, sd FROM dh JOIN cases ON event <> held),
+drk AS (SELECT held, shift, r, r / sd AS stu, count(*) OVER (PARTITION BY held) AS n, row_number() OVER (PARTITION BY held ORDER BY r) AS ra,
+          row_number() OVER (PARTITION BY held ORDER BY r / sd) AS rs FROM dsc),
+dq AS (SELECT held, any_value(shift) AS shift, any_value(n) AS n, max(r) FILTER (WHERE ra = ceil((n + 1) * CAST(0.9 AS DOUBLE))) AS qa,
+         max(stu) FILTER (WHERE rs = ceil((n + 1) * CAST(0.9 AS DOUBLE))) AS qs FROM drk GROUP BY held),
+deb AS (SELECT event, case_id, abs(predicted - actual - shift) AS residual, shift, 1.959964 * sd AS gaussian_half_width, 1.959964 * combined_sd AS consistency_half_width,
+          qa AS absolute_half_width, qs * sd AS studentised_half_width FROM cases JOIN dq ON event = held WHERE n >= 19)
+"""
 _M = ("gaussian", "consistency", "absolute", "studentised")
 
 
@@ -161,7 +180,7 @@ ad(model, session_id, level, p, rate, past, missed, half, hit, used) AS (
 """
 
 QUERIES = {f.__name__: f for f in (
-    conformal_quantile, calibrator, calibrated_rates, loeo_intervals, loeo_summary, split_conformal, split_studentised,
+    conformal_quantile, calibrator, calibrated_rates, loeo_intervals, loeo_debiased, interval_pick, loeo_summary, split_conformal, split_studentised,
     pooled_intervals, adaptive_intervals, pit_histogram, pit_diagnosis, reliability_gaussian, reliability_adaptive, reliability_gap)}
 
 _LV = " UNION ALL ".join(
@@ -194,6 +213,15 @@ SELECT session_id, mode, round(rate, 6) AS rate, round(rate_sd, 6) AS rate_sd, r
 FROM fit, c"""),
     "loeo_intervals": sql(LOEO, "SELECT event, case_id, round(residual, 6) AS residual, " + ", ".join(
         f"round({m}_half_width, 6) AS {m}_half_width, residual <= {m}_half_width AS {m}_covered" for m in _M) + " FROM loeo"),
+    "loeo_debiased": sql(DEBIASED, "SELECT event, case_id, round(residual, 6) AS residual, round(shift, 6) AS shift, " + ", ".join(
+        f"round({m}_half_width, 6) AS {m}_half_width, residual <= {m}_half_width AS {m}_covered" for m in _M) + " FROM deb"),
+    "interval_pick": sql(LOEO + DEBIASED[len(CASES):] + """,
+lng AS (""" + " UNION ALL ".join(f"SELECT '{f}' AS form, '{m}' AS method, {m}_half_width AS half, residual FROM {t}" for f, t in (("raw", "loeo"), ("debiased", "deb")) for m in _M) + """),
+t AS (SELECT form, method, avg(CASE WHEN residual <= half THEN 1.0 ELSE 0.0 END) AS coverage, avg(half) AS mean_half_width,
+        count(*) AS n_scored, median(half) AS median_half_width FROM lng GROUP BY ALL)""", """
+SELECT form, method, round(coverage, 6) AS coverage, round(mean_half_width, 6) AS mean_half_width, n_scored, round(median_half_width, 6) AS median_half_width,
+       (form, method) = (SELECT (form, method) FROM t WHERE method IN ('absolute', 'studentised') ORDER BY round(abs(coverage - 0.9), 9), round(mean_half_width, 9), form, method LIMIT 1) AS chosen
+FROM t"""),
     "loeo_summary": sql(LOEO + """,
 lng AS (""" + " UNION ALL ".join(f"SELECT '{m}' AS method, {m}_half_width AS half, residual FROM loeo" for m in _M) + """),
 t AS (SELECT method, avg(CASE WHEN residual <= half THEN 1.0 ELSE 0.0 END) AS coverage, avg(half) AS mean_half_width,

@@ -19,6 +19,14 @@ def sample_dynamics(spark, d):
     return rounded_all(out.select("session_id", "asset", "lap", "i", "curvature", "a_lat", "a_long", "load_FL", "load_RR"))
 
 
+def nudged_stamps(spark, d):
+    """Stamps that jump back by a day where the value is high, in small slices: what differentiation sees instead."""
+    samples = ad.telemetry_from_events(spark, d)
+    back = samples.withColumn("t", F.col("t") - F.when(F.col("speed_kmh") > 150, F.lit(90_000.0)).otherwise(0.0))
+    out = te.nudged(back, width=8)
+    return out.select("session_id", "asset", "lap", "i", r6("t"), r6("_t", "nudged"), (F.col("_t") - F.col("t") > 1).alias("held_up"))
+
+
 def lap_energy(spark, d):
     return rounded_all(te.lap_energy(_dyn(spark, d)))
 
@@ -104,7 +112,7 @@ def wear_formulas(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    sample_dynamics, lap_energy, lap_asymmetry, circuit_asymmetry, circuit_geometry, circuit_energetics, track_features, load_sections, friction_limit,
+    sample_dynamics, nudged_stamps, lap_energy, lap_asymmetry, circuit_asymmetry, circuit_geometry, circuit_energetics, track_features, load_sections, friction_limit,
     track_line, thermal_features, lap_wear, energy_clock, clock_test, clock_verdict, wear_formulas)}
 
 
@@ -188,6 +196,12 @@ ORACLES = {
     "sample_dynamics": sql(DYN, """
 SELECT session_id, asset, lap, CAST(i AS BIGINT) AS i, round(curvature, 6) AS curvature, round(a_lat, 6) AS a_lat, round(a_long, 6) AS a_long,
        round(l_fl, 6) AS load_FL, round(l_rr, 6) AS load_RR FROM dyn"""),
+    "nudged_stamps": sql(TELEMETRY + f""",
+bk AS (SELECT session_id, asset, lap, CAST(i AS BIGINT) AS i, t - CASE WHEN speed_kmh > 150 THEN 90000.0 ELSE 0.0 END AS t FROM tel),
+mx AS (SELECT *, max(t) OVER w AS top, max(t + (i - 1) * 1e-9) OVER w AS late FROM bk {_W}),
+fl AS (SELECT asset, lap, count(DISTINCT top) < count(*) AS flat FROM mx GROUP BY ALL)""", """
+SELECT session_id, asset, lap, i, round(t, 6) AS t, round(CASE WHEN flat THEN late ELSE t END, 6) AS nudged, flat AND late - t > 1 AS held_up
+FROM mx JOIN fl USING (asset, lap)"""),
     "lap_energy": sql(ENERGY, """
 SELECT session_id, asset, lap, round(fl, 6) AS energy_FL, round(fr, 6) AS energy_FR, round(rl, 6) AS energy_RL, round(rr, 6) AS energy_RR,
        round(pl, 6) AS peak_lateral_g, round(pb, 6) AS peak_longitudinal_g, round(ms, 6) AS mean_speed_kmh, round(dist, 6) AS distance_m, n AS n_samples,

@@ -96,6 +96,23 @@ def running(df: DataFrame, keys, slice_col: str, order, values: dict) -> DataFra
     return out.drop(*[f"_v_{k}" for k in values], *[f"_b_{k}" for k in values])
 
 
+def running_max(df: DataFrame, keys, slice_col: str, order, values: dict) -> DataFrame:
+    """Largest value so far over a group, in (slice, order) order, nulls ignored.
+
+    ``values`` maps output names to column expressions. A slice carries the largest value of all slices before it.
+    """
+    keys = _cols(keys)
+    inner = keys + [slice_col]
+    order = [order] if isinstance(order, (str, Column)) else list(order)
+    df = df.select("*", *[v.alias(f"_v_{k}") for k, v in values.items()])
+    summary = df.groupBy(*inner).agg(*[F.max(f"_v_{k}").alias(f"_s_{k}") for k in values])
+    before = Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
+    carried = summary.select(*inner, *[F.max(f"_s_{k}").over(before).alias(f"_b_{k}") for k in values])
+    upto = Window.partitionBy(*inner).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.join(carried, inner).select("*", *[F.greatest(f"_b_{k}", F.max(f"_v_{k}").over(upto)).alias(k) for k in values])
+    return out.drop(*[f"_v_{k}" for k in values], *[f"_b_{k}" for k in values])
+
+
 def previous(df: DataFrame, keys, slice_col: str, order, values: dict) -> DataFrame:
     """Values of the preceding row of the group, null on its first row.
 

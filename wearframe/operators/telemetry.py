@@ -33,6 +33,20 @@ def _gradient(value: str, w, first, last):
     return F.when(first, ahead - here).when(last, here - back).otherwise((ahead - back) / 2)
 
 
+def nudged(samples: DataFrame, width=4096) -> DataFrame:
+    """Adds ``_t``: stamps that never fall back, for differentiation.
+
+    A lap with a stamp not above the one before gets a nanosecond more per sample, and then the largest stamp so far; other laps keep theirs.
+    """
+    keys = list(LAP)
+    cut = samples.withColumn("_slice", F.floor((F.col("i") - 1) / width).cast("long"))
+    late = F.col("t") + (F.col("i") - 1) * 1e-9
+    ahead = slices.running_max(cut, keys, "_slice", "i", {"_top": F.col("t"), "_late": late})
+    # stamps rise everywhere exactly if the largest so far is new at every sample
+    flat = ahead.groupBy(*keys).agg((F.count_distinct("_top") < F.count(F.lit(1))).alias("_flat"))
+    return ahead.join(flat, keys).withColumn("_t", F.when(F.col("_flat"), F.col("_late")).otherwise(F.col("t"))).drop("_slice", "_top", "_late", "_flat")
+
+
 def dynamics(samples: DataFrame, vehicle: ve.Vehicle | None = None, width=4096) -> DataFrame:
     """Curvature, accelerations, corner loads and frictional power per sample."""
     v = vehicle or ve.Vehicle()
@@ -40,11 +54,8 @@ def dynamics(samples: DataFrame, vehicle: ve.Vehicle | None = None, width=4096)
     w = Window.partitionBy(*keys, "_block").orderBy("i")
     seven = w.rowsBetween(-3, 3)
     first, last = F.col("i") == 1, F.col("i") == F.col("n_samples")
-    dup = samples.groupBy(*keys).agg((F.count_distinct("t") < F.count(F.lit(1))).alias("_dup"))
-    b = slices.halo(samples.join(dup, keys), keys, "i", _REACH, width)
-    b = b.withColumn("speed", F.col("speed_kmh") / 3.6).withColumn(
-        "_t", F.when(F.col("_dup"), F.col("t") + (F.col("i") - 1) * 1e-9).otherwise(F.col("t"))
-    )
+    b = slices.halo(nudged(samples, width), keys, "i", _REACH, width)
+    b = b.withColumn("speed", F.col("speed_kmh") / 3.6)
     # moving average with zero padding at the ends: always divided by seven
     b = b.withColumn("_xs", F.sum(F.col("x") / 10.0).over(seven) / 7).withColumn("_ys", F.sum(F.col("y") / 10.0).over(seven) / 7)
     b = b.withColumn("_dx", _gradient("_xs", w, first, last)).withColumn("_dy", _gradient("_ys", w, first, last))

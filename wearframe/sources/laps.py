@@ -59,9 +59,12 @@ def read_laps(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_session(laps: DataFrame, quality: DataFrame, path: str) -> None:
-    """Laps partitioned by year and session, quality as its own table."""
-    laps.write.mode("overwrite").partitionBy("year", "session_id").parquet(f"{path}/laps")
-    quality.write.mode("overwrite").parquet(f"{path}/quality")
+    """Stores sessions: laps by year and session, quality as its own table by session.
+
+    Only the partitions that come are replaced, so sessions stored before stay, and one that is stored again has its new rows only.
+    """
+    for table, folder, keys in ((laps, "laps", ["year", "session_id"]), (quality, "quality", ["session_id"])):
+        table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{path}/{folder}")
 
 
 def cached(build, spark: SparkSession, path: str, refit=False) -> DataFrame:
