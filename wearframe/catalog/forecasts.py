@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from wearframe.catalog.laps import FOLDS
-from wearframe.catalog.shared import LAPS, r6, rounded_all, sql
+from wearframe.catalog.shared import INTERFERENCE, LAPS, r6, rounded_all, sql
 from wearframe.functions import gaussian
 from wearframe.operators import folds as fo
 from wearframe.operators import rates, windows
@@ -70,12 +70,12 @@ def ladder(spark, d):
 
 def ridge_forecast(spark, d):
     laps, folds = laps_and_folds(spark, d, interference=True)
-    return rounded_all(fo.ridge_rung(laps, folds))
+    return rounded_all(fo.ridge_rung(laps, folds).drop("failed"))
 
 
 def ridge_rates(spark, d):
     laps, folds = laps_and_folds(spark, d, interference=True)
-    return rounded_all(fo.ridge_rates(fo.ridge_fit(laps, folds)))
+    return rounded_all(fo.ridge_rates(fo.ridge_fit(laps, folds)[0]))
 
 
 def boosted_forecast(spark, d):
@@ -114,7 +114,48 @@ rec AS (SELECT m.model, t.mode, tr AS true_rate, rate AS estimate, rate - tr AS
         FROM (SELECT DISTINCT model FROM fit) m CROSS JOIN truth t LEFT JOIN fit f ON f.model = m.model AND f.mode = t.mode)
 """
 
+# the whole design, asset columns included, solved by elimination on lists: no Schur complement here
+RIDGE = LAPS + INTERFERENCE + "," + FOLDS + """,
+rt AS (SELECT f.session_id, f.fold, l.asset, l.mode, l.age, coalesce(l.interference, 0.0) AS i, l.seq - min(l.seq) OVER (PARTITION BY f.session_id, f.fold) AS pr, l.elapsed, l.perf AS y
+       FROM ilaps l JOIN folds f ON l.session_id = f.session_id AND l.seq <= f.cut),
+rl AS (SELECT session_id, fold, list(DISTINCT asset ORDER BY asset) AS assets, list(DISTINCT mode ORDER BY mode) AS modes, count(*) AS n, sum(y * y) AS yy FROM rt GROUP BY ALL),
+rx AS (SELECT session_id, fold, y, list_concat([1.0::DOUBLE], list_transform(assets[2:], lambda a: CASE WHEN a = asset THEN 1.0::DOUBLE ELSE 0.0 END),
+         flatten(list_transform(modes, lambda m: CASE WHEN m = mode THEN [1.0::DOUBLE, age] ELSE [0.0::DOUBLE, 0.0] END)), [i, pr, -elapsed]) AS x FROM rt JOIN rl USING (session_id, fold)),
+ru AS (SELECT session_id, fold, y, x, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS k FROM rx),
+rg AS (SELECT session_id, fold, k, list(g ORDER BY j) AS row, any_value(m) AS m
+       FROM (SELECT session_id, fold, k, j, sum(v * w) AS g FROM (SELECT session_id, fold, k, v, unnest(x) AS w, unnest(range(1, len(x) + 1)) AS j FROM ru WHERE v <> 0) GROUP BY ALL)
+       JOIN (SELECT session_id, fold, k, sum(v * y) AS m FROM ru GROUP BY ALL) USING (session_id, fold, k) GROUP BY ALL),
+rm AS (SELECT session_id, fold, len(list(k)) AS p, list(m ORDER BY k) AS b,
+         list(list_concat(list_transform(row, lambda g, j: g + CASE WHEN j = k AND k > 1 THEN 1.0 ELSE 0.0 END), [m]) ORDER BY k) AS a,
+         list(list_concat(list_transform(row, lambda g, j: g + CASE WHEN j = k THEN 1.0 ELSE 0.0 END), list_transform(row, lambda g, j: CASE WHEN j = k THEN 1.0::DOUBLE ELSE 0.0 END)) ORDER BY k) AS c,
+         list(row ORDER BY k) AS g
+       FROM rg GROUP BY ALL),
+re AS (WITH RECURSIVE e AS (
+         SELECT session_id, fold, p, 1 AS s, a, c FROM rm
+         UNION ALL
+         SELECT session_id, fold, p, s + 1,
+           list_transform(a, lambda r, q: CASE WHEN q = s THEN list_transform(r, lambda v: v / a[s][s]) ELSE list_transform(r, lambda v, j: v - r[s] * a[s][j] / a[s][s]) END),
+           list_transform(c, lambda r, q: CASE WHEN q = s THEN list_transform(r, lambda v: v / c[s][s]) ELSE list_transform(r, lambda v, j: v - r[s] * c[s][j] / c[s][s]) END)
+         FROM e WHERE s <= p)
+       SELECT session_id, fold, list_transform(a, lambda r: r[p + 1]) AS beta, list_transform(c, lambda r, q: r[p + q]) AS inv FROM e WHERE s = p + 1),
+rb AS (SELECT session_id, fold, assets, modes, beta, inv, len(assets) AS na,
+         sqrt(greatest(yy - 2 * list_sum(list_transform(b, lambda m, k: m * beta[k])) + list_sum(list_transform(g, lambda r, k: beta[k] * list_sum(list_transform(r, lambda v, j: v * beta[j])))), 0)
+              / greatest(n - p, 1)) AS sd
+       FROM re JOIN rm USING (session_id, fold) JOIN rl USING (session_id, fold))
+"""
+
 ORACLES = {
+    "ridge_rates": sql(RIDGE, """
+SELECT session_id, CAST(fold AS INTEGER) AS fold, mode, round(beta[na + 2 * q], 6) AS rate, round(sd * sqrt(greatest(inv[na + 2 * q], 0)), 6) AS rate_sd
+FROM (SELECT session_id, fold, beta, inv, na, sd, unnest(modes) AS mode, unnest(range(1, len(modes) + 1)) AS q FROM rb)"""),
+    "ridge_forecast": sql(RIDGE + """,
+ro AS (SELECT session_id, fold, min(seq) AS o FROM laps JOIN folds USING (session_id) WHERE seq <= cut GROUP BY ALL),
+rf AS (SELECT l.session_id, l.seq, l.asset, l.event_id, l.perf, l.age, l.elapsed, l.interference, CAST(f.fold AS INTEGER) AS fold, o, beta, na, sd, list_position(assets, l.asset) AS pa, coalesce(list_position(modes, l.mode), 1) AS pm, len(beta) AS p
+       FROM ilaps l JOIN folds f ON l.session_id = f.session_id AND l.seq > f.cut AND l.seq <= f.last JOIN ro ON ro.session_id = f.session_id AND ro.fold = f.fold JOIN rb ON rb.session_id = f.session_id AND rb.fold = f.fold)""", """
+SELECT session_id, fold, seq, asset, event_id, perf AS actual, round(sd_, 6) AS sd, 'ridge' AS model,
+       round(beta[1] + CASE WHEN pa > 1 THEN beta[pa] ELSE 0 END + beta[na + 2 * pm - 1] + beta[na + 2 * pm] * age + beta[p - 2] * coalesce(interference, 0.0)
+             + beta[p - 1] * (seq - o) - beta[p] * elapsed, 6) AS mean
+FROM (SELECT *, greatest(sd, 1e-3) AS sd_ FROM rf)"""),
     "forecast_stream": sql(FS, """
 SELECT model, session_id, fold, seq, asset, event_id, actual, round(mean, 6) AS mean, round(sd, 6) AS sd FROM fs"""),
     "fold_scores": sql(SCORES, f"SELECT model, session_id, fold, n_test, {_m6} FROM sc"),

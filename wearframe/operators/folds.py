@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wearframe.functions import gaussian
 from wearframe.operators import rates
 from wearframe.operators.rates import LOAD_SLOPE
-from wearframe.operators.staging import spread
+from wearframe.operators.staging import stage
 
 STREAM = ("session_id", "fold", "seq", "asset", "event_id", "actual", "mean", "sd")
 
@@ -25,9 +25,9 @@ def _with_edges(laps: DataFrame, folds: DataFrame) -> DataFrame:
 
 def held_out(laps: DataFrame, folds: DataFrame) -> DataFrame:
     """Held-out rows with their fold; test spans do not overlap, so a row has one fold at most."""
-    mine = F.get(F.filter("_folds", lambda f: (F.col("seq") > f["cut"]) & (F.col("seq") <= f["last"])), F.lit(0))
-    rows = _with_edges(laps, folds).withColumn("_f", mine).where("_f IS NOT NULL")
-    return rows.select("*", F.col("_f.fold").alias("fold")).drop("_f", "_folds")
+    # exploded, not searched: the optimizer pushes a search of the array that looks at ``seq`` below the join, where there is none
+    rows = _with_edges(laps, folds).withColumn("_f", F.explode("_folds")).where((F.col("seq") > F.col("_f.cut")) & (F.col("seq") <= F.col("_f.last")))
+    return rows.withColumn("fold", F.col("_f.fold")).drop("_f", "_folds")
 
 
 def train_sums(laps: DataFrame, folds: DataFrame, keys, partial, total) -> DataFrame:
@@ -96,95 +96,137 @@ def corrected_rung(laps: DataFrame, folds: DataFrame) -> DataFrame:
 _NUMERIC = ("one", "age", "interference", "progress", "load", "y")
 _PAIRS = [(a, b) for i, a in enumerate(_NUMERIC) for b in _NUMERIC[i:]]
 
-_RIDGE_OUT = (
-    "session_id long, fold int, intercept double, interference double, progress double, load double, "
-    "origin double, sd double, first_mode string, assets map<string,double>, "
-    "modes map<string,struct<level:double,slope:double,slope_sd:double>>, failed string"
-)
-
-
-def _solve_ridge(key, pdf: pd.DataFrame, ridge: float) -> pd.DataFrame:
-    """Penalised least squares from the cross-product sums of one (session, fold)."""
-    assets = sorted(pdf["asset"].unique())
-    modes = sorted(pdf["mode"].unique())
-    a_at = {a: i for i, a in enumerate(assets[1:], start=1)}
-    m_at = {m: len(assets) + 2 * i for i, m in enumerate(modes)}
-    tail = len(assets) + 2 * len(modes)
-    p = tail + 3
-    gram, moment = np.zeros((p, p)), np.zeros(p)
-    y2 = n = 0.0
-    for row in pdf.itertuples(index=False):
-        # each (asset, mode) cell touches the same few columns with these factors
-        cols = [(0, "one"), (m_at[row.mode], "one"), (m_at[row.mode] + 1, "age"),
-                (tail, "interference"), (tail + 1, "progress"), (tail + 2, "load")]
-        if row.asset in a_at:
-            cols.append((a_at[row.asset], "one"))
-        for i, u in cols:
-            moment[i] += _cross(row, u, "y") * (-1 if u == "load" else 1)
-            for j, v in cols:
-                sign = (-1 if u == "load" else 1) * (-1 if v == "load" else 1)
-                gram[i, j] += sign * _cross(row, u, v)
-        y2 += row.y_y
-        n += row.one_one
-    out = {"session_id": key[0], "fold": key[1], "origin": float(pdf["origin"].min()), "failed": None}
-    try:
-        free = ridge * np.eye(p)
-        free[0, 0] = 0.0
-        beta = np.linalg.lstsq(gram + free, moment, rcond=None)[0]
-        rss = max(y2 - 2 * beta @ moment + beta @ gram @ beta, 0.0)
-        sigma2 = rss / max(n - p, 1)
-        spread = np.sqrt(np.maximum(sigma2 * np.diag(np.linalg.pinv(gram + ridge * np.eye(p))), 0.0))
-        out |= {
-            "intercept": beta[0], "interference": beta[tail], "progress": beta[tail + 1], "load": beta[tail + 2],
-            "sd": float(np.sqrt(sigma2)), "first_mode": modes[0],
-            "assets": {str(a): float(beta[i]) for a, i in a_at.items()},
-            "modes": {m: {"level": beta[i], "slope": beta[i + 1], "slope_sd": spread[i + 1]} for m, i in m_at.items()},
-        }
-    except np.linalg.LinAlgError as exc:
-        out |= {"failed": f"LinAlgError: {exc}"}
-    return pd.DataFrame([out])
+_SHARED = ["session_id", "fold"]
+_SOLVED = "session_id long, fold int, beta array<double>, spread array<double>, explained double, penalty double, failed string"
+
 
+def _columns(mode_at, values):
+    """Entries (position, value) of the shared columns one (asset, mode) cell touches: intercept, level and slope of its mode, interference, progress, load.
 
-def _cross(row, u, v):
-    name = f"{u}_{v}" if (u, v) in _PAIRS else f"{v}_{u}"
-    return getattr(row, name)
+    ``values`` maps the six factors to columns; load counts against the lap.
+    """
+    tail = 1 + 2 * F.size("modes")
+    level = 1 + 2 * mode_at
+    places = (F.lit(0), level, level + 1, tail, tail + 1, tail + 2)
+    factors = ("one", "one", "age", "interference", "progress", "load")
+    return [(p.cast("int"), -values(f) if f == "load" else values(f), f) for p, f in zip(places, factors)]
+
+
+def _factor(u, v):
+    return F.col(f"{u}_{v}" if (u, v) in _PAIRS else f"{v}_{u}")
+
+
+def _solve_shared(key, pdf: pd.DataFrame, ridge: float) -> pd.DataFrame:
+    """The reduced normal equations of one (session, fold): a few rows per pair of shared columns, none per asset."""
+    q = int(pdf["i"].max()) + 1
+    gram, moment = np.zeros((q, q)), np.zeros(q)
+    for i, j, v in zip(pdf["i"], pdf["j"], pdf["v"]):
+        if j < 0:
+            moment[i] = v
+        else:
+            gram[i, j] = v
+    penalty = ridge * np.eye(q)
+    out = {"session_id": key[0], "fold": key[1], "failed": None}
+    try:
+        every = np.linalg.inv(gram + penalty)
+        penalty[0, 0] = 0.0
+        beta = np.linalg.solve(gram + penalty, moment)
+        if not np.isfinite(beta).all():
+            raise np.linalg.LinAlgError("coefficients are not finite")
+        out |= {"beta": beta.tolist(), "spread": np.sqrt(np.maximum(np.diag(every), 0.0)).tolist(), "penalty": float(ridge * (beta[1:] @ beta[1:]))}
+    except np.linalg.LinAlgError as exc:
+        out |= {"beta": None, "spread": None, "penalty": None, "failed": f"LinAlgError: {exc}"}
+    return pd.DataFrame([out]).reindex(columns=[c.split()[0] for c in _SOLVED.split(", ") if c.split()[0] != "explained"])
 
 
-def ridge_fit(laps: DataFrame, folds: DataFrame, ridge=1.0) -> DataFrame:
+def ridge_fit(laps: DataFrame, folds: DataFrame, ridge=1.0):
     """Pooled regression per (session, fold): asset levels, mode levels and slopes, interference, progress, load.
 
-    The cross products are plain sums per (session, fold, asset, mode), so they
-    combine before the shuffle; only those few sums reach the solver. Every
-    fold trains from the session's first seq, which is the origin of progress.
+    Returns (shared, assets): one row per (session, fold) with the coefficients all assets share, and one row per (session, fold, asset) with its level
+    (0 for the first asset, the reference). Cross products are plain sums per (session, fold, asset, mode). Asset columns do not overlap, so their block
+    is diagonal: each asset is eliminated from the normal equations by itself, the sums of what that leaves (a Schur complement over two columns per
+    mode and four more) are solved, and asset levels follow by substitution. No matrix grows with the assets. Every
+    fold trains from the session's first seq, which is the origin of progress. ``ridge`` must be positive; the intercept is not penalised.
     """
+    if ridge <= 0:
+        raise ValueError("ridge must be positive")
     origin = laps.groupBy("session_id").agg(F.min("seq").cast("double").alias("origin"))
     rows = laps.join(origin, "session_id").select(
         "session_id", "seq", "origin", "asset", "mode", F.lit(1.0).alias("one"), "age",
         F.coalesce("interference", F.lit(0.0)).alias("interference"),
         (F.col("seq") - F.col("origin")).alias("progress"), F.col("elapsed").alias("load"), F.col("perf").alias("y"),
     )
-    sums = train_sums(
+    cells = train_sums(
         rows, folds, ["asset", "mode"], [F.first("origin").alias("origin"), *[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in _PAIRS]],
         [F.first("origin").alias("origin"), *[F.sum(f"{a}_{b}").alias(f"{a}_{b}") for a, b in _PAIRS]],
     )
+    cells = stage(cells)
+    facts = cells.groupBy(*_SHARED).agg(
+        F.array_sort(F.collect_set("mode")).alias("modes"), F.min("asset").alias("_reference"), F.first("origin").alias("origin"),
+        F.sum("one_one").alias("_n"), F.sum("y_y").alias("_y2"), F.count_distinct("asset").alias("_assets"),
+    )
+    cells = cells.join(facts.select(*_SHARED, "modes", "_reference"), _SHARED).withColumn("_at", F.array_position("modes", F.col("mode")).cast("int") - 1)
+
+    # cross products of the shared columns, cell by cell
+    touched = _columns(F.col("_at"), lambda f: F.lit(1.0))
+    signs = {f: (-1.0 if f == "load" else 1.0) for f in _NUMERIC}
+    entry = lambda i, j, v: F.struct(i.alias("i"), j.alias("j"), v.alias("v"))
+    pairs = [entry(i, j, signs[u] * signs[v] * _factor(u, v)) for i, _, u in touched for j, _, v in touched]
+    sides = [entry(i, F.lit(-1), signs[u] * _factor(u, "y")) for i, _, u in touched]
+    sums = cells.select(*_SHARED, F.explode(F.array(*pairs, *sides)).alias("x")).select(*_SHARED, "x.*")
+
+    # an asset's cross products with the shared columns, and what eliminating it takes away
+    own = cells.where(F.col("asset") > F.col("_reference"))
+    part = own.select(*_SHARED, "asset", "one_one", "one_y", F.explode(F.array(*[F.struct(i.alias("i"), (signs[u] * _factor(u, "one")).alias("c")) for i, _, u in touched])).alias("x"))
+    crossed = part.groupBy(*_SHARED, "asset", "x.i").agg(F.sum("x.c").alias("c"))
+    level = own.groupBy(*_SHARED, "asset").agg(F.sum("one_one").alias("_m"), F.sum("one_y").alias("_s"))
+    assets = stage(crossed.groupBy(*_SHARED, "asset").agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("cross")).join(level, [*_SHARED, "asset"]))
+    weight = F.col("_m") + F.lit(float(ridge))
+    less = F.flatten(F.transform("cross", lambda a: F.transform("cross", lambda b: F.struct(a["i"].alias("i"), b["i"].alias("j"), (-a["c"] * b["c"] / weight).alias("v")))))
+    side = F.transform("cross", lambda a: F.struct(a["i"].alias("i"), F.lit(-1).alias("j"), (-a["c"] * F.col("_s") / weight).alias("v")))
+    taken = assets.select(*_SHARED, F.explode(F.concat(less, side)).alias("x")).select(*_SHARED, "x.*")
+    reduced = sums.unionByName(taken).groupBy(*_SHARED, "i", "j").agg(F.sum("v").alias("v"))
 
     def solve(key, pdf):
-        return _solve_ridge(key, pdf, ridge)
+        return _solve_shared(key, pdf, ridge)
+
+    schema = ", ".join(c for c in _SOLVED.split(", ") if not c.startswith("explained"))
+    solved = stage(reduced.groupBy(*_SHARED).applyInPandas(solve, schema).join(facts, _SHARED))
 
-    return spread(sums, "session_id", "fold").groupBy("session_id", "fold").applyInPandas(solve, _RIDGE_OUT)
+    levels = assets.join(solved.select(*_SHARED, "beta"), _SHARED).select(
+        *_SHARED, "asset", ((F.col("_s") - F.aggregate("cross", F.lit(0.0), lambda acc, x: acc + x["c"] * F.get("beta", x["i"]))) / weight).alias("level"), "_s"
+    )
+    levels = stage(levels)
+    # rss = y'y - b'm - b'Lb for penalised coefficients b
+    explained = levels.groupBy(*_SHARED).agg(F.sum(F.col("level") * F.col("_s")).alias("_em"), F.sum(F.col("level") * F.col("level") * ridge).alias("_ep"))
+    moments = sums.where("j = -1").groupBy(*_SHARED, "i").agg(F.sum("v").alias("v")).groupBy(*_SHARED).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("_moment"))
+    shared = solved.join(explained, _SHARED, "left").join(moments, _SHARED)
+    rss = F.greatest(
+        F.col("_y2") - F.aggregate("_moment", F.lit(0.0), lambda acc, x: acc + x["v"] * F.get("beta", x["i"])) - F.coalesce("_em", F.lit(0.0))
+        - F.col("penalty") - F.coalesce("_ep", F.lit(0.0)), F.lit(0.0))
+    size = F.col("_assets") + 2 * F.size("modes") + 3
+    tail = 1 + 2 * F.size("modes")
+    sd = F.sqrt(rss / F.greatest(F.col("_n") - size, F.lit(1)))
+    shared = shared.select(
+        *_SHARED, F.get("beta", F.lit(0)).alias("intercept"), F.get("beta", tail).alias("interference"), F.get("beta", tail + 1).alias("progress"),
+        F.get("beta", tail + 2).alias("load"), "origin", sd.alias("sd"), F.get("modes", F.lit(0)).alias("first_mode"),
+        F.map_from_arrays("modes", F.transform("modes", lambda m, k: F.struct(
+            F.get("beta", 2 * k + 1).alias("level"), F.get("beta", 2 * k + 2).alias("slope"), (sd * F.get("spread", 2 * k + 2)).alias("slope_sd")))).alias("modes"),
+        "failed",
+    )
+    return shared, levels.drop("_s")
 
 
 def ridge_rung(laps: DataFrame, folds: DataFrame, ridge=1.0) -> DataFrame:
     """Forecasts of the pooled regression; an unseen asset or mode takes the reference level."""
-    test = held_out(laps, folds)
-    fit = ridge_fit(laps, folds, ridge).withColumnsRenamed({
-        "interference": "_b_i", "progress": "_b_p", "load": "_b_l"
-    })
-    joined = test.join(fit, ["session_id", "fold"])
+    test = stage(held_out(laps, folds))
+    fit, levels = ridge_fit(laps, folds, ridge)
+    fit = fit.withColumnsRenamed({"interference": "_b_i", "progress": "_b_p", "load": "_b_l"})
+    joined = test.join(fit, ["session_id", "fold"]).join(levels, ["session_id", "fold", "asset"], "left")
     mode = F.coalesce(F.try_element_at("modes", F.col("mode")), F.try_element_at("modes", F.col("first_mode")))
     mean = (
         F.col("intercept")
-        + F.coalesce(F.try_element_at("assets", F.col("asset").cast("string")), F.lit(0.0))
+        + F.coalesce("level", F.lit(0.0))
         + mode["level"] + mode["slope"] * F.col("age")
         + F.col("_b_i") * F.coalesce("interference", F.lit(0.0))
         + F.col("_b_p") * (F.col("seq") - F.col("origin"))
@@ -223,7 +265,6 @@ def boosted_fold(laps: DataFrame, folds: DataFrame, fold: int, trees=200, depth=
     from pyspark.ml.regression import GBTRegressor
 
     from wearframe.operators import slices
-    from wearframe.operators.staging import stage
 
     train, test = in_folds(laps, folds.where(F.col("fold") == fold))
     origin = train.groupBy("session_id").agg(F.min("seq").alias("_o"))
