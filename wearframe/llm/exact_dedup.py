@@ -53,13 +53,16 @@ def mark_copies(marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
     known = rows.join(F.broadcast(winners), "text_sha256", "left")
     ahead = F.col("__best").isNotNull() & ~rank.eqNullSafe(F.col("__best"))
     settled = known.filter(ahead).select(*rows.columns, F.col("__best.id").alias("keep_id"), F.col("__size").alias("group_size"), F.lit(False).alias("kept"))
+    # rows like a heavy winner: one of them stays, found by a number of their own
+    ties = staged(known.filter(F.col("__best").isNotNull() & rank.eqNullSafe(F.col("__best"))).withColumn("__at", F.monotonically_increasing_id()), "heavy-ties")
+    one = F.broadcast(ties.groupBy("text_sha256").agg(F.min("__at").alias("__one")))
+    tied = ties.join(one, "text_sha256").select(*rows.columns, F.col("__best.id").alias("keep_id"), F.col("__size").alias("group_size"), (F.col("__at") == F.col("__one")).alias("kept"))
     group = Window.partitionBy("text_sha256")
     best = group.orderBy(F.col("n_points").desc(), ident.asc_nulls_last())
-    others = known.filter(~ahead).select(
-        *rows.columns, F.first(ident).over(best).alias("keep_id"), F.coalesce(F.col("__size"), F.count(F.lit(1)).over(group)).alias("group_size"),
-        (F.row_number().over(best) == 1).alias("kept"),
+    others = known.filter(F.col("__best").isNull()).select(
+        *rows.columns, F.first(ident).over(best).alias("keep_id"), F.count(F.lit(1)).over(group).alias("group_size"), (F.row_number().over(best) == 1).alias("kept"),
     )
-    return settled.unionByName(others)
+    return settled.unionByName(tied).unionByName(others)
 
 
 def drop_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

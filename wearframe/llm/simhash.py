@@ -14,7 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
@@ -192,7 +192,8 @@ def table_keys(fp: Column, radius: int, blocks: int) -> Column:
 def near_links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
     """Links (`a`, `b`) between distinct fingerprints (`fp`) such that components are those of all pairs within `radius` bits."""
     sent = distinct.select("fp", F.explode(table_keys(F.col("fp"), radius, blocks)).alias("key"))
-    met = sent.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
+    # a grouped count combines before it is shuffled, and a join can be split where a key is crowded; a window over a key could be neither
+    met = sent.join(sent.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key")
     # a key of more than `chunk` rows: each row goes to all pairs of chunks that hold its own
     chunks = F.ceil(F.col("n") / chunk).cast("long")
     own = F.pmod(F.xxhash64("fp", F.lit("chunk")), chunks)
@@ -231,6 +232,5 @@ def drop_near_copies(docs: DataFrame, *, text_col: str = "text", id_col: str = "
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row")))
     groups = near_groups(marked, id_col, radius, blocks)
     stays = marked.groupBy("fp").agg(first.alias("first")).join(groups, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
-    one = Window.partitionBy("__row").orderBy("__row")
-    kept = docs.withColumn("__row", row_key).join(stays, "__row", "left_semi").withColumn("__n", F.row_number().over(one)).filter("__n = 1")
-    return back(kept)
+    # equal rows become one where they are read
+    return back(docs.withColumn("__row", row_key).join(stays, "__row", "left_semi").dropDuplicates(["__row"]))
