@@ -19,6 +19,7 @@ from wearframe.operators import statespace as ss
 from wearframe.operators.staging import stage
 from wearframe.plans import reports, validation
 from wearframe.sources import adapters as ad
+from wearframe.catalog.statistics import ASKED
 from wearframe.catalog.streams import stream_session
 from wearframe.streaming import live
 
@@ -230,7 +231,7 @@ def fitted_regimes(spark, d):
 
 
 def measurement_value(spark, d):
-    return rounded_all(reports.measurement_value(ss.mode_rates(_fit(spark, d))))
+    return rounded_all(reports.measurement_value(ss.mode_rates(_fit(spark, d)), ASKED))
 
 
 def decomposition_narration(spark, d):

@@ -251,9 +251,13 @@ def applicability(spark, d):
                                   F.concat_ws("; ", "reasons").alias("reasons")))
 
 
+#: Measurements asked about: name, share of the uncertainty it would remove, what it would settle.
+ASKED = (("track heat probe", 0.35, "heat against wear"), ("fuel scale", 0.30, "load at every lap"), ("depth gauge", 0.20, "wear itself"), ("inflation log", 0.12, "scatter within a run"))
+
+
 def value_of_information(spark, d):
     fit = rates.ols_by_mode(ad.laps_from_events(spark, d)).withColumnRenamed("slope_se", "rate_sd")
-    return rounded_all(st.value_of_information(fit))
+    return rounded_all(st.value_of_information(fit, ASKED))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -398,6 +402,6 @@ SELECT event_id, round(cov, 6) AS coverage, round(over, 6) AS laps_beyond, round
          CASE WHEN tr < 1 THEN 'more interference than observed' END), ''), 'inside the observed range') AS reasons FROM ap"""),
     "value_of_information": sql(LAPS + f""",
 cu AS (SELECT event AS session_id, avg(sd) AS c FROM ({_OLS.format(w="true")}) GROUP BY ALL),
-sg AS (SELECT * FROM (VALUES ('surface temperature', 0.35, 'tells heat from wear'), ('load mass', 0.30, 'replaces the prior on load'), ('measured wear depth', 0.20, 'ties the estimate to material lost'), ('pressure', 0.12, 'explains part of the noise inside a run')) v(signal, r, rationale))""", """
+sg AS (SELECT * FROM (VALUES {", ".join(str(x) for x in ASKED)}) v(signal, r, rationale))""", """
 SELECT session_id, signal, round(c, 6) AS current_uncertainty, CAST(r AS DOUBLE) AS estimated_reduction, round(c * (1 - r), 6) AS projected_uncertainty, rationale, true AS is_estimate FROM cu, sg"""),
 }

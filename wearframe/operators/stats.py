@@ -475,19 +475,13 @@ def applicability(laps: DataFrame, queries: DataFrame, by=("session_id",)) -> Da
     ).drop("_n", "_runs", "_age", "_i")
 
 
-#: Share of the remaining uncertainty each measurement would plausibly remove; fixed values.
-SIGNALS = (("surface temperature", 0.35), ("load mass", 0.30), ("measured wear depth", 0.20), ("pressure", 0.12))
-#: What each would settle.
-SETTLES = {
-    "surface temperature": "tells heat from wear", "load mass": "replaces the prior on load", "measured wear depth": "ties the estimate to material lost",
-    "pressure": "explains part of the noise inside a run",
-}
+def value_of_information(rates: DataFrame, signals, by=("session_id",)) -> DataFrame:
+    """Measurements ranked by how much of the mean rate uncertainty they would remove.
 
-
-def value_of_information(rates: DataFrame, by=("session_id",), signals=SIGNALS) -> DataFrame:
-    """Measurements ranked by how much of the mean rate uncertainty they would remove."""
+    ``signals`` is the caller's list of (measurement, share of the uncertainty it would remove, what it would settle).
+    """
     current = rates.groupBy(*by).agg(F.avg("rate_sd").alias("current_uncertainty"))
-    options = F.array(*[F.struct(F.lit(s).alias("signal"), F.lit(float(r)).alias("reduction"), F.lit(SETTLES.get(s, "")).alias("why")) for s, r in signals])
+    options = F.array(*[F.struct(F.lit(s).alias("signal"), F.lit(float(r)).alias("reduction"), F.lit(why).alias("why")) for s, r, why in signals])
     return current.withColumn("_s", F.explode(options)).select(
         *by, "_s.signal", "current_uncertainty", F.col("_s.reduction").alias("estimated_reduction"),
         (F.col("current_uncertainty") * (1 - F.col("_s.reduction"))).alias("projected_uncertainty"), F.col("_s.why").alias("rationale"), F.lit(True).alias("is_estimate"),

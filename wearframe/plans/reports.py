@@ -98,9 +98,9 @@ def trust_regimes(states: DataFrame, longest=10) -> DataFrame:
     return at.stint_regimes(states).withColumn("position", F.row_number().over(order)).where(F.col("position") <= longest)
 
 
-def measurement_value(rates_: DataFrame) -> DataFrame:
+def measurement_value(rates_: DataFrame, signals) -> DataFrame:
     """What else to measure, per session, from the uncertainty of its mode rates."""
-    return st.value_of_information(rates_, ("session_id",))
+    return st.value_of_information(rates_, signals, ("session_id",))
 
 
 def event_validation(compared: DataFrame, asked: DataFrame) -> DataFrame:
