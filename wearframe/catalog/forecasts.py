@@ -78,6 +78,17 @@ def ridge_rates(spark, d):
     return rounded_all(fo.ridge_rates(fo.ridge_fit(laps, folds)[0]))
 
 
+def isolated_rungs(spark, d):
+    """Sessions with few laps lose a time in training: what every rung makes of every fold, and why it fails."""
+    laps, folds = laps_and_folds(spark, d, interference=True)
+    few = laps.groupBy("session_id").count().where("count < 660").select("session_id", F.lit(True).alias("_few"))
+    first = laps.groupBy("session_id").agg(F.min("seq").alias("_first"))
+    broken = laps.join(few, "session_id", "left").join(first, "session_id").withColumn(
+        "perf", F.when(F.col("_few") & (F.col("seq") == F.col("_first")), F.lit(float("nan"))).otherwise(F.col("perf")))
+    out = fo.evaluate(stage(broken.drop("_few", "_first")), folds)
+    return out.groupBy("model", "session_id", "fold").agg(F.count("mean").alias("n_forecasts"), F.count("failed").alias("n_failed"), F.substring_index(F.min("failed"), ":", 1).alias("kind"))
+
+
 def boosted_forecast(spark, d):
     laps, folds = laps_and_folds(spark, d, interference=True)
     return rounded_all(fo.boosted_rung(laps, folds))
@@ -102,7 +113,7 @@ def recovery_summary(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    forecast_stream, fold_scores, model_scores, ladder, ridge_forecast, ridge_rates, boosted_forecast, rate_recovery, recovery_summary)}
+    forecast_stream, fold_scores, model_scores, ladder, ridge_forecast, ridge_rates, isolated_rungs, boosted_forecast, rate_recovery, recovery_summary)}
 
 RECOVERY = LAPS + """,
 fit AS (SELECT 's' || session_id AS model, mode, count(*) AS n, regr_slope(perf, age) AS rate,
@@ -145,6 +156,12 @@ rb AS (SELECT session_id, fold, assets, modes, beta, inv, len(assets) AS na,
 """
 
 ORACLES = {
+    "isolated_rungs": sql(LAPS + "," + FOLDS + """,
+sz AS (SELECT session_id, count(*) < 660 AS few FROM laps GROUP BY ALL),
+ts AS (SELECT f.session_id, f.fold, few, count(*) AS n FROM folds f JOIN laps l ON l.session_id = f.session_id AND l.seq > f.cut AND l.seq <= f.last JOIN sz ON sz.session_id = f.session_id GROUP BY ALL)""", """
+SELECT model, session_id, CAST(fold AS INTEGER) AS fold, CASE WHEN few THEN 0 ELSE n END AS n_forecasts, CAST(few AS BIGINT) AS n_failed,
+       CASE WHEN few THEN CASE WHEN model = 'ridge' THEN 'LinAlgError' ELSE 'ArithmeticError' END END AS kind
+FROM ts, (SELECT unnest(['naive', 'corrected', 'ridge']) AS model)"""),
     "ridge_rates": sql(RIDGE, """
 SELECT session_id, CAST(fold AS INTEGER) AS fold, mode, round(beta[na + 2 * q], 6) AS rate, round(sd * sqrt(greatest(inv[na + 2 * q], 0)), 6) AS rate_sd
 FROM (SELECT session_id, fold, beta, inv, na, sd, unnest(modes) AS mode, unnest(range(1, len(modes) + 1)) AS q FROM rb)"""),

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from wearframe.catalog.forecasts import laps_and_folds
-from wearframe.catalog.shared import ULAPS, r6, rounded_all, sql
+from wearframe.catalog.shared import LAPS, ULAPS, r6, rounded_all, sql
 from wearframe.functions import gaussian, narrate
 from wearframe.operators import attribute as at
 from wearframe.operators import folds as fo
@@ -192,6 +192,35 @@ s AS (SELECT session_id, 'f' AS variant, asset, seq, run_id, event_id, mode, age
 """
 
 
+def state_rate_trace(spark, d):
+    return rounded_all(reports.mean_rate_trace(_states(spark, d)))
+
+
+def _live_states(spark, d):
+    """States as the live estimator sends them: rows with a high value are refused."""
+    return _states(spark, d).withColumn("reason", F.when(F.col("perf") > 90, "no time")).withColumn("laps_observed", F.col("age").cast("long")).withColumn("coverage", F.lit(0.9))
+
+
+def state_latest(spark, d):
+    return rounded_all(live.latest_states(_live_states(spark, d)))
+
+
+def state_feed(spark, d):
+    """Frames of the feed, with what their payload says of the whole session."""
+    states = _live_states(spark, d)
+    for c in ("forecast", "low", "high"):
+        states = states.withColumn(c, F.col("perf"))
+    feed = live.live_feed(states.withColumn("covered", F.lit(True)))
+    whole = F.when(F.col("type") != "lap", F.get_json_object("payload", "$.total_laps").cast("long"))
+    return feed.select("session_id", "seq", "asset", "type", whole.alias("total_laps"), F.when(F.col("type") == "start", F.get_json_object("payload", "$.modes")).alias("modes"))
+
+
+def drift_curve_of_laps(spark, d):
+    """Drift a session should have picked up by each of its laps, for an amplitude of 0.9."""
+    laps = ad.laps_from_events(spark, d)
+    return rounded_all(windows.saturating_drift(laps, 0.01).select("session_id", "event_id", (F.col("drift_basis") * 0.9).alias("drift")))
+
+
 def decomposition(spark, d):
     out = at.decompose(_states(spark, d))
     return rounded_all(out.withColumn("largest", F.col("contributions")[0]["key"]).withColumn(
@@ -246,7 +275,7 @@ QUERIES = {f.__name__: f for f in (
     lap_states, coefficients, mode_rates, drift_curve, fit_diagnostics, tuned_hyper, prior_sweep, prior_sensitivity, statespace_forecast, full_ladder,
     fitted_decomposition, fitted_life, fitted_curvature, session_summary, confounder_shift, filtered_laps, runs_with_shape, lap_narration, trust_report,
     transfer_validation, live_replay, live_stream_agrees, live_rate_trace, live_latest, live_feed,
-    decomposition, peel_away, counterfactuals, projection, competitive_life, health_timeline, stint_regimes, trust_regimes, fitted_regimes, measurement_value,
+    state_rate_trace, state_latest, state_feed, drift_curve_of_laps, decomposition, peel_away, counterfactuals, projection, competitive_life, health_timeline, stint_regimes, trust_regimes, fitted_regimes, measurement_value,
     decomposition_narration, projection_narration)}
 
 DEC = STATES + """,
@@ -290,6 +319,18 @@ lf AS (SELECT {_k}, run_id, mode, age, any_value(oldest) AS oldest,
   coalesce(min(h) FILTER (WHERE (loss - 0.8) >= {gaussian.ppf(0.8)!r} * greatest(loss_sd, 1e-9)), 20) AS c FROM pj GROUP BY ALL)""", """
 SELECT session_id, asset, seq, printf('Car %s, %s unit, age %.0f: expected to pass %.1f s of loss after %.0f laps (likely %.0f to %.0f).', asset::VARCHAR, lower(mode), age::DOUBLE,
   0.8::DOUBLE, b::DOUBLE, a::DOUBLE, c::DOUBLE) || CASE WHEN exp(-greatest(age + 20 - oldest, 0) / 5) < 0.5 THEN ' No unit seen here was ever that old.' ELSE '' END AS text FROM lf"""),
+    "state_rate_trace": sql(STATES, "SELECT session_id, seq, mode, round(avg(rate), 6) AS mean_rate, count(*) AS n FROM s GROUP BY ALL"),
+    "state_latest": sql(STATES + """,
+g AS (SELECT *, row_number() OVER (PARTITION BY session_id, asset ORDER BY seq DESC) AS r FROM s WHERE NOT perf > 90)""", """
+SELECT session_id, asset, seq, mode, age, round(level, 6) AS level, round(level_sd, 6) AS level_sd, round(rate, 6) AS rate, round(rate_sd, 6) AS rate_sd,
+       CAST(age AS BIGINT) AS laps_observed, CAST(0.9 AS DOUBLE) AS coverage, round(greatest(0, least(100, 100 * (1 - level / 1.5))), 6) AS health FROM g WHERE r = 1"""),
+    "state_feed": sql(STATES + """,
+g AS (SELECT * FROM s WHERE NOT perf > 90),
+e AS (SELECT session_id, min(seq) AS f, max(seq) AS l, count(*) AS n, '["' || string_agg(DISTINCT mode, '","' ORDER BY mode) || '"]' AS m FROM g GROUP BY ALL)""", """
+SELECT session_id, seq, asset, 'lap' AS type, NULL::BIGINT AS total_laps, NULL AS modes FROM g
+UNION ALL SELECT session_id, f, -1, 'start', n, m FROM e UNION ALL SELECT session_id, l, NULL, 'complete', n, NULL FROM e"""),
+    "drift_curve_of_laps": sql(LAPS, """
+SELECT session_id, event_id, round(-0.9 * (1 - exp(-0.01 * (seq - min(seq) OVER (PARTITION BY session_id)))), 6) AS drift FROM laps"""),
     "live_stream_agrees": sql(ULAPS, "SELECT session_id, count(*) AS n, count(*) AS n_agree FROM ulaps GROUP BY session_id"),
     "peel_away": sql(DEC, f"""
 SELECT {_k}, round(delta, 6) AS step_0, round(delta - load, 6) AS step_1, round(delta - load - drift, 6) AS step_2,

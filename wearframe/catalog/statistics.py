@@ -95,6 +95,20 @@ def leave_one_circuit_out(spark, d):
     return rounded_all(out.select("event", "label", "circuit", "predicted"))
 
 
+FAMILIES = {"shape": ["corners"], "heat": ["temperature"], "everything": ["corners", "temperature"]}
+
+
+def family_predictions(spark, d):
+    return rounded_all(st.family_predictions(estimates(spark, d), FAMILIES).select("event", "label", "circuit", "family", "predicted"))
+
+
+def circuit_ablation(spark, d):
+    est = estimates(spark, d)
+    est = st.loo_mean(st.loo_mean(est, ["circuit"], ["label"], "rate", "label_mean"), ["circuit"], [], "rate", "global_mean")
+    est = stage(est.withColumn("label_mean", F.coalesce("label_mean", "global_mean")))
+    return rounded_all(st.ablation(stage(st.family_predictions(est, FAMILIES))))
+
+
 def loco_scores(spark, d):
     est = st.loo_mean(st.loo_mean(estimates(spark, d), ["circuit"], ["label"], "rate", "label_mean"), ["circuit"], [], "rate", "global_mean")
     est = est.withColumn("label_mean", F.coalesce("label_mean", "global_mean"))
@@ -261,7 +275,7 @@ def value_of_information(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    variance_decomposition, loo_mean, loeo_modes, loeo_modes_summary, signed_rank, paired_t, bias_screen, leave_one_circuit_out, loco_scores,
+    variance_decomposition, loo_mean, loeo_modes, loeo_modes_summary, signed_rank, paired_t, bias_screen, leave_one_circuit_out, family_predictions, circuit_ablation, loco_scores,
     asset_deviations, teammate_gaps, top_gaps, split_half, split_half_pairs, split_half_summary, loso_history, history_summary, trait_summary,
     compare_rates, validation_report, event_validation, transfer_overall, depth_summary, bias_table, consensus, applicability, value_of_information)}
 
@@ -292,7 +306,39 @@ rb AS (SELECT *, 0.05 * row_number() OVER (ORDER BY p, predictor) / count(*) OVE
 """
 _shape = ("n_stints", "mean_length", "max_length", "total_laps", "mean_interference", "stints_per_asset")
 
+# uncentred design with a free intercept; a penalty of five variances is what a penalty of five is on standardised columns
+FAMILY = EST + """,
+fm AS (SELECT * FROM (VALUES ('shape', [1]), ('heat', [2]), ('everything', [1, 2])) v(family, chosen)),
+ft AS (SELECT c.circuit AS held, family, chosen, e.* FROM (SELECT DISTINCT circuit FROM est) c, fm, est e WHERE e.circuit <> c.circuit),
+fl AS (SELECT held, family, any_value(chosen) AS chosen, list(DISTINCT label ORDER BY label) AS labels, CAST(count(*) AS DOUBLE) AS n FROM ft GROUP BY ALL),
+fx AS (SELECT held, family, rate AS y, list_concat([1.0::DOUBLE], list_transform(labels, lambda q: CASE WHEN q = label THEN 1.0::DOUBLE ELSE 0.0 END), list_transform(fl.chosen, lambda q: [corners, temperature][q])) AS x
+       FROM ft JOIN fl USING (held, family)),
+fu AS (SELECT held, family, y, x, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS k FROM fx),
+fg AS (SELECT held, family, k, list(g ORDER BY j) AS row FROM (SELECT held, family, k, j, sum(v * w) AS g FROM (SELECT held, family, k, v, unnest(x) AS w, unnest(range(1, len(x) + 1)) AS j FROM fu) GROUP BY ALL) GROUP BY ALL),
+fk AS (SELECT held, family, k, sum(v * y) AS m, sum(v) AS s FROM fu GROUP BY ALL),
+fa AS (SELECT held, family, len(list(k)) AS p,
+         list(list_concat(list_transform(row, lambda g, j: g + CASE WHEN j = k AND k > 1 THEN 5.0 * CASE WHEN row[k] / n - (s / n) ** 2 < 1e-20 THEN 1.0 ELSE row[k] / n - (s / n) ** 2 END ELSE 0.0 END), [m]) ORDER BY k) AS a
+       FROM fg JOIN fk USING (held, family, k) JOIN fl USING (held, family) GROUP BY ALL),
+fe AS (WITH RECURSIVE e AS (
+         SELECT held, family, p, 1 AS s, a FROM fa
+         UNION ALL
+         SELECT held, family, p, s + 1, list_transform(a, lambda r, q: CASE WHEN q = s THEN list_transform(r, lambda v: v / a[s][s]) ELSE list_transform(r, lambda v, j: v - r[s] * a[s][j] / a[s][s]) END) FROM e WHERE s <= p)
+       SELECT held, family, list_transform(a, lambda r: r[p + 1]) AS beta FROM e WHERE s = p + 1),
+fp AS (SELECT event, label, circuit, fe.family, rate, beta[1] + coalesce(beta[1 + list_position(labels, label)], 0.0)
+         + list_sum(list_transform(chosen, lambda q, i: [corners, temperature][q] * beta[1 + len(labels) + i])) AS predicted
+       FROM est JOIN fe ON held = circuit JOIN fl ON fl.held = fe.held AND fl.family = fe.family),
+fb AS (SELECT fp.*, abs(predicted - rate) AS e, abs(coalesce((SELECT avg(b.rate) FROM est b WHERE b.label = fp.label AND b.circuit <> fp.circuit),
+         (SELECT avg(b.rate) FROM est b WHERE b.circuit <> fp.circuit)) - rate) AS b FROM fp)
+"""
+
 ORACLES = {
+    "family_predictions": sql(FAMILY, "SELECT event, label, circuit, family, round(predicted, 6) AS predicted FROM fp"),
+    "circuit_ablation": sql(FAMILY + "".join(f", f_{k} AS (SELECT e, b FROM fb WHERE family = '{k}')," + _wx(k, "e", "b", f"f_{k}") for k in FAMILIES) + """,
+ab AS (SELECT family, count(*) AS n_cases, avg(e) AS mae, avg(b) AS baseline_mae FROM fb GROUP BY ALL),
+ap AS (SELECT ab.*, CASE family """ + " ".join(f"WHEN '{k}' THEN (SELECT p FROM wp_{k})" for k in FAMILIES) + """ END AS p FROM ab)""", """
+SELECT family, n_cases, round(mae, 6) AS mae, round(baseline_mae, 6) AS baseline_mae, round(p, 6) AS wilcoxon_p, round(100 * (baseline_mae - mae) / baseline_mae, 6) AS vs_baseline_pct,
+       p < 0.05 AND mae < baseline_mae AS helps, p < 0.05 AND mae > baseline_mae AS hurts FROM ap WHERE n_cases >= 20"""),
+    "leave_one_circuit_out": sql(FAMILY, "SELECT event, label, circuit, round(predicted, 6) AS predicted FROM fp WHERE family = 'everything'"),
     "variance_decomposition": sql(EST + """,
 k AS (SELECT * FROM est WHERE mode_id IS NOT NULL),
 a AS (SELECT count(*) AS n, var_samp(rate) AS v FROM k GROUP BY label HAVING count(*) >= 3),

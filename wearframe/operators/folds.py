@@ -4,6 +4,8 @@ A rung takes the lap table and the fold edges and returns a forecast stream:
 session_id, fold, seq, asset, actual, mean, sd, model, failed.
 """
 
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -97,7 +99,7 @@ _NUMERIC = ("one", "age", "interference", "progress", "load", "y")
 _PAIRS = [(a, b) for i, a in enumerate(_NUMERIC) for b in _NUMERIC[i:]]
 
 _SHARED = ["session_id", "fold"]
-_SOLVED = "session_id long, fold int, beta array<double>, spread array<double>, explained double, penalty double, failed string"
+_SOLVED = "session_id long, fold int, beta array<double>, spread array<double>, explained double, penalty double, fit_seconds double, failed string"
 
 
 def _columns(mode_at, values):
@@ -127,6 +129,7 @@ def _solve_shared(key, pdf: pd.DataFrame, ridge: float) -> pd.DataFrame:
             gram[i, j] = v
     penalty = ridge * np.eye(q)
     out = {"session_id": key[0], "fold": key[1], "failed": None}
+    began = time.perf_counter()
     try:
         every = np.linalg.inv(gram + penalty)
         penalty[0, 0] = 0.0
@@ -136,6 +139,7 @@ def _solve_shared(key, pdf: pd.DataFrame, ridge: float) -> pd.DataFrame:
         out |= {"beta": beta.tolist(), "spread": np.sqrt(np.maximum(np.diag(every), 0.0)).tolist(), "penalty": float(ridge * (beta[1:] @ beta[1:]))}
     except np.linalg.LinAlgError as exc:
         out |= {"beta": None, "spread": None, "penalty": None, "failed": f"LinAlgError: {exc}"}
+    out["fit_seconds"] = time.perf_counter() - began
     return pd.DataFrame([out]).reindex(columns=[c.split()[0] for c in _SOLVED.split(", ") if c.split()[0] != "explained"])
 
 
@@ -212,7 +216,7 @@ def ridge_fit(laps: DataFrame, folds: DataFrame, ridge=1.0):
         F.get("beta", tail + 2).alias("load"), "origin", sd.alias("sd"), F.get("modes", F.lit(0)).alias("first_mode"),
         F.map_from_arrays("modes", F.transform("modes", lambda m, k: F.struct(
             F.get("beta", 2 * k + 1).alias("level"), F.get("beta", 2 * k + 2).alias("slope"), (sd * F.get("spread", 2 * k + 2)).alias("slope_sd")))).alias("modes"),
-        "failed",
+        "fit_seconds", "failed",
     )
     return shared, levels.drop("_s")
 
@@ -292,12 +296,29 @@ def boosted_fold(laps: DataFrame, folds: DataFrame, fold: int, trees=200, depth=
 RUNGS = {"naive": line_rung, "corrected": corrected_rung, "ridge": ridge_rung}
 
 
+def isolated(stream: DataFrame) -> DataFrame:
+    """A rung that cannot forecast a fold of a session fails there alone: one row with the reason stands for its forecasts, all others stay as they are.
+
+    A fold fails if a forecast or its spread is missing or not finite, or if the rung said so itself.
+    """
+    keys = ["model", "session_id", "fold"]
+    finite = lambda c: F.coalesce(F.abs(F.col(c)) < F.lit(float("inf")), F.lit(False)) & ~F.isnan(F.coalesce(F.col(c), F.lit(0.0)))
+    stream = stage(stream)
+    said = F.min("failed")
+    bad = stream.groupBy(*keys).agg(said.alias("_said"), F.count_if(F.col("failed").isNull() & ~(finite("mean") & finite("sd"))).alias("_bad"), F.count(F.lit(1)).alias("_n"))
+    bad = bad.where("_said IS NOT NULL OR _bad > 0").withColumn(
+        "failed", F.coalesce("_said", F.format_string("ArithmeticError: %d of %d forecasts are not finite", "_bad", "_n")))
+    types = dict(stream.dtypes)
+    rows = bad.select(*[F.col(c) if c in (*keys, "failed") else F.lit(None).cast(types[c]).alias(c) for c in stream.columns])
+    return stream.join(bad.select(*keys), keys, "left_anti").select(*stream.columns).unionByName(rows)
+
+
 def evaluate(laps: DataFrame, folds: DataFrame, rungs=None) -> DataFrame:
-    """Forecast streams of every rung, stacked."""
+    """Forecast streams of every rung, stacked; a broken session fails by itself (see ``isolated``)."""
     from functools import reduce
 
     streams = [rung(laps, folds) for rung in (rungs or RUNGS).values()]
-    return reduce(DataFrame.unionByName, streams)
+    return isolated(reduce(DataFrame.unionByName, streams))
 
 
 def fold_scores(stream: DataFrame) -> DataFrame:

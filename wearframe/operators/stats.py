@@ -153,13 +153,22 @@ def loeo_modes_summary(cases: DataFrame) -> DataFrame:
 # ---- held-out ridge on group features -----------------------------------------
 
 
-def loco(estimates: DataFrame, features, group_col="label", circuit="circuit", value="rate", alpha=5.0) -> DataFrame:
-    """Leave-one-circuit-out ridge on group dummies and features, standardised inside each fold.
+def swept(m: np.ndarray, k: int, back=False) -> np.ndarray:
+    """A symmetric cross-product matrix with variable ``k`` swept in, or swept out again: once in, its row holds its coefficients on the variables that are not."""
+    d = m[k, k]
+    out = m - np.outer(m[:, k], m[k]) / d
+    out[k] = out[:, k] = (-m[k] if back else m[k]) / d
+    out[k, k] = -1.0 / d
+    return out
+
 
-    Cross products are summed per (circuit, group); the training sums of a held
-    circuit are the totals minus its own, so rows are read once.
+def family_fits(estimates: DataFrame, families: dict, group_col="label", circuit="circuit", value="rate", alpha=5.0) -> DataFrame:
+    """Ridge on group dummies and each family's features, without each circuit: circuit, family, intercept, levels, slopes.
+
+    Columns are standardised inside each fold. Cross products of all features are summed once per (circuit, group); the training sums of a held
+    circuit are the totals minus its own. The matrix of a circuit is built once; groups are swept in, and each family's features in and out again.
     """
-    features = list(features)
+    features = list(dict.fromkeys(f for names in families.values() for f in names))
     names = ["one", *features, "y"]
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     rows = estimates.select(
@@ -169,60 +178,88 @@ def loco(estimates: DataFrame, features, group_col="label", circuit="circuit", v
     sums = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}_{j}") for i, j in pairs]
     cells = rows.groupBy("_c", "_g").agg(*sums)
     totals = cells.groupBy("_g").agg(*[F.sum(f"p{i}_{j}").alias(f"p{i}_{j}") for i, j in pairs])
+    # one row per group; every circuit needs every group's total
     packed = totals.agg(F.collect_list(F.struct(*totals.columns))).scalar()
     per_circuit = cells.select("_c").distinct().withColumn("_t", F.explode(packed)).select("_c", "_t.*").withColumn(
         "_own", F.lit(0.0)
     ).unionByName(cells.withColumn("_own", F.lit(1.0)))
     k = len(features)
+    schema = "circuit string, family string, intercept double, levels map<string,double>, slopes map<string,double>"
 
     def solve(key, pdf):
-        groups = sorted(pdf["_g"].unique())
         gram = {}
         for row in pdf.to_dict("records"):
             m = np.zeros((k + 2, k + 2))
             for i, j in pairs:
                 m[i, j] = m[j, i] = row[f"p{i}_{j}"]
             gram[row["_g"]] = gram.get(row["_g"], 0) + (m if row["_own"] == 0 else -m)
-        groups = [g for g in groups if gram[g][0, 0] > 0.5]
-        p = len(groups) + k
+        groups = sorted(g for g in gram if gram[g][0, 0] > 0.5)
         if not groups:
-            return pd.DataFrame(columns=["circuit", "intercept", "levels", "slopes"])
-        n = sum(gram[g][0, 0] for g in groups)
-        s1, s2, sy = np.zeros(p), np.zeros((p, p)), np.zeros(p)
-        for a, g in enumerate(groups):
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        # all columns, y last
+        n_groups, size = len(groups), len(groups) + k + 1
+        s1, s2 = np.zeros(size), np.zeros((size, size))
+        for at, g in enumerate(groups):
             m = gram[g]
-            s1[a] = m[0, 0]
-            s2[a, a] = m[0, 0]
-            s2[a, len(groups):] = s2[len(groups):, a] = m[0, 1:k + 1]
-            sy[a] = m[0, k + 1]
-            s1[len(groups):] += m[0, 1:k + 1]
-            s2[len(groups):, len(groups):] += m[1:k + 1, 1:k + 1]
-            sy[len(groups):] += m[1:k + 1, k + 1]
-        y_mean = sum(gram[g][0, k + 1] for g in groups) / n
+            s1[at] = s2[at, at] = m[0, 0]
+            s2[at, n_groups:] = s2[n_groups:, at] = m[0, 1:]
+            s1[n_groups:] += m[0, 1:]
+            s2[n_groups:, n_groups:] += m[1:, 1:]
+        n = sum(gram[g][0, 0] for g in groups)
         mean = s1 / n
         cov = s2 / n - np.outer(mean, mean)
         sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
         sd[sd < 1e-12] = 1.0
-        xtx = n * cov / np.outer(sd, sd)
-        xty = (sy - n * mean * y_mean) / sd
-        beta = np.linalg.solve(xtx + alpha * np.eye(p), xty) / sd
-        return pd.DataFrame([{
-            "circuit": str(key[0]), "intercept": float(y_mean - beta @ mean),
-            "levels": {str(g): float(beta[a]) for a, g in enumerate(groups)},
-            "slopes": [float(b) for b in beta[len(groups):]],
-        }])
-
-    fitted = per_circuit.groupBy("_c").applyInPandas(
-        solve, "circuit string, intercept double, levels map<string,double>, slopes array<double>"
-    )
-    scored = estimates.withColumn("_ck", F.col(circuit).cast("string")).join(
-        fitted.withColumnRenamed("circuit", "_ck"), "_ck"
-    )
+        sd[-1] = 1.0
+        work = n * cov / np.outer(sd, sd) + alpha * np.diag([1.0] * (size - 1) + [0.0])
+        for at in range(n_groups):
+            work = swept(work, at)
+        out = []
+        for family, chosen in families.items():
+            columns = [n_groups + features.index(f) for f in chosen]
+            for at in columns:
+                work = swept(work, at)
+            used = [*range(n_groups), *columns]
+            beta = work[used, -1] / sd[used]
+            out.append({
+                "circuit": str(key[0]), "family": family, "intercept": float(mean[-1] - beta @ mean[used]),
+                "levels": {str(g): float(beta[i]) for i, g in enumerate(groups)}, "slopes": {f: float(v) for f, v in zip(chosen, beta[n_groups:])},
+            })
+            for at in reversed(columns):
+                work = swept(work, at, back=True)
+        return pd.DataFrame(out)
+
+    return per_circuit.groupBy("_c").applyInPandas(solve, schema)
+
+
+def family_predictions(estimates: DataFrame, families: dict, group_col="label", circuit="circuit", value="rate", alpha=5.0) -> DataFrame:
+    """Every estimate predicted by each family's fit without its circuit: ``estimates`` with ``family`` and ``predicted``."""
+    fitted = family_fits(estimates, families, group_col, circuit, value, alpha).withColumnRenamed("circuit", "_ck")
+    scored = estimates.withColumn("_ck", F.col(circuit).cast("string")).join(fitted, "_ck")
     level = F.coalesce(F.try_element_at("levels", F.col(group_col).cast("string")), F.lit(0.0))
-    slope = sum((F.col("slopes")[i] * F.col(f) for i, f in enumerate(features)), F.lit(0.0))
+    features = list(dict.fromkeys(f for names in families.values() for f in names))
+    slope = sum((F.coalesce(F.try_element_at("slopes", F.lit(f)) * F.col(f), F.lit(0.0)) for f in features), F.lit(0.0))
     return scored.withColumn("predicted", F.col("intercept") + level + slope).drop("_ck", "intercept", "levels", "slopes")
 
 
+def loco(estimates: DataFrame, features, group_col="label", circuit="circuit", value="rate", alpha=5.0) -> DataFrame:
+    """Leave-one-circuit-out ridge on group dummies and ``features`` (see ``family_fits``): ``estimates`` with ``predicted``."""
+    return family_predictions(estimates, {"all": list(features)}, group_col, circuit, value, alpha).drop("family")
+
+
+def ablation(cases: DataFrame, actual="rate", baseline="label_mean", least=20) -> DataFrame:
+    """What each family of features is worth beside the baseline: errors, gain, signed-rank p, and whether it clearly helps or hurts.
+
+    cases: ``family_predictions`` with the baseline's predictions. Families with fewer than ``least`` cases are left out.
+    """
+    rows = cases.select("family", F.abs(F.col("predicted") - F.col(actual)).alias("e"), F.abs(F.col(baseline) - F.col(actual)).alias("b"))
+    scores = rows.groupBy("family").agg(F.count(F.lit(1)).alias("n_cases"), F.avg("e").alias("mae"), F.avg("b").alias("baseline_mae")).where(F.col("n_cases") >= least)
+    tested = scores.join(wilcoxon(rows, "e", "b", ["family"]).select("family", F.col("p_value").alias("wilcoxon_p")), "family", "left")
+    clear = F.coalesce(F.col("wilcoxon_p") < 0.05, F.lit(False))
+    return tested.withColumn("vs_baseline_pct", F.try_divide(100 * (F.col("baseline_mae") - F.col("mae")), "baseline_mae")).withColumn(
+        "helps", clear & (F.col("mae") < F.col("baseline_mae"))).withColumn("hurts", clear & (F.col("mae") > F.col("baseline_mae")))
+
+
 def loco_scores(cases: DataFrame, predictors, actual="rate", baseline="label_mean") -> DataFrame:
     """Error of each predictor and its gain over the baseline."""
     long = cases.select(F.explode(F.array(*[

@@ -185,13 +185,6 @@ def rolling_folds(df: DataFrame, session="session_id", seq="seq", n=4, frac=0.4)
     )
 
 
-def head_tail(df: DataFrame, unit: str, pos: str, size: str, head: int, tail: int) -> DataFrame:
-    """Mark the first ``head`` and last ``tail`` rows of each unit from its position column."""
-    return df.withColumn("is_head", F.col(pos) <= head).withColumn(
-        "is_tail", F.col(pos) > F.col(size) - tail
-    )
-
-
 def transitions(df: DataFrame, session="session_id", asset="asset", seq="seq", run="run_id", age="age",
                 width=256) -> DataFrame:
     """Per asset and seq: whether a new unit was fitted, and the age gained otherwise."""
@@ -214,3 +207,12 @@ def age_violations(df: DataFrame, session="session_id", run="run_id", seq="seq",
 
 def clip(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
+
+
+def saturating_drift(laps: DataFrame, shape: float, session="session_id", seq="seq") -> DataFrame:
+    """Adds ``drift_basis``: -(1 - exp(-shape * laps since the session began)), from 0 towards -1.
+
+    Only each session's first seq is shuffled to its rows, so a session of any size spreads over many tasks.
+    """
+    first = laps.groupBy(session).agg(F.min(seq).alias("_first"))
+    return laps.join(first, session).withColumn("drift_basis", -(1 - F.exp(-F.lit(float(shape)) * (F.col(seq) - F.col("_first"))))).drop("_first")
