@@ -216,6 +216,27 @@ def test_search_blocks_do_not_matter(spark, monkeypatch):
     assert run() == whole and len(whole) >= 6
 
 
+def test_bounded_scan_equals_full_scan(spark):
+    rng = np.random.default_rng(17)
+    # clusters along the leading components, so that blocks differ and bounds can exclude them
+    v = rng.normal(size=(600, 12)) * 0.15 + rng.choice([-1, 1], size=(600, 3)) @ np.eye(3, 12)
+    v[500:] = v[500]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    q = v[[3, 77, 510]]
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "passage_id long, v array<double>")
+    wanted = [-0.9, 0.2, 0.7, 0.97]
+    asked = spark.createDataFrame([(j, x.tolist(), wanted) for j, x in enumerate(q)], "query_id long, v array<double>, wanted array<double>")
+    blocked, centres = se.in_blocks(vectors, bits=3)
+    assert centres.count() > 4
+    got = {(r.query_id, r.passage_id) for r in se.semantic_top(blocked, centres, asked.drop("wanted"), 15).collect()}
+    s = v @ q.T
+    for j in range(3):
+        order = np.lexsort((np.arange(600), -s[:, j].round(12)))[:15]
+        assert {i for k, i in got if k == j} == set(order.tolist())
+    ranks = {(r.query_id, r.k): r.semantic_rank for r in se.semantic_ranks(blocked, centres, asked).collect()}
+    assert ranks == {(j, k): int((s[:, j] > w).sum()) for j in range(3) for k, w in enumerate(wanted)}
+
+
 def test_chunker(spark):
     words = " ".join(f"w{i}" for i in range(20))
     doc = f"# First **part**\n{words}\n```\nskip this code entirely please now ok\n```\nshort line\n\n## Second\n| a | [b](http://x) |\n|---|---|\n{words}\n"
