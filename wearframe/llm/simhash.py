@@ -225,12 +225,13 @@ def mark_near_copies(docs: DataFrame, *, text_col: str = "text", id_col: str = "
 
 def drop_near_copies(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """One document of each component, with the columns of `docs`: the one with the smallest id (null last); of repeated rows one stays."""
-    docs, place, back = aside(docs)
+    hidden, place, back = aside(docs)
     text_col, id_col = place[text_col.lower()], place[id_col.lower()]
+    # rows get a number once, in a written table: it tells equal rows apart, and no key is shared by many rows
+    numbered = staged(hidden.withColumn("__at", F.monotonically_increasing_id()), "numbered")
     row_key = F.md5(F.concat_ws("\x1f", key_of(F.col(id_col)), text_of(text_col)))
-    marked = staged(docs.select(F.col(id_col), row_key.alias("__row"), fingerprints(text_of(text_col)).alias("fp")), "marked")
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row")))
+    marked = staged(numbered.select(id_col, "__at", row_key.alias("__row"), fingerprints(text_of(text_col)).alias("fp")), "marked")
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"), F.col("__at").alias("at")))
     groups = near_groups(marked, id_col, radius, blocks)
-    stays = marked.groupBy("fp").agg(first.alias("first")).join(groups, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
-    # equal rows become one where they are read
-    return back(docs.withColumn("__row", row_key).join(stays, "__row", "left_semi").dropDuplicates(["__row"]))
+    stays = marked.groupBy("fp").agg(first.alias("first")).join(groups, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.at").alias("__at"))
+    return back(numbered.join(stays, "__at", "left_semi"))
