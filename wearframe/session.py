@@ -24,8 +24,10 @@ def build_session(app="wearframe", master=None, shuffle_partitions=None):
         .config("spark.ui.enabled", "false")
     )
     if master:
+        builder = builder.master(master)
+    if master and master.startswith("local") and not master.startswith("local-cluster"):
         # one machine: its own folder serves all executors, unless the defaults or the environment name one
-        builder = builder.master(master).config("spark.driver.memory", "12g")
+        builder = builder.config("spark.driver.memory", "12g")
         if not SparkConf().get("spark.checkpoint.dir", None):
             builder = builder.config("spark.checkpoint.dir", os.environ.get("WEARFRAME_CHECKPOINTS", "/tmp/wearframe-checkpoints"))
     if shuffle_partitions:
