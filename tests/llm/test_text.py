@@ -169,6 +169,20 @@ def test_leaks_match_plain(spark, block):
         assert inside == r.leak["n_hit"]
 
 
+def test_long_text_in_windows_equals_whole(monkeypatch):
+    rng = random.Random(21)
+    word = lambda lang: "".join(rng.choice({"x": "abcde", "y": "defgh"}[lang]) for _ in range(rng.randint(1, 7)))
+    samples = [(lang, " ".join(word(lang) for _ in range(300)).encode()) for lang in "xy" for _ in range(5)]
+    model = language.fit(samples)
+    text = b"  " + b" ".join(word(rng.choice("xxxy")).encode() for _ in range(20_000)) + b" 12 \n"
+    whole = language.predict([text], model)
+    monkeypatch.setattr(language, "WINDOW", 1000)
+    monkeypatch.setattr(language, "SEGMENTS", 3)
+    parts = language.predict([text], model)
+    assert whole[0] == parts[0] and abs(whole[1][0] - parts[1][0]) < 1e-6
+    assert language.predict([b" 12 " * 500], model)[0][0] == -1
+
+
 def test_scanner_reads_long_texts_in_parts(monkeypatch):
     monkeypatch.setattr("wearframe.llm.common.PART", 37)
     rng = random.Random(12)

@@ -35,6 +35,9 @@ TABLE_BITS = 17
 LEXICON_COUNT = 5
 #: Words of a segment, and bytes of text handled at a time.
 SEGMENT = 1024
+#: Segments whose posteriors are held at a time, and bytes of a long text that are read at a time.
+SEGMENTS = 1 << 14
+WINDOW = 4 << 20
 BATCH = 4 << 20
 UNKNOWN = "und"
 
@@ -154,22 +157,26 @@ def posterior_sums(emission: np.ndarray, lengths: np.ndarray, moves: np.ndarray,
             if seg_no[i] < per_doc[seg_doc[i]] - 1:
                 after[i] = _scaled(step @ (matrix[place[i + 1]] @ after[i + 1]))
 
-    sizes, at = size[order], start[order]
-    forward = np.empty((len(emission), n_labels))
-    alpha = prior[order]
-    for t in range(int(sizes[0]) if len(sizes) else 0):
-        k = active(sizes, t)
-        alpha = alpha[:k] @ step if t else alpha[:k]
-        alpha = _scaled(alpha * weight[at[:k] + t])
-        forward[at[:k] + t] = alpha
-    sums = np.zeros((len(order), n_labels))
-    beta = after[order]
-    for t in range(int(sizes[0]) - 1 if len(sizes) else -1, -1, -1):
-        k = active(sizes, t)
-        sums[:k] += _scaled(forward[at[:k] + t] * beta[:k])
-        beta[:k] = _scaled((beta[:k] * weight[at[:k] + t]) @ step.T)
     out = np.zeros((len(lengths), n_labels))
-    np.add.at(out, seg_doc[order], sums)
+    # segments are independent now; a bounded number at a time, longest first
+    for first in range(0, len(order), SEGMENTS):
+        part = order[first : first + SEGMENTS]
+        sizes, at = size[part], start[part]
+        own = np.cumsum(sizes) - sizes
+        forward = np.empty((int(sizes.sum()), n_labels))
+        alpha = prior[part]
+        for t in range(int(sizes[0])):
+            k = active(sizes, t)
+            alpha = alpha[:k] @ step if t else alpha[:k]
+            alpha = _scaled(alpha * weight[at[:k] + t])
+            forward[own[:k] + t] = alpha
+        sums = np.zeros((len(part), n_labels))
+        beta = after[part]
+        for t in range(int(sizes[0]) - 1, -1, -1):
+            k = active(sizes, t)
+            sums[:k] += _scaled(forward[own[:k] + t] * beta[:k])
+            beta[:k] = _scaled((beta[:k] * weight[at[:k] + t]) @ step.T)
+        np.add.at(out, seg_doc[part], sums)
     return out
 
 
@@ -260,15 +267,34 @@ def marginals(e: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return _scaled(alpha * beta), pairs
 
 
+def windowed(folded: bytes, model: Model) -> np.ndarray:
+    """`emissions` of a long text, read in windows that end between words. Features lie inside a word and its blanks, so the result is that of the whole."""
+    out, at = [np.empty((0, len(model.labels)), np.float32)], 0
+    while at < len(folded):
+        stop = folded.find(b" ", at + WINDOW)
+        stop = len(folded) if stop < 0 else stop
+        words = read_words(np.frombuffer(b" " + folded[at:stop] + b"    ", np.uint8))
+        if len(words.first):
+            out.append(emissions(words, model))
+        at = stop
+    return np.concatenate(out)
+
+
 def predict(raws: list[bytes | None], model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Label number (-1 without words) and mean posterior of each text."""
     folded = [(t or b"").translate(FOLD) for t in raws]
+    label, score = np.full(len(raws), -1, np.int64), np.zeros(len(raws))
+    if len(raws) == 1 and len(folded[0]) > WINDOW and model.labels:
+        found = windowed(folded[0], model)
+        if len(found):
+            sums = posterior_sums(found, np.array([len(found)]), model.moves)
+            label[0], score[0] = sums[0].argmax(), min(sums[0].max() / len(found), 1.0)
+        return label, score
     buffer = np.frombuffer(b" " + b" ".join(folded) + b"    ", np.uint8)
     words = read_words(buffer)
     sizes = np.array([len(t) + 1 for t in folded], np.int64)
     edges = np.cumsum(sizes) + 1
     counts = np.diff(np.searchsorted(words.first, edges, side="left"), prepend=0)
-    label, score = np.full(len(raws), -1, np.int64), np.zeros(len(raws))
     if len(words.first) and model.labels:
         sums = posterior_sums(emissions(words, model), counts, model.moves)
         some = counts > 0
