@@ -155,6 +155,10 @@ def bounded(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
+#: Chunks that become Python objects at a time when they are read back.
+ROWS = 16
+
+
 def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """Parses formatted conversations: id, `n_turns`, `turns_sha256`, `loss_chars`, `loss_sha256`, `formatted_chars`.
 
@@ -174,7 +178,8 @@ def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
 
         for batch in batches:
             done = []
-            for r in batch.to_pylist():
+            # a few chunks at a time become Python objects
+            for r in (r for at in range(0, batch.num_rows, ROWS) for r in batch.slice(at, ROWS).to_pylist()):
                 if state is None or r["chunk"] == 0:
                     if state is not None:
                         done.append(close(state))
