@@ -1,5 +1,7 @@
 """Queries over rate estimates: group spread, held-out tests, traits, transfer, trust."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from wearframe.catalog.shared import INTERFERENCE, LAPS, r6, rounded_all, sql
@@ -331,7 +333,20 @@ fb AS (SELECT fp.*, abs(predicted - rate) AS e, abs(coalesce((SELECT avg(b.rate)
          (SELECT avg(b.rate) FROM est b WHERE b.circuit <> fp.circuit)) - rate) AS b FROM fp)
 """
 
+# the same fits on the nominal mode instead of the label
+_BY_MODE = re.sub(r"\bf([mtlxugkaep])\b", r"g\1", FAMILY[len(EST):FAMILY.index(",\nfb AS")]).replace("label", "mode_id").replace("mode_ids", "labels").replace("WHERE e.circuit", "WHERE e.mode_id IS NOT NULL AND e.circuit")
+LOCO = FAMILY + _BY_MODE + """,
+lp AS (SELECT fp.event, fp.label, fp.rate, fp.predicted AS label_plus_circuit, gp.predicted AS mode_plus_circuit,
+         (SELECT avg(b.rate) FROM est b WHERE b.circuit <> fp.circuit) AS global_mean,
+         coalesce((SELECT avg(b.rate) FROM est b WHERE b.label = fp.label AND b.circuit <> fp.circuit), (SELECT avg(b.rate) FROM est b WHERE b.circuit <> fp.circuit)) AS label_mean
+       FROM fp JOIN est ON est.event = fp.event AND est.label = fp.label JOIN gp ON gp.event = fp.event AND gp.mode_id = est.mode_id AND gp.family = 'everything' WHERE fp.family = 'everything')
+"""
+_PREDICTORS = ("global_mean", "label_mean", "label_plus_circuit", "mode_plus_circuit")
+
 ORACLES = {
+    "loco_scores": sql(LOCO + "".join(f", l_{k} AS (SELECT abs({k} - rate) AS e, abs(label_mean - rate) AS b FROM lp)," + _wx(k, "e", "b", f"l_{k}") for k in _PREDICTORS), " UNION ALL ".join(
+        f"SELECT '{k}' AS predictor, round(avg(e), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(100 * (avg(b) - avg(e)) / avg(b), 6) AS vs_baseline_pct, "
+        + ("NULL" if k == "label_mean" else f"round((SELECT p FROM wp_{k}), 6)") + f" AS wilcoxon_p FROM l_{k}" for k in _PREDICTORS)),
     "family_predictions": sql(FAMILY, "SELECT event, label, circuit, family, round(predicted, 6) AS predicted FROM fp"),
     "circuit_ablation": sql(FAMILY + "".join(f", f_{k} AS (SELECT e, b FROM fb WHERE family = '{k}')," + _wx(k, "e", "b", f"f_{k}") for k in FAMILIES) + """,
 ab AS (SELECT family, count(*) AS n_cases, avg(e) AS mae, avg(b) AS baseline_mae FROM fb GROUP BY ALL),
