@@ -37,8 +37,8 @@ LEXICON_COUNT = 5
 SEGMENT = 1024
 #: Segments whose posteriors are held at a time, and bytes of a long text that are read at a time.
 SEGMENTS = 1 << 14
-WINDOW = 4 << 20
-BATCH = 4 << 20
+WINDOW = 2 << 20
+BATCH = 2 << 20
 UNKNOWN = "und"
 
 #: Letters a-z (A-Z folded) and all non-ASCII bytes are word bytes; the rest become blanks.
